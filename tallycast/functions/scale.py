@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -21,6 +22,15 @@ from tallycast.config import SKEW, SkewConfig
 ORDER = ("date", "row_id")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Compute once a table of at most one row per item that a plan reads several times.
+
+    Without this each use would scan the demand table again. Lost blocks are recomputed
+    from the source; the caller may ``unpersist`` or clear the cache when done.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def hot_items(df: DataFrame, key: str = "sku", skew: SkewConfig = SKEW) -> DataFrame:
     """Items with more than ``hot_rows`` rows: at most total rows / hot_rows of them."""
     return (

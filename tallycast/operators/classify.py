@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.config import CLUSTER, PATTERN_LABELS, PATTERNS, TIER_LABELS, TIERS, ClusterConfig
-from tallycast.functions.scale import ranked
+from tallycast.functions.scale import kept, ranked
 
 
 def item_totals(df: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def abc_classes(df: DataFrame, a_limit: float = 80.0, b_limit: float = 130.0) ->
     The default limits reproduce the published behaviour (80, 80 + 50); pass
     ``b_limit=95`` for the usual split.
     """
-    totals = item_totals(df)
+    totals = kept(item_totals(df))
     grand = totals.agg(F.sum("total_volume").alias("_grand"))
     share = F.try_divide(F.col("running"), F.col("_grand")) * 100
     return (
@@ -45,7 +45,7 @@ def _share_of_items(table: DataFrame) -> DataFrame:
 
 
 def _with_all(table: DataFrame, column: str, values) -> DataFrame:
-    every = table.sparkSession.createDataFrame([(value,) for value in values], f"{column} string")
+    every = table.sparkSession.range(1).select(F.explode(F.array(*[F.lit(value) for value in values])).alias(column))
     return F.broadcast(every).join(table, column, "left")
 
 
@@ -70,7 +70,7 @@ def volume_thresholds(metrics: DataFrame, config: ClusterConfig = CLUSTER) -> Da
         a, b = config.fixed_volumes
         return metrics.sparkSession.range(1).select(F.lit(float(a)).alias("a_threshold"), F.lit(float(b)).alias("b_threshold"))
     # equal volumes share one row, so the ranks need no tie order
-    volumes = metrics.groupBy("total_volume").agg(F.count(F.lit(1)).alias("items"))
+    volumes = kept(metrics.groupBy("total_volume").agg(F.count(F.lit(1)).alias("items")))
     size = metrics.agg(F.count(F.lit(1)).alias("_n"))
 
     def index(percentile: float) -> Column:
@@ -115,7 +115,7 @@ def _label(column: str, labels: dict[str, str]) -> Column:
 
 def cluster_items(df: DataFrame, config: ClusterConfig = CLUSTER) -> DataFrame:
     """Tier, pattern and label per item."""
-    metrics = item_metrics(df)
+    metrics = kept(item_metrics(df))
     return (
         metrics.crossJoin(F.broadcast(volume_thresholds(metrics, config)))  # one row
         .withColumn("volume_tier", volume_tier(F.col("total_volume"), F.col("a_threshold"), F.col("b_threshold")))

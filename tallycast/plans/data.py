@@ -60,7 +60,7 @@ def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
         "concat(' P-', l_partkey, ' ') as product_id",
         "p_type as category_group",
         "l_quantity as sales_qty",
-        "round(l_extendedprice / l_quantity, 2) as unit_price",
+        "floor(l_extendedprice / l_quantity * 100 + 0.5) / 100D as unit_price",
         "case when l_discount > 0.05 then 'yes' else 'no' end as is_promo",
     )
 
@@ -85,7 +85,7 @@ def events_sql(name: str = "demand") -> str:
 RAW_SQL = f"""raw AS (
     SELECT {ROW_ID.format(other='l_suppkey')} AS row_id, strftime(l_shipdate, '%d/%m/%Y') AS trx_date,
            ' P-' || l_partkey || ' ' AS product_id, p_type AS category_group, l_quantity AS sales_qty,
-           round(l_extendedprice / l_quantity, 2) AS unit_price,
+           floor(l_extendedprice / l_quantity * 100 + 0.5) / 100.0 AS unit_price,
            CASE WHEN l_discount > 0.05 THEN 'yes' ELSE 'no' END AS is_promo
     FROM lineitem JOIN part ON p_partkey = l_partkey)"""
 
@@ -94,6 +94,12 @@ def _parts(spec: str) -> list[tuple[str, str]]:
     return [tuple((item.strip() + ":s").split(":")[:2]) for item in spec.split(",")]
 
 
+def _scales(kind: str) -> tuple[float, float]:
+    """Rounding in two steps, so that the last bit of a sum cannot tip an exact half."""
+    digits = int(kind[1:] or 6)
+    return 10.0 ** (digits + 3), 10.0 ** digits
+
+
 def shape(df: DataFrame, spec: str) -> DataFrame:
     """Columns of ``spec``: ``name`` as is, ``name:i`` whole number, ``name:d4`` rounded number."""
     columns = []
@@ -102,7 +108,10 @@ def shape(df: DataFrame, spec: str) -> DataFrame:
         if kind == "i":
             column = column.cast("bigint")
         elif kind.startswith("d"):
-            column = F.round(column.cast("double"), int(kind[1:] or 6)) + F.lit(0.0)
+            column = column.cast("double")
+            for scale in _scales(kind):
+                column = F.rint(column * scale) / scale
+            column = column + 0.0
         columns.append(column.alias(name))
     return df.select(*columns)
 
@@ -114,7 +123,10 @@ def shape_sql(sql: str, spec: str) -> str:
         if kind == "i":
             text = f"CAST({text} AS BIGINT)"
         elif kind.startswith("d"):
-            text = f"round(CAST({text} AS DOUBLE), {int(kind[1:] or 6)}) + 0.0"
+            text = f"CAST({text} AS DOUBLE)"
+            for scale in _scales(kind):
+                text = f"round_even({text} * CAST({scale!r} AS DOUBLE), 0) / CAST({scale!r} AS DOUBLE)"
+            text = f"{text} + CAST(0 AS DOUBLE)"
         columns.append(f'{text} AS "{name}"')
     return f"SELECT {', '.join(columns)} FROM ({sql}) AS result"
 
