@@ -87,6 +87,8 @@ def create_features(
         if (with_price or name not in PRICE) and (with_promo or name not in PROMO)
     ]
     needs_index = "trend_component" in names
+    if all(name in CALENDAR or name == "promo_flag" for name in names):
+        split = False  # nothing looks beyond its own row
     rows = ordered_rows(df, before=LONGEST_REACH, skew=skew, split=split)
     if "price_change_pct" in names:
         known = F.when(F.col("price").isNotNull(), F.struct(*rows.order))

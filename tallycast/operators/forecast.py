@@ -9,27 +9,32 @@ from pyspark.sql import functions as F
 
 from tallycast.config import COMPARED_MODELS, ENSEMBLE_MEMBERS, GRID, SAMPLE_SEED, STRATEGIES, GridConfig
 from tallycast.functions.dates import horizon_periods, step_date
-from tallycast.operators.models.additive import fit_additive
-from tallycast.operators.models.arima import add_arima
+from tallycast.functions.scale import kept
+from tallycast.operators.models import additive, arima, smoothing, theta
 from tallycast.operators.models.base import accuracy, mae, mape, with_moments
-from tallycast.operators.models.boosted import fit_boosted
+from tallycast.operators.models.batch import fit_models
+from tallycast.operators.models.boosted import PRESETS, fit_boosted
 from tallycast.operators.models.naive import add_naive, add_seasonal_naive
-from tallycast.operators.models.smoothing import add_exponential_smoothing
-from tallycast.operators.models.theta import add_theta
 from tallycast.operators.sampling import random_items
 from tallycast.operators.series import pack
 
-NEEDS = {
-    "exponential_smoothing": ("naive",),
-    "arima": ("exponential_smoothing",),
-    "theta": ("exponential_smoothing",),
-    "additive": ("exponential_smoothing",),
-    "gbt_leaf": ("exponential_smoothing",),
-    "gbt_depth": ("exponential_smoothing",),
-    "ensemble": ENSEMBLE_MEMBERS,
+BATCHED = {
+    "exponential_smoothing": smoothing.model,
+    "arima": arima.model,
+    "theta": theta.model,
+    "additive": additive.model,
 }
+FALLBACK = {
+    "exponential_smoothing": "naive",
+    "arima": "exponential_smoothing",
+    "theta": "exponential_smoothing",
+    "additive": "exponential_smoothing",
+    "gbt_leaf": "exponential_smoothing",
+    "gbt_depth": "exponential_smoothing",
+}
+NEEDS = {**{name: (spare,) for name, spare in FALLBACK.items()}, "ensemble": ENSEMBLE_MEMBERS}
 RUN_ORDER = (
-    "naive", "seasonal_naive", "exponential_smoothing", "arima", "theta", "ensemble", "additive", "gbt_leaf", "gbt_depth",
+    "naive", "seasonal_naive", "exponential_smoothing", "arima", "theta", "additive", "ensemble", "gbt_leaf", "gbt_depth",
 )
 
 
@@ -77,29 +82,28 @@ def run_models(
 ) -> DataFrame:
     """One struct column per model beside the packed series.
 
-    ``wanted`` limits a model to some items: the fold of the others is never evaluated.
+    ``wanted`` limits a model to some items; it is not fitted on the others.
     """
     wanted = wanted or {}
-    out = with_moments(packed)
-    for name in with_needs(models):
+    needed = with_needs(tuple(models) + ("naive",))
+    if any(name in PRESETS for name in needed):
+        packed = kept(packed)  # read by training, scoring and forecasting
+    batched = [BATCHED[name](freq, grid) for name in needed if name in BATCHED]
+    out = fit_models(packed, batched, periods, grid, wanted) if batched else packed
+    out = with_moments(out)
+    for name in needed:
+        asked = wanted.get(name, F.lit(True))
         if name == "naive":
             out = add_naive(out, periods, freq)
         elif name == "seasonal_naive":
             out = add_seasonal_naive(out, periods, freq)
-        elif name == "exponential_smoothing":
-            out = add_exponential_smoothing(out, periods, freq, grid, wanted.get(name))
-        elif name == "arima":
-            out = add_arima(out, periods, freq, grid, wanted.get(name))
-        elif name == "theta":
-            out = add_theta(out, periods, freq, grid, wanted.get(name))
         elif name == "ensemble":
             out = _add_ensemble(out)
-        else:
-            series = with_moments(packed).filter(wanted.get(name, F.lit(True)))
-            fitted = fit_additive(series, periods, freq) if name == "additive" else fit_boosted(series, periods, freq, name)
-            out = out.join(fitted, "sku", "left")
-            short = wanted.get(name, F.lit(True))
-            out = out.withColumn(name, F.coalesce(F.col(name), F.when(short, F.col("exponential_smoothing"))))
+        elif name in PRESETS:
+            series = with_moments(packed).filter(asked)
+            out = out.join(fit_boosted(series, periods, freq, name), "sku", "left")
+        if name in FALLBACK:  # M15: the label stays that of the model that ran
+            out = out.withColumn(name, F.coalesce(F.col(name), F.when(asked, F.col(FALLBACK[name]))))
     return out
 
 
@@ -142,7 +146,7 @@ def forecast_batch(
     freq: str = "D",
     grid: GridConfig = GRID,
 ) -> DataFrame:
-    """The strategy is settled per item before fitting, so a fold runs only where it is asked."""
+    """The strategy is settled per item before fitting, so a model is fitted only where it is asked."""
     if tiers is None or strategy != "balanced":
         return forecast(df, strategy, horizon_days, freq, grid)
     periods = horizon_periods(horizon_days, freq)

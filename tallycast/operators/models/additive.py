@@ -2,30 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tallycast.config import BAND_Z
-from tallycast.functions.dates import step_date
+from tallycast.config import BAND_Z, GridConfig
 
 YEARLY_ORDER = 10
 WEEKLY_ORDER = 3
 RIDGE = 1e-3
-DAYS_PER_PERIOD = {"D": 1.0, "W": 7.0, "M": 30.4375}
+MIN_OBS = 2
+
 
-RESULT = (
-    "struct<model:string,forecast:array<double>,lower:array<double>,upper:array<double>,"
-    "mape:double,mae:double,rmse:double>"
-)
+def period_days(last: np.datetime64, n: int, horizon: int, freq: str) -> np.ndarray:
+    """Days since the epoch of the n known and the next ``horizon`` period labels."""
+    steps = np.arange(1 - n, horizon + 1)
+    if freq == "M":
+        labels = (last.astype("M8[M]") + steps + 1).astype("M8[D]") - 1
+    else:
+        labels = last + steps * (7 if freq == "W" else 1)
+    return labels.astype(float)
 
 
-def _design(days: np.ndarray, first_day: float, span: float, weekly: bool) -> np.ndarray:
-    """Columns 1, t and the Fourier terms; ``days`` are days since the epoch."""
-    columns = [np.ones_like(days), (days - first_day) / max(span, 1.0)]
+def _design(days: np.ndarray, span: float, weekly: bool) -> np.ndarray:
+    """Columns 1, t and the Fourier terms."""
+    columns = [np.ones_like(days), (days - days[0]) / max(span, 1.0)]
     seasons = [(365.25, YEARLY_ORDER)] + ([(7.0, WEEKLY_ORDER)] if weekly else [])
     for length, order in seasons:
         angle = 2 * np.pi * days[:, None] * np.arange(1, order + 1) / length
@@ -33,43 +32,42 @@ def _design(days: np.ndarray, first_day: float, span: float, weekly: bool) -> np
     return np.column_stack(columns)
 
 
-def _fit(ys: np.ndarray, days: np.ndarray, horizon: int, weekly: bool) -> dict:
+def fit(ys: np.ndarray, days: np.ndarray, horizon: int, weekly: bool) -> dict:
     n = len(ys)
-    x = _design(days, days[0], days[n - 1] - days[0], weekly)
+    x = _design(days, days[n - 1] - days[0], weekly)
     past = x[:n]
-    penalty = RIDGE * n * np.eye(x.shape[1])
-    penalty[0, 0] = penalty[1, 1] = 0.0
-    weights = np.linalg.solve(past.T @ past + penalty + 1e-9 * np.eye(x.shape[1]), past.T @ ys)
+    penalty = np.full(x.shape[1], RIDGE * n)
+    penalty[:2] = 1e-9
+    weights = np.linalg.solve(past.T @ past + np.diag(penalty), past.T @ ys)
     fitted = x @ weights
     error = ys - fitted[:n]
     known = ys != 0
-    sd = float(error.std(ddof=1)) if n > 1 else 0.0
-    forecast = fitted[n:n + horizon]
+    half = BAND_Z * error.std(ddof=1)
+    ahead = fitted[n:]
     return {
         "model": "additive",
-        "forecast": np.maximum(forecast, 0.0).tolist(),
-        "lower": np.maximum(forecast - BAND_Z * sd, 0.0).tolist(),
-        "upper": (forecast + BAND_Z * sd).tolist(),
+        "forecast": np.maximum(ahead, 0.0).tolist(),
+        "lower": np.maximum(ahead - half, 0.0).tolist(),
+        "upper": (ahead + half).tolist(),
         "mape": float(np.abs(error[known] / ys[known]).mean() * 100) if known.any() else 0.0,
         "mae": float(np.abs(error).mean()),
-        "rmse": float(np.sqrt((error ** 2).mean())),
+        "rmse": float(np.sqrt((error * error).mean())),
     }
 
 
-def fit_additive(packed: DataFrame, horizon: int, freq: str) -> DataFrame:
-    """(sku, additive) for the given packed series; each row is one series, in Arrow batches."""
-    last = F.col("last_period")
-    labels = F.transform(
-        F.sequence(1 - F.col("n"), F.lit(horizon)), lambda i: F.unix_date(step_date(last, i, freq)).cast("double")
-    )
+class Additive:
+    name = "additive"
+
+    def __init__(self, freq: str):
+        self.freq = freq
+
+    def fit(self, series, last_periods, wanted, horizon: int, grid: GridConfig) -> list[dict | None]:
+        return [
+            fit(ys, period_days(last, len(ys), horizon, self.freq), horizon, self.freq == "D")
+            if asked and len(ys) >= MIN_OBS else None
+            for ys, last, asked in zip(series, last_periods, wanted)
+        ]
 
-    def fit_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            results = [
-                _fit(np.asarray(ys, dtype=float), np.asarray(days), horizon, freq == "D")
-                for ys, days in zip(batch["ys"], batch["days"])
-            ]
-            yield pd.DataFrame({"sku": batch["sku"], "additive": results})
 
-    inputs = packed.select("sku", "ys", labels.alias("days"))
-    return inputs.mapInPandas(fit_batches, f"sku string, additive {RESULT}")
+def model(freq: str, grid: GridConfig) -> Additive:
+    return Additive(freq)

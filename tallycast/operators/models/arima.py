@@ -4,79 +4,46 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
 
-from tallycast.config import BAND_Z, GRID, GridConfig
-from tallycast.operators.models.base import accuracy_start, accuracy_step, best_of, clip, outcome, steps
+from tallycast.config import BAND_Z, GridConfig
+from tallycast.operators.models.batch import Errors, Model, banded
 
 MIN_OBS = 10
 
 
-def _error(state: Column, change: Column, c: Column) -> Column:
-    return change - c["phi"] * state["w"] - c["theta"] * state["e"]
-
-
-def _sse(c: Column) -> Column:
-    first = F.struct(F.get("_w", F.lit(0))["w"].alias("w"), F.lit(0.0).alias("e"), F.lit(0.0).alias("sse"))
-
-    def step(state: Column, point: Column) -> Column:
-        error = _error(state, point["w"], c)
-        return F.struct(point["w"].alias("w"), error.alias("e"), (state["sse"] + error * error).alias("sse"))
-
-    return F.aggregate("_rest", first, step, lambda state: state["sse"])
-
-
-def _refit(c: Column) -> Column:
-    first = F.struct(
-        F.get("_w", F.lit(0))["w"].alias("w"), F.lit(0.0).alias("e"), accuracy_start().alias("acc")
-    )
-
-    def step(state: Column, point: Column) -> Column:
-        error = _error(state, point["w"], c)
-        return F.struct(
-            point["w"].alias("w"), error.alias("e"), accuracy_step(state["acc"], point["y"], error).alias("acc")
-        )
-
-    return F.aggregate("_rest", first, step)
-
-
-def add_arima(
-    df: DataFrame, horizon: int, freq: str, grid: GridConfig = GRID, wanted: Column | None = None
-) -> DataFrame:
-    """Needs the ``exponential_smoothing`` column, the fallback of short series."""
-    wanted = F.lit(True) if wanted is None else wanted
-    usable = wanted & (F.col("n") >= MIN_OBS)
-    candidates = F.array(*[
-        F.struct(F.lit(p).alias("phi"), F.lit(t).alias("theta")) for p, t in product(grid.phis, grid.thetas)
-    ])
-    changes = F.zip_with(
-        F.slice("ys", 1, F.col("n") - 1),
-        F.slice("ys", 2, F.col("n")),
-        lambda before, y: F.struct((y - before).alias("w"), y.alias("y")),
-    )
-    ready = df.withColumn("_w", changes).withColumn("_rest", F.slice("_w", 2, F.col("n")))
-    ready = ready.withColumn("_c", F.when(usable, best_of(candidates, _sse)))
-    ready = ready.withColumn("_fit", F.when(usable, _refit(F.col("_c"))))
-
-    phi, theta = F.col("_c.phi"), F.col("_c.theta")
-    acc = F.col("_fit.acc")
-    first_change = phi * F.col("_fit.w") + theta * F.col("_fit.e")
-    sum_to = lambda h: (1 - F.pow(phi, h)) / (1 - phi)  # noqa: E731  sum of phi^0..phi^(h-1)
-    weight = lambda j: 1 + (phi + theta) * sum_to(j)
-    variance = lambda h: acc["sq"] / (F.col("n") - 2) * F.aggregate(
-        F.sequence(F.lit(0), h - 1), F.lit(0.0), lambda s, j: s + weight(j) * weight(j)
-    )
-    ready = ready.withColumn("_step", F.when(usable, F.transform(steps(horizon), lambda h: F.struct(
-        (F.element_at("ys", -1) + first_change * sum_to(h)).alias("f"),
-        (BAND_Z * F.sqrt(variance(h))).alias("half"),
-    ))))
-    own = outcome(
-        F.lit("arima"),
-        F.transform("_step", lambda s: clip(s["f"])),
-        F.transform("_step", lambda s: clip(s["f"] - s["half"])),
-        F.transform("_step", lambda s: s["f"] + s["half"]),
-        acc,
-    )
-    out = ready.withColumn("arima", F.when(usable, own).when(wanted, F.col("exponential_smoothing")))
-    return out.drop("_w", "_rest", "_c", "_fit", "_step")
+def _run(y, n, phi, theta, errors: Errors | None = None):
+    w = np.diff(y, axis=1)
+    shape = (len(y), phi.shape[1])
+    e, sse = np.zeros(shape), np.zeros(shape)
+    part = lambda p, c: p if len(p) == 1 else p[:c]
+    for t in range(2, y.shape[1]):
+        c = int(np.searchsorted(-n, -t))
+        now = w[:c, t - 1, None] - part(phi, c) * w[:c, t - 2, None] - part(theta, c) * e[:c]
+        e[:c] = now
+        sse[:c] += now * now
+        if errors is not None:
+            errors.add(y[:c, t], now[:, 0])
+    return e, sse
+
+
+def fit(y: np.ndarray, n: np.ndarray, horizon: int, grid: GridConfig) -> dict[str, np.ndarray]:
+    points = np.array(list(product(grid.phis, grid.thetas))).T[:, None, :]
+    best = _run(y, n, *points)[1].argmin(axis=1)
+    phi, theta = (p[0, best][:, None] for p in points)
+    errors = Errors(len(y))
+    e, _ = _run(y, n, phi, theta, errors)
+
+    rows = np.arange(len(y))
+    last = y[rows, n - 1][:, None]
+    change = phi * (last - y[rows, n - 2][:, None]) + theta * e  # one step ahead
+    h = np.arange(1, horizon + 1)
+    powers = (1 - phi ** h) / (1 - phi)  # sums of phi^0 .. phi^(h-1)
+    weights = 1 + (phi + theta) * (1 - phi ** (h - 1)) / (1 - phi)
+    variance = errors.sq[:, None] / (n[:, None] - 2) * np.cumsum(weights ** 2, axis=1)
+    return banded(last + change * powers, BAND_Z * np.sqrt(variance), errors)
+
+
+def model(freq: str, grid: GridConfig) -> Model:
+    variant = lambda n: "all" if n >= MIN_OBS else None
+    return Model("arima", variant, {"all": (fit, len(grid.phis) * len(grid.thetas))})

@@ -1,13 +1,11 @@
 """What the models share: result rows, accuracy, and array helpers.
 
-A model adds one struct column to the packed series, computed by array folds, so that
-any number of models is one projection over items and needs no join.
+A model is one struct column beside the packed series, so that choosing between models
+needs no join and no shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +24,6 @@ def clip(value: Column) -> Column:
     return F.greatest(F.lit(0.0), value)
 
 
-def sample_sd(square_sum: Column, plain_sum: Column, n: Column) -> Column:
-    variance = F.try_divide(square_sum - plain_sum * plain_sum / n, n - 1)
-    return F.coalesce(F.sqrt(F.greatest(variance, F.lit(0.0))), F.lit(0.0))
-
-
 def with_moments(packed: DataFrame) -> DataFrame:
     """Add ``mean`` and ``sd`` (null for a single period) of the series."""
     centred = packed.withColumn("mean", total(F.col("ys")) / F.col("n"))
@@ -93,12 +86,3 @@ def band(forecast: Column, sd: Column) -> tuple[Column, Column]:
     lower = F.transform(forecast, lambda f: clip(f - BAND_Z * sd))
     upper = F.transform(forecast, lambda f: f + BAND_Z * sd)
     return lower, upper
-
-
-def best_of(candidates: Column, fold: Callable[[Column], Column]) -> Column:
-    """Candidate with the least squared error; the earlier one on a tie.
-
-    ``fold`` maps a candidate to its sum of squared errors.
-    """
-    scored = F.transform(candidates, lambda c, i: F.struct(fold(c).alias("sse"), i.alias("i"), c.alias("c")))
-    return F.array_min(scored)["c"]

@@ -4,111 +4,61 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from tallycast.config import GRID, SEASON_LENGTH, SEASONAL_MIN_OBS, GridConfig
-from tallycast.operators.models.base import (
-    accuracy_start,
-    accuracy_step,
-    band,
-    best_of,
-    clip,
-    outcome,
-    sample_sd,
-    steps,
-    total,
-)
-
-
-def _grid(grid: GridConfig, seasonal: bool) -> Column:
-    gammas = grid.gammas if seasonal else (0.0,)
-    return F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(g).alias("g"))
-        for a, b, g in product(grid.alphas, grid.betas, gammas)
-    ])
-
-
-def _start(seasonal: bool) -> Column:
-    """Level, trend and the coming season's effects (oldest first) before the first error."""
-    zero = F.lit(0.0)
-    if not seasonal:
-        return F.struct(F.get("ys", F.lit(0)).alias("l"), zero.alias("b"), F.array(zero).alias("s"))
-    effects = F.transform("_head", lambda y: y - F.col("_level"))
-    return F.struct(F.col("_level").alias("l"), zero.alias("b"), effects.alias("s"))
-
-
-def _error(state: Column, y: Column) -> Column:
-    return y - state["l"] - state["b"] - F.get(state["s"], F.lit(0))
-
-
-def _advance(state: Column, error: Column, c: Column, season: int) -> dict[str, Column]:
-    """Error-correction form; the used seasonal effect moves, corrected, to the end."""
-    effect = F.get(state["s"], F.lit(0)) + c["g"] * error
-    rest = F.slice(state["s"], 2, season - 1)
-    return {
-        "l": state["l"] + state["b"] + c["a"] * error,
-        "b": state["b"] + c["a"] * c["b"] * error,
-        "s": F.concat(rest, F.array(effect)) if season > 1 else state["s"],
-    }
-
-
-def _sse(c: Column, season: int) -> Column:
-    begin = _start(season > 1)
-    first = F.struct(begin["l"].alias("l"), begin["b"].alias("b"), begin["s"].alias("s"), F.lit(0.0).alias("e"))
-
-    def step(state: Column, y: Column) -> Column:
-        error = _error(state, y)
-        parts = _advance(state, error, c, season)
-        return F.struct(*[value.alias(name) for name, value in parts.items()], (state["e"] + error * error).alias("e"))
-
-    return F.aggregate("_tail", first, step, lambda state: state["e"])
-
-
-def _refit(c: Column, season: int) -> Column:
-    """Second pass with the chosen parameters: final state and error sums."""
-    first = F.struct(_start(season > 1).alias("state"), accuracy_start().alias("acc"))
-
-    def step(both: Column, y: Column) -> Column:
-        error = _error(both["state"], y)
-        parts = _advance(both["state"], error, c, season)
-        return F.struct(
-            F.struct(*[value.alias(name) for name, value in parts.items()]).alias("state"),
-            accuracy_step(both["acc"], y, error).alias("acc"),
-        )
-
-    return F.aggregate("_tail", first, step)
-
-
-def _fit(season: int, grid: GridConfig) -> tuple[Column, Column]:
-    chosen = best_of(_grid(grid, season > 1), lambda c: _sse(c, season))
-    return chosen, _refit(F.col("_c"), season)
-
-
-def add_exponential_smoothing(
-    df: DataFrame, horizon: int, freq: str, grid: GridConfig = GRID, wanted: Column | None = None
-) -> DataFrame:
-    """Needs the ``naive`` column: series of one period fall back to it."""
-    m = SEASON_LENGTH[freq]
-    wanted = F.lit(True) if wanted is None else wanted
-    seasonal = F.col("n") >= SEASONAL_MIN_OBS[freq]
-    usable = wanted & (F.col("n") >= 2)
-    ready = (
-        df.withColumn("_head", F.slice("ys", 1, m))
-        .withColumn("_level", total(F.col("_head")) / F.size("_head"))
-        .withColumn("_tail", F.when(seasonal, F.slice("ys", m + 1, F.greatest(F.col("n") - m, F.lit(0))))
-                    .otherwise(F.slice("ys", 2, F.col("n"))))
-    )
-    season_best, season_fit = _fit(m, grid)
-    plain_best, plain_fit = _fit(1, grid)
-    ready = ready.withColumn("_c", F.when(usable & seasonal, season_best).when(usable, plain_best))
-    ready = ready.withColumn("_fit", F.when(usable & seasonal, season_fit).when(usable, plain_fit))
-    state, acc = F.col("_fit.state"), F.col("_fit.acc")
-    effect = lambda h: F.get(state["s"], (h - 1) % F.size(state["s"]))
-    ready = ready.withColumns({
-        "_f": F.transform(steps(horizon), lambda h: clip(state["l"] + h * state["b"] + effect(h))),
-        "_sd": sample_sd(acc["sq"], acc["err"], acc["n"]),
-    })
-    own = outcome(F.lit("exponential_smoothing"), F.col("_f"), *band(F.col("_f"), F.col("_sd")), acc)
-    out = ready.withColumn("exponential_smoothing", F.when(usable, own).when(wanted, F.col("naive")))
-    return out.drop("_head", "_level", "_tail", "_c", "_fit", "_f", "_sd")
+import numpy as np
+
+from tallycast.config import SEASON_LENGTH, SEASONAL_MIN_OBS, GridConfig
+from tallycast.operators.models.batch import Errors, Model, clipped_band
+
+
+def _start(y: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Level and seasonal effects (by period mod m) before the first error."""
+    if m == 1:
+        return y[:, :1].copy(), np.zeros((len(y), 1, 1))
+    level = y[:, :m].cumsum(axis=1)[:, -1:] / m
+    return level, (y[:, :m] - level)[:, None, :]
+
+
+def _run(y, n, m, a, b, g, errors: Errors | None = None):
+    """Error-correction recursion for parameters of shape (series or 1, points)."""
+    level, season = _start(y, m)
+    shape = (len(y), a.shape[1])
+    level = np.broadcast_to(level, shape).copy()
+    trend = np.zeros(shape)
+    season = np.broadcast_to(season, (*shape, m)).copy()
+    sse = np.zeros(shape)
+    part = lambda p, c: p if len(p) == 1 else p[:c]
+    for t in range(m, y.shape[1]):
+        c = int(np.searchsorted(-n, -t))  # series still running, longest first
+        e = y[:c, t, None] - level[:c] - trend[:c]
+        if m > 1:
+            e -= season[:c, :, t % m]
+            season[:c, :, t % m] += part(g, c) * e
+        level[:c] += trend[:c] + part(a, c) * e
+        trend[:c] += part(a, c) * part(b, c) * e
+        sse[:c] += e * e
+        if errors is not None:
+            errors.add(y[:c, t], e[:, 0])
+    return level, trend, season, sse
+
+
+def _fit(m: int):
+    def fit(y: np.ndarray, n: np.ndarray, horizon: int, grid: GridConfig) -> dict[str, np.ndarray]:
+        points = np.array(list(product(grid.alphas, grid.betas, grid.gammas if m > 1 else (0.0,)))).T[:, None, :]
+        sse = _run(y, n, m, *points)[3]
+        best = sse.argmin(axis=1)
+        errors = Errors(len(y))
+        chosen = [p[0, best][:, None] for p in points]
+        level, trend, season, _ = _run(y, n, m, *chosen, errors)
+        h = np.arange(1, horizon + 1)
+        effects = np.take_along_axis(season[:, 0, :], (n[:, None] - 1 + h) % m, axis=1)
+        return clipped_band(level + h * trend + effects, errors.sample_sd(), errors)
+
+    return fit
+
+
+def model(freq: str, grid: GridConfig) -> Model:
+    m, enough = SEASON_LENGTH[freq], SEASONAL_MIN_OBS[freq]
+    plain = len(grid.alphas) * len(grid.betas)
+    variant = lambda n: "season" if n >= enough else "plain" if n >= 2 else None
+    fits = {"season": (_fit(m), plain * len(grid.gammas) * 4), "plain": (_fit(1), plain)}
+    return Model("exponential_smoothing", variant, fits)

@@ -2,92 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from tallycast.config import GRID, SEASON_LENGTH, GridConfig
-from tallycast.operators.models.base import (
-    accuracy_start,
-    accuracy_step,
-    band,
-    best_of,
-    clip,
-    outcome,
-    steps,
-    total,
-)
+import numpy as np
 
-MIN_OBS = 10
-
-
-def _slope(values: str) -> Column:
-    """Least-squares slope of an array against its index."""
-    n = F.col("n")
-    middle = (n - 1) / 2
-    moment = F.aggregate(
-        F.transform(values, lambda y, i: (i - middle) * y), F.lit(0.0), lambda acc, v: acc + v
-    )
-    return F.coalesce(F.try_divide(moment, n * (n * n - 1) / 12), F.lit(0.0))
-
-
-def _sse(alpha: Column) -> Column:
-    first = F.struct(F.get("_z", F.lit(0)).alias("l"), F.lit(0.0).alias("e"))
-
-    def step(state: Column, y: Column) -> Column:
-        error = y - state["l"]
-        return F.struct((state["l"] + alpha * error).alias("l"), (state["e"] + error * error).alias("e"))
+from tallycast.config import SEASON_LENGTH, GridConfig
+from tallycast.operators.models.batch import Errors, Model, clipped_band
 
-    return F.aggregate(F.slice("_z", 2, F.col("n")), first, step, lambda state: state["e"])
-
-
-def _refit(alpha: Column, half_drift: Column) -> Column:
-    """Final level, and the sums of one-step errors of the whole forecast function."""
-    points = F.slice(F.zip_with("ys", "_z", lambda y, z: F.struct(y.alias("y"), z.alias("z"))), 2, F.col("n"))
-    first = F.struct(F.get("_z", F.lit(0)).alias("l"), (1 - alpha).alias("d"), accuracy_start().alias("acc"))
-
-    def step(state: Column, point: Column) -> Column:
-        error = point["z"] - state["l"]
-        drift = half_drift * (1 - state["d"]) / alpha  # d is (1 - alpha) to the periods seen
-        return F.struct(
-            (state["l"] + alpha * error).alias("l"),
-            (state["d"] * (1 - alpha)).alias("d"),
-            accuracy_step(state["acc"], point["y"], error - drift).alias("acc"),
-        )
-
-    return F.aggregate(points, first, step)
+MIN_OBS = 10
 
 
-def add_theta(
-    df: DataFrame, horizon: int, freq: str, grid: GridConfig = GRID, wanted: Column | None = None
-) -> DataFrame:
-    """Needs the ``exponential_smoothing`` column, the fallback of short series."""
+def _slope(y: np.ndarray, n: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Least-squares slope of each series against its index."""
+    size = n.astype(float)
+    offset = np.where(inside, np.arange(y.shape[1]) - (size[:, None] - 1) / 2, 0.0)
+    return (offset * y).sum(axis=1) / (size * (size * size - 1) / 12)
+
+
+def _season(y: np.ndarray, n: np.ndarray, inside: np.ndarray, m: int) -> np.ndarray:
+    """Mean of the detrended values by index mod m, centred to sum 0."""
+    flat = np.where(inside, y - _slope(y, n, inside)[:, None] * np.arange(y.shape[1]), 0.0)
+    raw = np.stack([flat[:, k::m].sum(axis=1) / inside[:, k::m].sum(axis=1) for k in range(m)], axis=1)
+    return raw - raw.mean(axis=1, keepdims=True)
+
+
+def _smooth(z, n, alpha):
+    level = np.broadcast_to(z[:, :1], (len(z), alpha.shape[1])).copy()
+    sse = np.zeros(level.shape)
+    for t in range(1, z.shape[1]):
+        c = int(np.searchsorted(-n, -t))
+        e = z[:c, t, None] - level[:c]
+        level[:c] += alpha * e
+        sse[:c] += e * e
+    return sse
+
+
+def _fit(m: int):
+    def fit(y: np.ndarray, n: np.ndarray, horizon: int, grid: GridConfig) -> dict[str, np.ndarray]:
+        index = np.arange(y.shape[1])
+        inside = index < n[:, None]
+        season = _season(y, n, inside, m) if m > 1 else np.zeros((len(y), 1))
+        z = np.where(inside, y - season[:, index % m], 0.0)
+        alphas = np.array(grid.theta_alphas)
+        alpha = alphas[_smooth(z, n, alphas[None, :]).argmin(axis=1)]
+        half = _slope(z, n, inside) / 2
+
+        errors = Errors(len(y))
+        level = z[:, 0].copy()
+        for t in range(1, y.shape[1]):
+            c = int(np.searchsorted(-n, -t))
+            e = z[:c, t] - level[:c]
+            drift = half[:c] * (1 - (1 - alpha[:c]) ** t) / alpha[:c]
+            errors.add(y[:c, t], e - drift)
+            level[:c] += alpha[:c] * e
+
+        h = np.arange(1, horizon + 1)
+        a, size = alpha[:, None], n[:, None]
+        drift = half[:, None] * (h - 1 + (1 - (1 - a) ** size) / a)
+        effects = np.take_along_axis(season, (size - 1 + h) % m, axis=1)
+        mean = y.sum(axis=1) / n
+        sd = np.sqrt(np.where(inside, (y - mean[:, None]) ** 2, 0.0).sum(axis=1) / (n - 1))
+        return clipped_band(level[:, None] + drift + effects, sd, errors)
+
+    return fit
+
+
+def model(freq: str, grid: GridConfig) -> Model:
     m = SEASON_LENGTH[freq]
-    wanted = F.lit(True) if wanted is None else wanted
-    usable = wanted & (F.col("n") >= MIN_OBS)
-    seasonal = usable & (F.col("n") >= 2 * m)
-
-    ready = df.withColumn("_slope", F.when(seasonal, _slope("ys")))
-    detrended = F.transform("ys", lambda y, i: y - F.col("_slope") * i)
-    ready = ready.withColumn("_flat", F.when(seasonal, detrended))
-    slots = F.sequence(F.lit(0), F.lit(m - 1))
-    members = lambda k: F.filter("_flat", lambda v, i: i % m == k)
-    count = lambda k: F.floor((F.col("n") - 1 - k) / m) + 1
-    ready = ready.withColumn("_raw", F.when(seasonal, F.transform(slots, lambda k: total(members(k)) / count(k))))
-    ready = ready.withColumn("_centre", total(F.col("_raw")) / m)
-    ready = ready.withColumn(
-        "_s", F.when(seasonal, F.transform("_raw", lambda v: v - F.col("_centre"))).otherwise(F.array(F.lit(0.0)))
-    )
-    ready = ready.withColumn("_z", F.transform("ys", lambda y, i: y - F.get("_s", i % F.size("_s"))))
-
-    alphas = F.array(*[F.lit(a) for a in grid.theta_alphas])
-    ready = ready.withColumn("_a", F.when(usable, best_of(alphas, _sse)))
-    ready = ready.withColumn("_half", F.when(usable, _slope("_z") / 2))
-    ready = ready.withColumn("_fit", F.when(usable, _refit(F.col("_a"), F.col("_half"))))
-    drift = lambda h: F.col("_half") * (h - 1 + (1 - F.pow(1 - F.col("_a"), F.col("n"))) / F.col("_a"))
-    effect = lambda h: F.get("_s", (F.col("n") + h - 1) % F.size("_s"))
-    ready = ready.withColumn(
-        "_f", F.when(usable, F.transform(steps(horizon), lambda h: clip(F.col("_fit.l") + drift(h) + effect(h))))
-    )
-    own = outcome(F.lit("theta"), F.col("_f"), *band(F.col("_f"), F.col("sd")), F.col("_fit.acc"))
-    out = ready.withColumn("theta", F.when(usable, own).when(wanted, F.col("exponential_smoothing")))
-    return out.drop("_slope", "_flat", "_raw", "_centre", "_s", "_z", "_a", "_half", "_fit", "_f")
+    variant = lambda n: None if n < MIN_OBS else "season" if n >= 2 * m else "plain"
+    points = len(grid.theta_alphas)
+    return Model("theta", variant, {"season": (_fit(m), points * 4), "plain": (_fit(1), points)})
