@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("prepare_queries", "quality_queries", "classify_queries", "anomaly_queries", "feature_queries")
+MODULES = (
+    "prepare_queries", "quality_queries", "classify_queries", "anomaly_queries", "feature_queries", "forecast_queries",
+    "report_queries",
+)
 
 
 def _registers():
