@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallycast.config import DATE_FORMATS
 
 
+SHAPES = {"yyyy": r"\d{4}", "MMMM": "[A-Za-z]{3,}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "dd": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}"}
+
+
+def shape_of(spark_format: str) -> str:
+    """Regular expression of the texts a format can read."""
+    parts = re.findall(r"(y+|M+|d+)|(.)", spark_format)
+    return "^" + "".join(SHAPES[token] if token else re.escape(sign) for token, sign in parts) + "$"
+
+
 def to_date_with(text: Column, spark_format: str) -> Column:
-    return F.try_to_timestamp(text, F.lit(spark_format)).cast("date")
+    """Date read by one format, else null. A failed parse is dear, so the shape is tested first."""
+    parsed = F.try_to_timestamp(text, F.lit(spark_format)).cast("date")
+    return F.when(text.rlike(shape_of(spark_format)), parsed)
 
 
 def parse_date(text: Column) -> Column:
-    """First of the known formats that fits, else what the general cast understands."""
-    clean = F.trim(text)
-    tries = [to_date_with(clean, spark_format) for _, spark_format in DATE_FORMATS]
-    return F.coalesce(*tries, clean.try_cast("timestamp").cast("date"))
+    """First of the known formats that fits, else what the general cast understands.
+
+    The many branches would make one generated method too large for the JVM to compile, so
+    they sit in a lambda, which is evaluated branch by branch.
+    """
+    def first_fit(clean: Column) -> Column:
+        tries = [to_date_with(clean, spark_format) for _, spark_format in DATE_FORMATS]
+        return F.coalesce(*tries, clean.try_cast("timestamp").cast("date"))
+
+    return F.get(F.transform(F.array(F.trim(text)), first_fit), F.lit(0))
 
 
 def period_label(date: Column, period: str = "month") -> Column:
@@ -72,19 +91,21 @@ def thanksgiving(year: Column) -> Column:
     return F.date_add(F.next_day(F.make_date(year, F.lit(10), F.lit(31)), "THU"), 21)
 
 
-def holidays(year: Column, veterans_day: bool = False) -> Column:
-    """US holidays of a year as a sorted array of dates."""
+def holiday_dates(year: Column, veterans_day: bool = False) -> list[Column]:
+    """US holidays of a year."""
     fixed = [(1, 1), (7, 4), (12, 25), (12, 31)] + ([(11, 11)] if veterans_day else [])
-    days = [F.make_date(year, F.lit(month), F.lit(day)) for month, day in fixed]
     feast = thanksgiving(year)
-    return F.array_sort(F.array(*days, feast, F.date_add(feast, 1)))
+    return [*[F.make_date(year, F.lit(month), F.lit(day)) for month, day in fixed], feast, F.date_add(feast, 1)]
+
+
+def holidays(year: Column, veterans_day: bool = False) -> Column:
+    return F.array(*holiday_dates(year, veterans_day))
 
 
 def is_holiday(date: Column) -> Column:
-    return F.array_contains(holidays(F.year(date)), date).cast("int")
+    return date.isin(*holiday_dates(F.year(date))).cast("int")
 
 
 def days_to_holiday(date: Column) -> Column:
     """Days to the next holiday; 31 December is one, so the same year always has it."""
-    ahead = F.filter(holidays(F.year(date)), lambda day: day >= date)
-    return F.datediff(F.array_min(ahead), date)
+    return F.least(*[F.when(day >= date, F.datediff(day, date)) for day in holiday_dates(F.year(date))])

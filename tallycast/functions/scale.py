@@ -20,6 +20,7 @@ from pyspark.sql.window import WindowSpec
 from tallycast.config import SKEW, SkewConfig
 
 ORDER = ("date", "row_id")
+ONE_TASK_ROWS = 1_000_000
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -189,16 +190,29 @@ def with_item_stats(df: DataFrame, keys: Sequence[str], stats: dict[str, Column]
 
 
 def ranked(
-    items: DataFrame, value: str, key: str = "sku", buckets: int = 128, weight: str | None = None
+    items: DataFrame,
+    value: str,
+    key: str = "sku",
+    weight: str | None = None,
+    buckets: int = 128,
+    one_task: int = ONE_TASK_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add ``rank`` (1 = largest value) and ``running`` (sum of value up to the row).
 
     With ``weight`` a row stands for that many items and ``rank`` is its last item's.
+    ``items`` is read more than once, so hand in a ``kept`` table, and its size when known.
 
-    No task sees all items: values are cut at approximate quantiles, values equal to a cut
+    Up to ``one_task`` rows, counted first, are ordered in one task. Beyond that no task
+    sees all items: values are cut at approximate quantiles, values equal to a cut
     point get a bucket of their own, and such a bucket of ties is cut again by md5(key),
     which is also the order among ties. Exact whatever the cut points are.
     """
+    one = F.col(weight) if weight else F.lit(1)
+    if (items.count() if rows is None else rows) <= one_task:
+        upto = Window.partitionBy(F.lit(0)).orderBy(F.desc(value), F.md5(F.col(key).cast("binary")), key)
+        upto = upto.rowsBetween(Window.unboundedPreceding, 0)
+        return items.withColumns({"rank": F.sum(one).over(upto), "running": F.sum(value).over(upto)})
     steps = ", ".join(f"{i / buckets!r}D" for i in range(buckets + 1))
     cuts = items.agg(F.expr(f"array_distinct(percentile_approx({value}, array({steps}), 10000))").alias("_cuts"))
     tie_order = F.md5(F.col(key).cast("binary"))
@@ -211,7 +225,6 @@ def ranked(
         .withColumn("_part", F.when(on_cut, F.substring("_tie", 1, 2)).otherwise(F.lit("")))
         .drop("_cuts")
     )
-    one = F.col(weight) if weight else F.lit(1)
     # at most (2 * buckets + 1) * 256 rows from here
     by_cell = Window.partitionBy(F.lit(0)).orderBy(F.desc("_bucket"), "_part")
     earlier = by_cell.rowsBetween(Window.unboundedPreceding, -1)

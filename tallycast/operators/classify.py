@@ -71,24 +71,16 @@ def volume_thresholds(metrics: DataFrame, config: ClusterConfig = CLUSTER) -> Da
         return metrics.sparkSession.range(1).select(F.lit(float(a)).alias("a_threshold"), F.lit(float(b)).alias("b_threshold"))
     # equal volumes share one row, so the ranks need no tie order
     volumes = kept(metrics.groupBy("total_volume").agg(F.count(F.lit(1)).alias("items")))
-    size = metrics.agg(F.count(F.lit(1)).alias("_n"))
-
-    def index(percentile: float) -> Column:
-        return F.least(F.floor(F.col("_n") * (100 - percentile) / 100), F.col("_n") - 1)
-
-    wanted = size.select(*[index(p).alias(name) for p, name in zip(config.top_percentiles, ("_a", "_b"))])
+    size = volumes.agg(F.coalesce(F.sum("items"), F.lit(0)).alias("items"), F.count(F.lit(1)).alias("rows")).first()
+    a, b = [min(int(size["items"] * (100 - p) / 100), size["items"] - 1) for p in config.top_percentiles]
     keyed = volumes.withColumn("_key", F.col("total_volume").cast("string"))
-    placed = (
-        ranked(keyed, "total_volume", "_key", weight="items")
-        .withColumn("before", F.col("rank") - F.col("items"))
-        .crossJoin(F.broadcast(wanted))  # one row
-    )
+    placed = ranked(keyed, "total_volume", "_key", weight="items", rows=size["rows"])
 
-    def at(name: str) -> Column:
-        inside = (F.col(name) >= F.col("before")) & (F.col(name) < F.col("before") + F.col("items"))
+    def at(index: int) -> Column:
+        inside = (F.col("rank") > index) & (F.col("rank") - F.col("items") <= index)
         return F.max(F.when(inside, F.col("total_volume")))
 
-    return placed.agg(at("_a").alias("a_threshold"), at("_b").alias("b_threshold"))
+    return placed.agg(at(a).alias("a_threshold"), at(b).alias("b_threshold"))
 
 
 def volume_tier(volume: Column, a: Column, b: Column) -> Column:

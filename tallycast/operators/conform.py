@@ -43,9 +43,12 @@ def conform(df: DataFrame, mapping: Mapping, row_id: str | None = None) -> DataF
     price = to_number(mapping.price) if mapping.price else F.lit(None).cast("double")
     promo = to_promo(df, mapping.promo) if mapping.promo else F.lit(None).cast("int")
     order = F.col(row_id).cast("long") if row_id else F.monotonically_increasing_id()
+    date = to_date(df, mapping.date)
+    if isinstance(df.schema[mapping.date].dataType, T.StringType):
+        date = F.explode(F.array_compact(F.array(date)))  # drops bad dates without parsing twice
     return df.select(
         order.alias("row_id"),
-        to_date(df, mapping.date).alias("date"),
+        date.alias("date"),
         sku.alias("sku"),
         to_number(mapping.quantity).alias("quantity"),
         category.alias("category"),
@@ -116,14 +119,14 @@ def detect_date_format(df: DataFrame, column: str, order: str = "row_id") -> Dat
 
 
 def standardize_dates(df: DataFrame, column: str, order: str = "row_id") -> DataFrame:
-    """Replace text dates by dates, by the detected format or, without one, row by row."""
-    found = detect_date_format(df, column, order).select(F.col("format").alias("_format"))
-    text = F.trim(F.col(column))
-    by_format = F.lit(None).cast("date")
-    for name, spark_format in DATE_FORMATS:
-        by_format = F.when(F.col("_format") == name, to_date_with(text, spark_format)).otherwise(by_format)
-    parsed = F.when(F.col("_format").isNull(), parse_date(F.col(column))).otherwise(by_format)
-    return df.crossJoin(F.broadcast(found)).withColumn(column, parsed).drop("_format")  # one row
+    """Replace text dates by dates, by the detected format or, without one, row by row.
+
+    The format is settled first (one small row), so the table is parsed by a single format.
+    """
+    found = detect_date_format(df, column, order).first()["format"]
+    if found is None:
+        return df.withColumn(column, parse_date(F.col(column)))
+    return df.withColumn(column, to_date_with(F.trim(F.col(column)), dict(DATE_FORMATS)[found]))
 
 
 def strip_times(df: DataFrame) -> DataFrame:

@@ -116,8 +116,9 @@ def choose(candidates: Column) -> Column:
 
 
 def _results(chosen: DataFrame, freq: str) -> DataFrame:
-    best = F.coalesce(F.col("_best"), F.col("naive"))
-    return chosen.withColumn("_best", best).select("sku", F.lit(freq).alias("frequency"), "last_period", "_best.*")
+    # a generator, so that later filters on the result are not copied into the model expressions
+    best = F.array(F.coalesce(F.col("_best"), F.col("naive")))
+    return chosen.select("sku", F.lit(freq).alias("frequency"), "last_period", F.inline(best))
 
 
 def forecast(

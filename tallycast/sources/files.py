@@ -8,19 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUFFIX_FORMAT = {"csv": "csv", "txt": "csv", "parquet": "parquet", "pq": "parquet"}
-REPLACEMENT_CHAR = "�"
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """All columns as text; roles are typed later by ``conform``.
 
-    Without an encoding, UTF-8 is used unless its decoder had to replace bytes; then the
-    file is Latin-1.
+    Without an encoding, UTF-8 is used unless a line is not valid UTF-8; then the file is
+    Latin-1. The check stops at the first such line.
     """
     reader = spark.read.option("header", True).option("escape", '"')
     if encoding is None:
         lines = spark.read.text(path)
-        damaged = lines.filter(F.col("value").contains(REPLACEMENT_CHAR))
+        damaged = lines.filter(~F.is_valid_utf8("value"))
         encoding = "UTF-8" if damaged.isEmpty() else "ISO-8859-1"
     if encoding != "UTF-8":
         reader = reader.option("encoding", encoding)

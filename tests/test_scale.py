@@ -64,12 +64,13 @@ def test_quantiles_by_rank_equal_percentile(spark, skewed):
     assert total == pytest.approx(exact_quantiles(values, [], "quantity", [0.5], split=False).first()["q"][0])
 
 
-def test_ranked_with_many_ties(spark):
+@pytest.mark.parametrize("one_task", [0, 10_000])
+def test_ranked_with_many_ties(spark, one_task):
     items = spark.range(3000).select(
         F.col("id").cast("string").alias("sku"),
         F.when(F.col("id") % 3 == 0, 7.0).when(F.col("id") % 50 == 0, -1.5).otherwise(F.sqrt("id")).alias("v"),
     )
-    got = ranked(items, "v", buckets=8).collect()
+    got = ranked(items, "v", buckets=8, one_task=one_task).collect()
     expected = sorted(items.withColumn("h", F.md5(F.col("sku").cast("binary"))).collect(), key=lambda r: (-r["v"], r["h"]))
     running = 0.0
     by_sku = {row["sku"]: row for row in got}
