@@ -23,7 +23,9 @@ def to_date(df: DataFrame, name: str) -> Column:
 
 
 def to_number(name: str) -> Column:
-    return F.col(name).try_cast("double")
+    """A number, or null for other text and for NaN (which Spark would sort above all numbers)."""
+    number = F.col(name).try_cast("double")
+    return F.when(~F.isnan(number), number)
 
 
 def to_promo(df: DataFrame, name: str) -> Column:
