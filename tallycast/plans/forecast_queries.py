@@ -71,6 +71,9 @@ _check("m5_seasonal_naive", "seasonal_naive", "W", _supp, SUPP, seasonal_naive_s
 _check("m5_seasonal_naive_short", "seasonal_naive", "W", events, EVENTS, seasonal_naive_sql(52, H))
 _check("m6_smoothing_monthly", "exponential_smoothing", "M", _supp, SUPP, smoothing_sql(12, H))
 _check("m6_smoothing_no_season", "exponential_smoothing", "W", events, EVENTS, smoothing_sql(1, H))
+DAILY_SQL = f"""{smoothing_sql(7, H, 'seasoned', 'n >= 14')}, {smoothing_sql(1, H, 'plain', 'n BETWEEN 2 AND 13')},
+    exponential_smoothing AS (SELECT * FROM seasoned UNION ALL SELECT * FROM plain)"""
+_check("m6_smoothing_daily", "exponential_smoothing", "D", events, EVENTS, DAILY_SQL)
 _check("m7_arima", "arima", "W", _supp, SUPP, arima_sql(H))
 _check("m8_theta", "theta", "M", _supp, SUPP, theta_sql(12, H))
 MEMBERS_SQL = f"{smoothing_sql(12, H)}, {arima_sql(H)}, {theta_sql(12, H)}"

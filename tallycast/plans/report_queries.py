@@ -81,7 +81,8 @@ def _bookmarks(spark, folder):
 
 
 BOOKMARKS = "bookmarks AS (SELECT CAST(user_id AS VARCHAR) AS sku, arg_max(event_type, ts) AS note, min(ts) AS added_at FROM events GROUP BY user_id)"
-R.add("k1_add_bookmarks", "sku, note, added_at", f"WITH {BOOKMARKS} SELECT * FROM bookmarks", _bookmarks)
+R.add("k1_add_bookmarks", "sku, note, added_at", f"WITH {BOOKMARKS} SELECT * REPLACE (strftime(added_at, '%Y-%m-%d %H:%M:%S') AS added_at) FROM bookmarks",
+      lambda s, d: _bookmarks(s, d).withColumn("added_at", F.date_format("added_at", "yyyy-MM-dd HH:mm:ss")))
 R.add("k1_remove_bookmarks", "sku, note", f"WITH {BOOKMARKS}, {events_sql()}, {IQR_SQL} SELECT * FROM bookmarks WHERE sku NOT IN (SELECT sku FROM anomalies WHERE severity >= 1)",
       lambda s, d: stages.remove_bookmarks(_bookmarks(s, d), anomaly.detect_iqr(events(s, d)).filter("severity >= 1")))
 R.add("k1_is_bookmarked", "sku, is_bookmarked", f"WITH {BOOKMARKS}, {demand_sql('part')} SELECT DISTINCT sku, sku IN (SELECT sku FROM bookmarks) AS is_bookmarked FROM demand",

@@ -270,3 +270,43 @@ def test_review_actions(spark):
     assert out == [8.0, 3.0]
     assert {r["action"]: r["anomalies"] for r in anomaly.action_counts(reviewed).collect()} == {"Auto-correct": 2, "Remove": 1, "Flag": 1}
     assert [r["sku"] for r in anomaly.flagged_items(reviewed).collect()] == ["a"]
+
+
+@pytest.mark.parametrize("freq", ["D", "W", "M"])
+def test_additive_uses_the_labels_of_the_series(spark, freq):
+    import numpy as np
+
+    from tallycast.functions.dates import step_date
+    from tallycast.operators.models.additive import period_days
+
+    last = {"D": date(2024, 2, 28), "W": date(2024, 3, 3), "M": date(2024, 1, 31)}[freq]
+    labels = spark.range(-3, 3).select(F.unix_date(step_date(F.lit(last), F.col("id").cast("int"), freq)).alias("d"))
+    expected = sorted(r["d"] for r in labels.collect())
+    assert period_days(np.datetime64(last), 4, 2, freq).tolist() == expected
+
+
+def test_additive_continues_a_line(spark):
+    line = demand(spark, [100 + 2 * i for i in range(800)])
+    fitted = forecast.run_models(series.pack(line, "D"), ["additive"], 5, "D").first()["additive"]
+    assert fitted["forecast"] == pytest.approx([100 + 2 * (800 + i) for i in range(5)], rel=0.01)
+    assert fitted["mape"] < 1
+
+
+def test_smoothing_learns_a_season(spark):
+    week = [5, 10, 20, 40, 20, 10, 5]
+    item = demand(spark, [week[i % 7] for i in range(70)])
+    fitted = forecast.run_models(series.pack(item, "D"), ["exponential_smoothing", "theta"], 7, "D").first()
+    assert fitted["exponential_smoothing"]["forecast"] == pytest.approx(week, abs=1e-6)
+    assert fitted["theta"]["forecast"] == pytest.approx(week, abs=1.0)
+
+
+def test_boosted_model_beats_the_mean(spark):
+    week = [5, 10, 20, 40, 20, 10, 5]
+    df = demand(spark, [week[i % 7] for i in range(140)]).union(demand(spark, [3 * week[i % 7] for i in range(140)], sku="b"))
+    df = df.union(demand(spark, [1, 2, 3], sku="short"))
+    packed = series.pack(df, "D")
+    rows = {r["sku"]: r["gbt_leaf"] for r in forecast.run_models(packed, ["gbt_leaf"], 7, "D").select("sku", "gbt_leaf").collect()}
+    assert rows["a"]["model"] == rows["b"]["model"] == "gbt_leaf"
+    assert rows["b"]["mape"] < 20
+    assert rows["b"]["forecast"] == pytest.approx([3 * v for v in rows["a"]["forecast"]], rel=1e-6)
+    assert rows["short"]["model"] == "exponential_smoothing"
