@@ -126,53 +126,42 @@ def ordered_rows(
         return Ordered(df, key, order, False)
 
     day, row_id = order
-    hot = hot_items(df, key, skew)
-    days = (
-        df.join(F.broadcast(hot), key, "left_semi")  # at most total rows / hot_rows items
-        .groupBy(key, day)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(row_id).alias("_lo"), F.max(row_id).alias("_hi"))
+    hot = F.broadcast(hot_items(df, key, skew))  # at most total rows / hot_rows items
+    long_items = df.join(hot, key, "left_semi")
+    others = df.join(hot, key, "left_anti").withColumns(
+        {"_seg": F.lit(0), "_own": F.lit(True), "_ahead": F.lit(0).cast("long")}
+    )
+    days = long_items.groupBy(key, day).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(row_id).alias("_lo"), F.max(row_id).alias("_hi")
     )
     # a day of ordinary size is one cell; a crowded day is cut into equal id ranges
     position = (F.col(row_id) - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1).cast("double")
     ranges = F.ceil(F.col("_n") / skew.cell_rows) * 4
     cell = F.when(F.col("_n") <= skew.cell_rows, F.lit(0)).otherwise(F.floor(position * ranges)).cast("long")
-    placed = df.join(days, [key, day], "left").withColumn("_cell", F.coalesce(cell, F.lit(-1))).drop("_n", "_lo", "_hi")
+    placed = long_items.join(days, [key, day]).withColumn("_cell", cell).drop("_n", "_lo", "_hi")
 
-    in_item = Window.partitionBy(key).orderBy(day, "_cell")
-    upto = in_item.rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(key).orderBy(day, "_cell").rowsBetween(Window.unboundedPreceding, 0)
+    in_segment = Window.partitionBy(key, "_seg")
     cells = (
-        placed.filter("_cell >= 0")
-        .groupBy(key, day, "_cell")
+        placed.groupBy(key, day, "_cell")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_end", F.sum("_n").over(upto))
         .withColumn("_start", F.col("_end") - F.col("_n"))
         .withColumn("_seg", F.floor(F.col("_start") / skew.hot_rows).cast("int"))
-    )
-    in_segment = Window.partitionBy(key, "_seg")
-    last_segment = F.max("_seg").over(Window.partitionBy(key))
-    cells = (
-        cells.withColumn("_ahead", F.min("_start").over(in_segment))
+        .withColumn("_ahead", F.min("_start").over(in_segment))
         .withColumn("_stop", F.max("_end").over(in_segment))
-        .withColumn("_last", last_segment)
+        .withColumn("_last", F.max("_seg").over(Window.partitionBy(key)))
     )
     to_next = (F.col("_stop") - F.col("_end") < before) & (F.col("_seg") < F.col("_last"))
     to_previous = (F.col("_start") - F.col("_ahead") < after) & (F.col("_seg") > 0)
     copies = F.array_compact(F.array(
-        F.struct(F.col("_seg").alias("seg"), F.lit(True).alias("own")),
-        F.when(to_next, F.struct((F.col("_seg") + 1).alias("seg"), F.lit(False).alias("own"))),
-        F.when(to_previous, F.struct((F.col("_seg") - 1).alias("seg"), F.lit(False).alias("own"))),
+        F.struct(F.col("_seg").alias("_seg"), F.lit(True).alias("_own")),
+        F.when(to_next, F.struct((F.col("_seg") + 1).alias("_seg"), F.lit(False).alias("_own"))),
+        F.when(to_previous, F.struct((F.col("_seg") - 1).alias("_seg"), F.lit(False).alias("_own"))),
     ))
     cells = cells.select(key, day, "_cell", "_ahead", copies.alias("_copies"))
-    alone = F.array(F.struct(F.lit(0).alias("seg"), F.lit(True).alias("own")))
-    segmented = (
-        placed.join(cells, [key, day, "_cell"], "left")
-        .withColumn("_copy", F.explode(F.coalesce("_copies", alone)))
-        .withColumn("_seg", F.col("_copy.seg"))
-        .withColumn("_own", F.col("_copy.own"))
-        .withColumn("_ahead", F.coalesce("_ahead", F.lit(0)))
-        .drop("_cell", "_copies", "_copy")
-    )
-    return Ordered(segmented.select(*df.columns, "_seg", "_own", "_ahead"), key, order, True)
+    segments = placed.join(cells, [key, day, "_cell"]).select(*df.columns, "_ahead", F.inline("_copies"))
+    return Ordered(others.unionByName(segments), key, order, True)
 
 
 def with_item_stats(df: DataFrame, keys: Sequence[str], stats: dict[str, Column], split: bool) -> DataFrame:
@@ -260,6 +249,7 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     split: bool,
+    skew: SkewConfig = SKEW,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group: columns keys, ``q`` (array), ``n``.
 
@@ -269,13 +259,19 @@ def exact_quantiles(
     values of the final slice picks the value.
     """
     keys = list(keys)
-    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    if split and keys:
+        hot = F.broadcast(hot_items(df, keys[0], skew))  # at most total rows / hot_rows items
+        usual = exact_quantiles(df.join(hot, keys[0], "left_anti"), keys, value, probs, False)
+        return usual.unionByName(_quantiles_by_rank(df.join(hot, keys[0], "left_semi"), keys, value, probs))
+    if split:
+        return _quantiles_by_rank(df, keys, value, probs)
     wanted = ", ".join(f"{p!r}D" for p in probs)
-    if not split:
-        return known.groupBy(*keys).agg(
-            F.expr(f"percentile(_v, array({wanted}))").alias("q"), F.count(F.lit(1)).alias("n")
-        )
+    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    return known.groupBy(*keys).agg(F.expr(f"percentile(_v, array({wanted}))").alias("q"), F.count(F.lit(1)).alias("n"))
+
 
+def _quantiles_by_rank(df: DataFrame, keys: list[str], value: str, probs: Sequence[float]) -> DataFrame:
+    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     counted = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", _value_bucket(F.col("_v")))
     total = Window.partitionBy(*keys)
     in_order = total.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -28,7 +28,7 @@ def detect_iqr(df: DataFrame, config: AnomalyConfig = ANOMALY, skew: SkewConfig
     split = is_split_needed(df, "sku", skew) if split is None else split
     k = config.iqr_multiplier
     spread = F.col("q")[2] - F.col("q")[0]
-    fences = exact_quantiles(df, ["sku"], "quantity", [0.25, 0.5, 0.75], split).filter("n >= 4").select(
+    fences = exact_quantiles(df, ["sku"], "quantity", [0.25, 0.5, 0.75], split, skew).filter("n >= 4").select(
         "sku",
         F.col("q")[1].alias("_median"),
         spread.alias("_iqr"),

@@ -1,6 +1,7 @@
 """The split form of skew-prone operators gives the rows of the plain form."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallycast.config import AnomalyConfig, SkewConfig
@@ -22,6 +23,8 @@ def rows(df):
 def skewed(spark, folder):
     """One item holds a third of the rows, most of them on few days."""
     df = dirty(spark, folder, "part")
+    unique = F.row_number().over(Window.orderBy("row_id", "sku", "date", "price"))  # merged items repeat ids
+    df = df.withColumn("row_id", unique.cast("long"))
     hot = F.col("row_id") % 3 == 0
     day = F.when(hot & (F.col("row_id") % 2 == 0), F.lit("1998-03-05").cast("date")).otherwise(F.col("date"))
     df = df.withColumn("sku", F.when(hot, "hot").otherwise(F.col("sku"))).withColumn("date", day)
@@ -54,10 +57,11 @@ def test_split_and_plain_agree(skewed, operator):
     assert rows(operator(skewed, skew=TINY, split=True)) == plain
 
 
-def test_quantiles_by_rank_equal_percentile(spark, skewed):
+@pytest.mark.parametrize("skew", [TINY, SkewConfig(hot_rows=0)])
+def test_quantiles_by_rank_equal_percentile(spark, skewed, skew):
     values = skewed.withColumn("quantity", F.col("quantity") * 1.37 - F.col("price") / 1000)
     plain = exact_quantiles(values, ["sku"], "quantity", [0.0, 0.1, 0.5, 0.99, 1.0], split=False)
-    ranks = exact_quantiles(values, ["sku"], "quantity", [0.0, 0.1, 0.5, 0.99, 1.0], split=True)
+    ranks = exact_quantiles(values, ["sku"], "quantity", [0.0, 0.1, 0.5, 0.99, 1.0], split=True, skew=skew)
     flat = lambda df: rows(df.select("sku", F.col("n").cast("long").alias("n"), *[F.col("q")[i].alias(f"q{i}") for i in range(5)]))
     assert flat(ranks) == flat(plain)
     total = exact_quantiles(values, [], "quantity", [0.5], split=True).first()["q"][0]
