@@ -57,6 +57,11 @@ def test_split_and_plain_agree(skewed, operator):
     assert rows(operator(skewed, skew=TINY, split=True)) == plain
 
 
+def test_features_choose_the_way_per_item(skewed):
+    plain = rows(features.create_features(skewed, "all_20", split=False))
+    assert rows(features.create_features(skewed, "all_20", skew=TINY)) == plain
+
+
 @pytest.mark.parametrize("skew", [TINY, SkewConfig(hot_rows=0)])
 def test_quantiles_by_rank_equal_percentile(spark, skewed, skew):
     values = skewed.withColumn("quantity", F.col("quantity") * 1.37 - F.col("price") / 1000)
