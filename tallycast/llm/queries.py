@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallycast.llm import simhash
+from tallycast.llm import secret_scan, simhash
 from tallycast.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, folder, "documents")))
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
