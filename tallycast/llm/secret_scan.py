@@ -230,7 +230,8 @@ def digest(found: DataFrame) -> DataFrame:
     """Counts of the base kinds and the spans as text, from ``scan``."""
     shown = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     base = F.filter("spans", lambda s: s["kind"].isin([rule.kind for rule in BASE]))
-    counts = [F.size(F.filter("spans", lambda s, k=rule.kind: s["kind"] == k)).cast("long").alias(f"n_{rule.kind}") for rule in BASE]
+    of_kind = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    counts = [F.size(of_kind(rule.kind)).cast("long").alias(f"n_{rule.kind}") for rule in BASE]
     return found.select(
         "doc_id", *counts,
         F.sha2(F.array_join(F.transform(base, shown), ","), 256).alias("base_sha256"),
