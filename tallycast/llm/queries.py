@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallycast.llm import secret_scan, simhash
+from tallycast.llm import mixing, secret_scan, simhash
 from tallycast.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.plan(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 ORACLES: dict[str, str] = {}
 
 
