@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallycast.llm import mixing, secret_scan, simhash
+from tallycast.llm import mixing, packing, secret_scan, simhash, token_counts
 from tallycast.llm.common import table
 
+WORD_TOKENIZER = "word_bpe_49k.json"  # a file of the public tokenizers, whose folder is given at run time
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -20,11 +22,25 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(WORD_TOKENIZER)
+
+
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokenizer_path(), with_ids=False)
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.plan(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.document_counts(table(spark, folder, "documents"), tokenizer_path())
+
+
 ORACLES: dict[str, str] = {}
 
 
