@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallycast.llm import mixing, packing, secret_scan, simhash, token_counts
+from tallycast.llm import lattice_dedup, mixing, packing, secret_scan, simhash, token_counts
 from tallycast.llm.common import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"  # a file of the public tokenizers, whose folder is given at run time
@@ -14,6 +14,10 @@ WORD_TOKENIZER = "word_bpe_49k.json"  # a file of the public tokenizers, whose f
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, folder, "documents")))
 
