@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallycast.llm import chat, lattice_dedup, mixing, packing, secret_scan, simhash, token_counts
+from tallycast.llm import chat, language, lattice_dedup, mixing, packing, quality_trees, secret_scan, simhash, token_counts
 from tallycast.llm.common import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"  # a file of the public tokenizers, whose folder is given at run time
@@ -34,6 +34,10 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_trees.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -49,6 +53,10 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.document_counts(table(spark, folder, "documents"), tokenizer_path())
 
