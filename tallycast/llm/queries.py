@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallycast.llm import chat, language, lattice_dedup, mixing, packing, quality_trees, secret_scan, simhash, token_counts
+from tallycast.llm import chat, hamming_search, language, lattice_dedup, mixing, packing, quality_trees, secret_scan, simhash, token_counts
 from tallycast.llm.common import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"  # a file of the public tokenizers, whose folder is given at run time
@@ -61,6 +62,13 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.document_counts(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op10_hamming(spark: SparkSession, folder: str) -> DataFrame:
+    code = hamming_search.sign_code(F.col("embedding")).alias("code")
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), code)
+    found = hamming_search.search(rows, rows.filter("id % 50 = 0"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 ORACLES: dict[str, str] = {
     "op2_chat": """
         WITH c AS (
@@ -77,6 +85,18 @@ ORACLES: dict[str, str] = {
                sum(chars)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op10_hamming": """
+        WITH codes AS (
+            SELECT DISTINCT vec_id, list_sum(list_transform(range(64), lambda i:
+                       CASE WHEN embedding[i + 1] > 0 THEN 1::HUGEINT << i::HUGEINT ELSE 0::HUGEINT END))::HUGEINT AS code
+            FROM embeddings WHERE embedding IS NOT NULL
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, r.vec_id, bit_count(xor(q.code, r.code))::BIGINT AS distance
+            FROM codes q JOIN codes r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank, vec_id, distance
+        FROM pairs QUALIFY rank <= 10
+    """,
 }
 
 
