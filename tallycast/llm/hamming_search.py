@@ -1,15 +1,15 @@
 """Exact top-k by Hamming distance: incremental multi-index hashing of 64-bit codes.
 
-A code is cut into m segments, of so many bits that the list of rows under one segment value has
-about ``LIST_MEAN``, and every row is listed under each of its segments. A row at distance d from a query agrees with it in some segment up to d / m bits,
+A code is cut into m segments, and every row is listed under each of its segments; m is chosen
+for the number of rows, by the lookups and comparisons that codes without structure would need. A row at distance d from a query agrees with it in some segment up to d / m bits,
 so once all segment values within r bits of the query's have been looked up, every row with
 distance below m * (r + 1) has been seen. The radius r grows by one per round, for the queries
 only whose k-th best verified distance is not below that yet; each round looks up just the
 values at exactly r bits.
 
 Queries and rows meet in Spark by segment value. Lists and lookups of one value are cut by hash
-into parts, so no task holds a whole list, and each task hands on the best k per query of all it
-compared, not the pairs. Of rows with equal codes the k + 1 smallest ids are enough.
+into parts, so no task holds a whole list. Each task hands on the best k per query of all it
+compared, and none beyond the k-th best of earlier rounds; pairs are not handed on. Of rows with equal codes the k + 1 smallest ids are enough.
 
 Ties are broken by id, so the result is the same for any plan. Defined results: rows without a
 code or id are neither found nor search; a query does not find rows with its own id; repeated
@@ -20,7 +20,7 @@ rows; other columns are not looked at.
 from __future__ import annotations
 
 from itertools import combinations
-from math import log2
+from math import comb, factorial
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from tallycast.llm.simhash import BITS_SET
 
 K = 10
 BITS = 64
-LIST_MEAN = 32
+LOOKUP_COST = 100  # a row through a shuffle, in comparisons of two codes
 LIST_ROWS = 4096
 PAIRS_AT_ONCE = 200_000
 GROUP = ("_segment", "_value", "_i", "_j")
@@ -45,9 +45,20 @@ def sign_code(vector: Column) -> Column:
     return F.aggregate(terms, none, lambda code, bit: code.bitwiseOR(bit))
 
 
-def segments(rows: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each segment for a table of so many rows."""
-    count = max(1, min(16, round(BITS / max(1.0, log2(max(2.0, rows / LIST_MEAN))))))
+def segments(rows: int, k: int = K) -> list[tuple[int, int]]:
+    """(first bit, bits) of each segment for a table of so many rows.
+
+    The cost is estimated for random codes, where the k-th nearest row is at the distance below
+    which lies a share k / rows of all codes. Any number of segments gives exact results.
+    """
+    within = np.cumsum([comb(BITS, d) / 2.0 ** BITS for d in range(BITS + 1)])
+    kth = int(np.searchsorted(within, min(1.0, k / max(1, rows)))) + 1
+    costs = {}
+    for count in range(1, 17):
+        bits = BITS / count
+        lookups = count * sum(bits ** r / factorial(r) for r in range(kth // count + 1))
+        costs[count] = lookups * (LOOKUP_COST + rows / 2.0 ** bits)
+    count = min(costs, key=costs.get)
     edges = [round(i * BITS / count) for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
@@ -69,7 +80,7 @@ def _compared(k: int):
     def work(batches):
         best, kept = [], 0
         for rows, starts in common.whole_runs(batches, GROUP):
-            asks, id_, code = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "id", "code"))
+            asks, id_, code, bound = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "id", "code", "bound"))
             number = np.cumsum(np.bincount(starts, minlength=len(id_))) - 1
             listed = np.bincount(number, ~asks, len(starts)).astype(np.int64)  # rows come before queries
             query = np.flatnonzero(asks & (listed[number] > 0))
@@ -81,8 +92,8 @@ def _compared(k: int):
                 q = np.repeat(query[at:end], count[at:end])
                 row = starts[number[q]] + np.arange(len(q)) - np.repeat(upto[at:end] - count[at:end] - (upto[at - 1] if at else 0), count[at:end])
                 distance = BITS_SET[(code[q] ^ code[row]).view(np.uint8).reshape(-1, 8)].sum(axis=1, dtype=np.int64)
-                other = id_[q] != id_[row]
-                best.append(np.column_stack([id_[q], distance, id_[row]])[other])
+                near = (id_[q] != id_[row]) & (distance <= bound[q])
+                best.append(np.column_stack([id_[q], distance, id_[row]])[near])
                 kept += len(best[-1])
                 if kept > 4 * PAIRS_AT_ONCE:
                     best = [_top(np.concatenate(best), k)]
@@ -127,8 +138,9 @@ def _look_up(asked: DataFrame, listed: DataFrame, sizes: DataFrame, k: int, list
     askers = asked.groupBy(*value).agg(F.ceil(F.count(F.lit(1)) / list_rows).cast("int").alias("_askers"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     of_queries = asked.join(askers, value).withColumn("_j", F.pmod(F.xxhash64("id"), F.col("_askers")).cast("int"))
-    of_queries = of_queries.select(*value, every("_lists").alias("_i"), "_j", F.lit(True).alias("asks"), "id", "code")
-    of_rows = listed.join(askers, value).select(*value, "_i", every("_askers").alias("_j"), F.lit(False).alias("asks"), "id", "code")
+    of_queries = of_queries.select(*value, every("_lists").alias("_i"), "_j", F.lit(True).alias("asks"), "id", "code", "bound")
+    of_rows = listed.join(askers, value).select(
+        *value, "_i", every("_askers").alias("_j"), F.lit(False).alias("asks"), "id", "code", F.lit(0).cast("long").alias("bound"))
     met = of_rows.unionByName(of_queries).repartition(*GROUP).sortWithinPartitions(*GROUP, "asks")
     return common.map_batches(met, _compared(k), "query_id long, distance long, id long")
 
@@ -136,8 +148,8 @@ def _look_up(asked: DataFrame, listed: DataFrame, sizes: DataFrame, k: int, list
 def search(rows: DataFrame, queries: DataFrame, k: int = K, list_rows: int = LIST_ROWS) -> DataFrame:
     """(query_id, rank, id, distance): the k nearest of ``rows`` (id, code) to each of ``queries`` (id, code)."""
     known = common.keep(rows.filter("id is not null and code is not null").select("id", "code").distinct())
-    waiting = common.keep(queries.filter("id is not null and code is not null").select("id", "code").distinct())
-    parts = segments(known.count())
+    waiting = common.keep(queries.filter("id is not null and code is not null").select("id", "code", F.lit(BITS).cast("long").alias("bound")).distinct())
+    parts = segments(known.count(), k)
     by_code = Window.partitionBy("code").orderBy("id")
     enough = known.withColumn("_n", F.row_number().over(by_code)).filter(F.col("_n") <= k + 1)
     masks = _segment_masks(parts)
@@ -150,10 +162,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, list_rows: int = LIS
     best = None
     for radius in range(max(bits for _, bits in parts) + 1):
         flips = F.array(*[_flips(first, bits, radius) for first, bits in parts])
-        asked = waiting.select("id", "code", F.posexplode(flips).alias("_segment", "_flips")).select(
-            "_segment", "id", "code", F.explode("_flips").alias("_flip"))
+        asked = waiting.select("id", "code", "bound", F.posexplode(flips).alias("_segment", "_flips")).select(
+            "_segment", "id", "code", "bound", F.explode("_flips").alias("_flip"))
         own = F.element_at(masks, F.col("_segment") + 1).bitwiseAND(F.col("code"))
-        asked = asked.select("_segment", own.bitwiseXOR(F.col("_flip")).alias("_value"), "id", "code")
+        asked = asked.select("_segment", own.bitwiseXOR(F.col("_flip")).alias("_value"), "id", "code", "bound")
         found = _look_up(asked, listed, sizes, k, list_rows)
         merged = common.keep(_merged(found if best is None else found.unionByName(best.drop("rank")), k))
         if best is not None:
@@ -161,8 +173,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, list_rows: int = LIS
         best = merged
         last = best.groupBy("query_id").agg(F.max("distance").alias("_last"), F.count(F.lit(1)).alias("_n"))
         seen = len(parts) * (radius + 1)  # all rows nearer than this have been compared
-        done = last.filter((F.col("_n") >= k) & (F.col("_last") < seen)).select(F.col("query_id").alias("id"))
-        further = common.keep(waiting.join(done, "id", "left_anti"))
+        state = waiting.join(last.withColumnRenamed("query_id", "id"), "id", "left")
+        full = F.coalesce(F.col("_n") >= k, F.lit(False))
+        further = common.keep(state.filter(~(full & (F.col("_last") < seen))).select(
+            "id", "code", F.when(full, F.col("_last")).otherwise(F.col("bound")).alias("bound")))  # no more than the k-th best so far
         common.release(waiting)
         waiting = further
         if waiting.isEmpty():
