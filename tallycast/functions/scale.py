@@ -1,16 +1,18 @@
 """Skew-safe building blocks: segments of long items, distributed ranks, exact quantiles.
 
-A window partitioned by item puts a whole item into one task. That is the cheapest plan
-while items are small, so each block first counts rows per item (one column, combined
-before the shuffle). Only when an item exceeds ``SkewConfig.hot_rows`` are long items cut
-into consecutive segments, with the neighbouring rows that a bounded frame needs copied
-across each cut. Both ways give the same rows.
+A window partitioned by item puts a whole item into one task. That is the cheapest plan for
+items of ordinary size; items above ``SkewConfig.hot_rows`` are cut into consecutive segments,
+with the neighbouring rows that a bounded frame needs copied across each cut. Every plan holds
+both ways (``both_ways``): rows per item are counted in the plan (one column, combined before
+the shuffle), and the way of the hot items is empty where there are none. Null items and null
+dates are kept and cut like any other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +22,7 @@ from pyspark.sql.window import WindowSpec
 from tallycast.config import SKEW, SkewConfig
 
 ORDER = ("date", "row_id")
-ONE_TASK_ROWS = 1_000_000
+SPLIT_BITS = 33  # bits of a row id below the split number, see sources.files.with_row_id
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -32,6 +34,15 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Join on equal keys, null equal to null. ``small`` marks a right side of bounded size."""
+    others = [F.col(name) for name in right.columns if name not in keys]
+    right = right.select(*[F.col(key).alias(f"_same_{key}") for key in keys], *others)
+    same = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_same_{key}")) for key in keys])
+    joined = left.join(F.broadcast(right) if small else right, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_same_{key}" for key in keys])
+
+
 def hot_items(df: DataFrame, key: str = "sku", skew: SkewConfig = SKEW) -> DataFrame:
     """Items with more than ``hot_rows`` rows: at most total rows / hot_rows of them."""
     return (
@@ -42,8 +53,18 @@ def hot_items(df: DataFrame, key: str = "sku", skew: SkewConfig = SKEW) -> DataF
     )
 
 
-def is_split_needed(df: DataFrame, key: str = "sku", skew: SkewConfig = SKEW) -> bool:
-    return not hot_items(df, key, skew).isEmpty()
+def both_ways(
+    df: DataFrame, build: Callable[[DataFrame, bool], DataFrame], skew: SkewConfig = SKEW, split: bool | None = None, key: str = "sku"
+) -> DataFrame:
+    """``build(rows, False)`` for items of ordinary size and ``build(rows, True)`` for hot ones, in one plan.
+
+    ``split`` forces one way for all items.
+    """
+    if split is not None:
+        return build(df, split)
+    hot = hot_items(df, key, skew)
+    usual = build(join_same(df, hot, [key], "left_anti", small=True), False)
+    return usual.unionByName(build(join_same(df, hot, [key], "left_semi", small=True), True))
 
 
 @dataclass(frozen=True)
@@ -102,7 +123,25 @@ class Ordered:
             frame = by_segment.rowsBetween(1, Window.unboundedFollowing)
             passed = F.first("_value", ignorenulls=True).over(frame)
         offsets = per_segment.withColumn(name, passed).drop("_value")
-        return self.with_df(self.df.join(offsets, self.keys, "left"))
+        return self.with_df(join_same(self.df, offsets, self.keys, "left"))
+
+
+def _cells(df: DataFrame, key: str, day: str, row_id: str, skew: SkewConfig) -> DataFrame:
+    """Add ``_split`` and ``_range``: rows of an item in the order of (day, _split, _range) are in the order of (day, id).
+
+    A day of ordinary size is one cell. A crowded one is cut into ranges of split numbers, and
+    a range that still is crowded, since rows may clump in some splits, into ranges of ids.
+    """
+    def ranges(n: str, value: Column, low: str, high: str) -> Column:
+        place = (value - F.col(low)).cast("double") / (F.col(high) - F.col(low) + 1).cast("double")
+        cut = F.floor(place * F.ceil(F.col(n) / skew.cell_rows) * 4)
+        return F.when(F.col(n) <= skew.cell_rows, F.lit(0)).otherwise(cut).cast("long")
+
+    split, row = F.shiftright(F.col(row_id), SPLIT_BITS), F.col(row_id)
+    for name, value, keys in (("_split", split, [key, day]), ("_range", row, [key, day, "_split"])):
+        stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        df = join_same(df, stats, keys).withColumn(name, ranges("_n", value, "_lo", "_hi")).drop("_n", "_lo", "_hi")
+    return df
 
 
 def ordered_rows(
@@ -112,38 +151,24 @@ def ordered_rows(
     before: int = 0,
     after: int = 0,
     skew: SkewConfig = SKEW,
-    split: bool | None = None,
+    split: bool = False,
 ) -> Ordered:
     """Prepare ``df`` for row frames that reach ``before`` rows back and ``after`` ahead.
 
-    ``order`` is (date, unique long id). Segments are runs of (date, id range) cells, so no
-    row has to be numbered to be placed.
+    ``order`` is (date, unique long id). Segments are runs of cells, by the running count of
+    their rows, so no row has to be numbered to be placed.
     """
     order = tuple(order)
-    if split is None:
-        split = is_split_needed(df, key, skew)
     if not split:
         return Ordered(df, key, order, False)
 
     day, row_id = order
-    hot = F.broadcast(hot_items(df, key, skew))  # at most total rows / hot_rows items
-    long_items = df.join(hot, key, "left_semi")
-    others = df.join(hot, key, "left_anti").withColumns(
-        {"_seg": F.lit(0), "_own": F.lit(True), "_ahead": F.lit(0).cast("long")}
-    )
-    days = long_items.groupBy(key, day).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(row_id).alias("_lo"), F.max(row_id).alias("_hi")
-    )
-    # a day of ordinary size is one cell; a crowded day is cut into equal id ranges
-    position = (F.col(row_id) - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1).cast("double")
-    ranges = F.ceil(F.col("_n") / skew.cell_rows) * 4
-    cell = F.when(F.col("_n") <= skew.cell_rows, F.lit(0)).otherwise(F.floor(position * ranges)).cast("long")
-    placed = long_items.join(days, [key, day]).withColumn("_cell", cell).drop("_n", "_lo", "_hi")
-
-    upto = Window.partitionBy(key).orderBy(day, "_cell").rowsBetween(Window.unboundedPreceding, 0)
+    placed = _cells(df, key, day, row_id, skew)
+    place = [day, "_split", "_range"]
+    upto = Window.partitionBy(key).orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
     in_segment = Window.partitionBy(key, "_seg")
     cells = (
-        placed.groupBy(key, day, "_cell")
+        placed.groupBy(key, *place)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_end", F.sum("_n").over(upto))
         .withColumn("_start", F.col("_end") - F.col("_n"))
@@ -152,16 +177,21 @@ def ordered_rows(
         .withColumn("_stop", F.max("_end").over(in_segment))
         .withColumn("_last", F.max("_seg").over(Window.partitionBy(key)))
     )
-    to_next = (F.col("_stop") - F.col("_end") < before) & (F.col("_seg") < F.col("_last"))
-    to_previous = (F.col("_start") - F.col("_ahead") < after) & (F.col("_seg") > 0)
+    # segments without rows of their own can't be neighbours, so the next one is looked up, not counted up
+    numbers = cells.select(key, "_seg").distinct()
+    in_order = Window.partitionBy(key).orderBy("_seg")
+    numbers = numbers.withColumns({"_next": F.lead("_seg").over(in_order), "_previous": F.lag("_seg").over(in_order)})
+    cells = join_same(cells, numbers, [key, "_seg"])
+    to_next = (F.col("_stop") - F.col("_end") < before) & F.col("_next").isNotNull()
+    to_previous = (F.col("_start") - F.col("_ahead") < after) & F.col("_previous").isNotNull()
     copies = F.array_compact(F.array(
         F.struct(F.col("_seg").alias("_seg"), F.lit(True).alias("_own")),
-        F.when(to_next, F.struct((F.col("_seg") + 1).alias("_seg"), F.lit(False).alias("_own"))),
-        F.when(to_previous, F.struct((F.col("_seg") - 1).alias("_seg"), F.lit(False).alias("_own"))),
+        F.when(to_next, F.struct(F.col("_next").alias("_seg"), F.lit(False).alias("_own"))),
+        F.when(to_previous, F.struct(F.col("_previous").alias("_seg"), F.lit(False).alias("_own"))),
     ))
-    cells = cells.select(key, day, "_cell", "_ahead", copies.alias("_copies"))
-    segments = placed.join(cells, [key, day, "_cell"]).select(*df.columns, "_ahead", F.inline("_copies"))
-    return Ordered(others.unionByName(segments), key, order, True)
+    cells = cells.select(key, *place, "_ahead", copies.alias("_copies"))
+    segments = join_same(placed, cells, [key, *place]).select(*df.columns, "_ahead", F.inline("_copies"))
+    return Ordered(segments, key, order, True)
 
 
 def with_item_stats(df: DataFrame, keys: Sequence[str], stats: dict[str, Column], split: bool) -> DataFrame:
@@ -175,46 +205,36 @@ def with_item_stats(df: DataFrame, keys: Sequence[str], stats: dict[str, Column]
         group = Window.partitionBy(*keys)
         return df.withColumns({name: agg.over(group) for name, agg in stats.items()})
     table = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
-    return df.join(table, list(keys), "left")
+    return join_same(df, table, list(keys), "left")
 
 
-def ranked(
-    items: DataFrame,
-    value: str,
-    key: str = "sku",
-    weight: str | None = None,
-    buckets: int = 128,
-    one_task: int = ONE_TASK_ROWS,
-    rows: int | None = None,
-) -> DataFrame:
+def ranked(items: DataFrame, value: str, key: str = "sku", weight: str | None = None, buckets: int = 128, slots: int = 1024) -> DataFrame:
     """Add ``rank`` (1 = largest value) and ``running`` (sum of value up to the row).
 
     With ``weight`` a row stands for that many items and ``rank`` is its last item's.
-    ``items`` is read more than once, so hand in a ``kept`` table, and its size when known.
+    ``items`` is read more than once, so hand in a ``kept`` table.
 
-    Up to ``one_task`` rows, counted first, are ordered in one task. Beyond that no task
-    sees all items: values are cut at approximate quantiles, values equal to a cut
-    point get a bucket of their own, and such a bucket of ties is cut again by md5(key),
-    which is also the order among ties. Exact whatever the cut points are.
+    No task orders all items. Values are cut at approximate quantiles and each bucket between
+    two cuts into equal slots; values equal to a cut have a bucket of their own, cut by
+    md5(key), which is also the order among ties. Prefix sums over the cells add up. Exact
+    whatever the cuts are. Null values come last.
     """
     one = F.col(weight) if weight else F.lit(1)
-    if (items.count() if rows is None else rows) <= one_task:
-        upto = Window.partitionBy(F.lit(0)).orderBy(F.desc(value), F.md5(F.col(key).cast("binary")), key)
-        upto = upto.rowsBetween(Window.unboundedPreceding, 0)
-        return items.withColumns({"rank": F.sum(one).over(upto), "running": F.sum(value).over(upto)})
     steps = ", ".join(f"{i / buckets!r}D" for i in range(buckets + 1))
     cuts = items.agg(F.expr(f"array_distinct(percentile_approx({value}, array({steps}), 10000))").alias("_cuts"))
-    tie_order = F.md5(F.col(key).cast("binary"))
     below = F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
-    on_cut = F.array_contains("_cuts", F.col(value))
+    on_cut = F.coalesce(F.array_contains("_cuts", F.col(value)), F.lit(False))
+    low, high = F.get("_cuts", F.col("_below") - 1), F.get("_cuts", F.col("_below"))
+    slot = F.floor(F.try_divide(high - F.col(value), high - low) * slots)
+    by_hash = F.conv(F.substring("_tie", 1, 3), 16, 10).cast("long")
     placed = (
         items.crossJoin(F.broadcast(cuts))  # one row
-        .withColumn("_tie", tie_order)
-        .withColumn("_bucket", 2 * below + F.coalesce(on_cut, F.lit(False)).cast("int"))
-        .withColumn("_part", F.when(on_cut, F.substring("_tie", 1, 2)).otherwise(F.lit("")))
-        .drop("_cuts")
+        .withColumns({"_tie": F.md5(F.col(key).cast("binary")), "_below": below, "_on_cut": on_cut})
+        .withColumn("_bucket", F.when(F.col(value).isNull(), -1).otherwise(2 * F.col("_below") + F.col("_on_cut").cast("int")))
+        .withColumn("_part", F.when(F.col("_on_cut") | F.col(value).isNull(), by_hash).otherwise(F.coalesce(slot, F.lit(0))))
+        .drop("_cuts", "_below", "_on_cut")
     )
-    # at most (2 * buckets + 1) * 256 rows from here
+    # at most 2 * buckets * max(slots, 4096) rows from here
     by_cell = Window.partitionBy(F.lit(0)).orderBy(F.desc("_bucket"), "_part")
     earlier = by_cell.rowsBetween(Window.unboundedPreceding, -1)
     cells = (
@@ -230,9 +250,9 @@ def ranked(
     in_cell = Window.partitionBy("_bucket", "_part").orderBy(F.desc(value), "_tie", key)
     upto = in_cell.rowsBetween(Window.unboundedPreceding, 0)
     return (
-        placed.join(F.broadcast(cells), ["_bucket", "_part"])
+        placed.join(cells, ["_bucket", "_part"])
         .withColumn("rank", F.sum(one).over(upto) + F.col("_rank_before"))
-        .withColumn("running", F.sum(value).over(upto) + F.col("_sum_before"))
+        .withColumn("running", F.coalesce(F.sum(value).over(upto), F.lit(0.0)) + F.col("_sum_before"))
         .drop("_bucket", "_part", "_tie", "_rank_before", "_sum_before")
     )
 
@@ -248,22 +268,20 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probs: Sequence[float],
-    split: bool,
+    split: bool | None = None,
     skew: SkewConfig = SKEW,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group: columns keys, ``q`` (array), ``n``.
 
-    Ordinary groups use the built-in exact percentile. With hot groups only the values
-    near each wanted rank reach one task: counts per bucket find the bucket holding the
+    Ordinary groups use the built-in exact percentile. Of hot groups, and of a whole table
+    (no keys), only the values near each wanted rank reach one task: counts per bucket find the bucket holding the
     rank, a linear cut of that bucket narrows it again, and a window over the distinct
     values of the final slice picks the value.
     """
     keys = list(keys)
-    if split and keys:
-        hot = F.broadcast(hot_items(df, keys[0], skew))  # at most total rows / hot_rows items
-        usual = exact_quantiles(df.join(hot, keys[0], "left_anti"), keys, value, probs, False)
-        return usual.unionByName(_quantiles_by_rank(df.join(hot, keys[0], "left_semi"), keys, value, probs))
-    if split:
+    if split is None and keys:
+        return both_ways(df, lambda rows, way: exact_quantiles(rows, keys, value, probs, way), skew, key=keys[0])
+    if split is not False:
         return _quantiles_by_rank(df, keys, value, probs)
     wanted = ", ".join(f"{p!r}D" for p in probs)
     known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
@@ -295,7 +313,7 @@ def _quantiles_by_rank(df: DataFrame, keys: list[str], value: str, probs: Sequen
     ask = [*keys, "n", "_i", "_side", "_rank"]
     width = F.col("_hi") - F.col("_lo")
     slot = F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width * 4096)).otherwise(F.lit(0))
-    near = counted.join(targets, [*keys, "_b"]).withColumn("_slot", slot.cast("long"))
+    near = join_same(counted, targets, [*keys, "_b"]).withColumn("_slot", slot.cast("long"))
     in_slots = Window.partitionBy(*ask).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = (
         near.groupBy(*ask, "_from", "_slot")
@@ -306,7 +324,7 @@ def _quantiles_by_rank(df: DataFrame, keys: list[str], value: str, probs: Sequen
     )
     in_slot = Window.partitionBy(*ask, "_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     picked = (
-        near.join(slots, [*ask, "_slot"])
+        join_same(near, slots, [*ask, "_slot"])
         .withColumn("_end", F.col("_first") + F.sum("_n").over(in_slot))
         .filter((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_n")))
     )

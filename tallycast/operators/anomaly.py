@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallycast.config import ANOMALY, ANOMALY_TEXTS, SKEW, AnomalyConfig, SkewConfig
 from tallycast.functions.dates import period_end, period_sequence
-from tallycast.functions.scale import exact_quantiles, is_split_needed, ordered_rows, with_item_stats
+from tallycast.functions.scale import both_ways, exact_quantiles, ordered_rows, with_item_stats
 from tallycast.schema import ANOMALY_COLUMNS
 
 
@@ -25,7 +25,6 @@ def _records(df: DataFrame, value: Column, expected: Column, kind: Column, sever
 
 def detect_iqr(df: DataFrame, config: AnomalyConfig = ANOMALY, skew: SkewConfig = SKEW, split: bool | None = None) -> DataFrame:
     """A1: outside the quartile fences of the item; expected value is the median."""
-    split = is_split_needed(df, "sku", skew) if split is None else split
     k = config.iqr_multiplier
     spread = F.col("q")[2] - F.col("q")[0]
     fences = exact_quantiles(df, ["sku"], "quantity", [0.25, 0.5, 0.75], split, skew).filter("n >= 4").select(
@@ -61,17 +60,20 @@ def detect_rolling(
     """A3: far from the mean of a centred row window; only full windows of known values count."""
     size = config.rolling_window
     back, ahead = size // 2, size - 1 - size // 2
-    rows = ordered_rows(df, before=back, after=ahead, skew=skew, split=split)
-    frame = rows.window().rowsBetween(-back, ahead)
-    measured = rows.with_df(rows.df.withColumns({
-        "_mean": F.avg("quantity").over(frame),
-        "_sd": F.stddev_samp("quantity").over(frame),
-        "_known": F.count("quantity").over(frame),
-    })).own_rows()
-    measured = with_item_stats(measured, ["sku"], {"_rows": F.count(F.lit(1))}, rows.split)
+
+    def measure(part: DataFrame, cut: bool) -> DataFrame:
+        rows = ordered_rows(part, before=back, after=ahead, skew=skew, split=cut)
+        frame = rows.window().rowsBetween(-back, ahead)
+        measured = rows.with_df(rows.df.withColumns({
+            "_mean": F.avg("quantity").over(frame),
+            "_sd": F.stddev_samp("quantity").over(frame),
+            "_known": F.count("quantity").over(frame),
+        })).own_rows()
+        return with_item_stats(measured, ["sku"], {"_rows": F.count(F.lit(1))}, cut)
+
     q, mean, t = F.col("quantity"), F.col("_mean"), config.rolling_threshold
     z = F.abs(q - mean) / F.col("_sd")
-    outside = measured.filter(
+    outside = both_ways(df, measure, skew, split).filter(
         (F.col("_rows") >= size + 1) & (F.col("_known") == size) & (F.col("_sd") > 0)
     ).filter(z > t)
     return _records(outside, q, mean, F.when(q > mean, "spike").otherwise("drop"), z / (t * 2), "rolling")
@@ -81,13 +83,17 @@ def detect_zeros(
     df: DataFrame, config: AnomalyConfig = ANOMALY, skew: SkewConfig = SKEW, split: bool | None = None
 ) -> DataFrame:
     """A4: runs of zeros. A run shares its count of non-zero rows before it, across segments too."""
-    rows = ordered_rows(df, skew=skew, split=split)
     other = F.when(F.col("quantity") == 0, 0).otherwise(1)
-    rows = rows.carried("_before", F.sum(other), running_sum=True)
-    upto = rows.window().rowsBetween(Window.unboundedPreceding, 0)
-    numbered = rows.with_df(rows.df.withColumn("_run", F.sum(other).over(upto) + F.col("_before"))).own_rows()
+
+    def number(part: DataFrame, cut: bool) -> DataFrame:
+        rows = ordered_rows(part, skew=skew, split=cut)
+        rows = rows.carried("_before", F.sum(other), running_sum=True)
+        upto = rows.window().rowsBetween(Window.unboundedPreceding, 0)
+        numbered = rows.with_df(rows.df.withColumn("_run", F.sum(other).over(upto) + F.col("_before"))).own_rows()
+        return numbered.select("sku", "date", "quantity", "_run")
+
     runs = (
-        numbered.filter(F.col("quantity") == 0)
+        both_ways(df, number, skew, split).filter(F.col("quantity") == 0)
         .groupBy("sku", "_run")
         .agg(F.count(F.lit(1)).alias("_length"), F.min("date").alias("date"))
         .filter(F.col("_length") >= config.min_zero_run)

@@ -71,16 +71,17 @@ def volume_thresholds(metrics: DataFrame, config: ClusterConfig = CLUSTER) -> Da
         return metrics.sparkSession.range(1).select(F.lit(float(a)).alias("a_threshold"), F.lit(float(b)).alias("b_threshold"))
     # equal volumes share one row, so the ranks need no tie order
     volumes = kept(metrics.groupBy("total_volume").agg(F.count(F.lit(1)).alias("items")))
-    size = volumes.agg(F.coalesce(F.sum("items"), F.lit(0)).alias("items"), F.count(F.lit(1)).alias("rows")).first()
-    a, b = [min(int(size["items"] * (100 - p) / 100), size["items"] - 1) for p in config.top_percentiles]
+    size = volumes.agg(F.coalesce(F.sum("items"), F.lit(0)).alias("_all"))
     keyed = volumes.withColumn("_key", F.col("total_volume").cast("string"))
-    placed = ranked(keyed, "total_volume", "_key", weight="items", rows=size["rows"])
+    placed = ranked(keyed, "total_volume", "_key", weight="items")
 
-    def at(index: int) -> Column:
+    def at(top: float) -> Column:
+        index = F.least(F.floor(F.col("_all") * (100 - top) / 100), F.col("_all") - 1)
         inside = (F.col("rank") > index) & (F.col("rank") - F.col("items") <= index)
         return F.max(F.when(inside, F.col("total_volume")))
 
-    return placed.agg(at(a).alias("a_threshold"), at(b).alias("b_threshold"))
+    a, b = config.top_percentiles
+    return placed.crossJoin(F.broadcast(size)).agg(at(a).alias("a_threshold"), at(b).alias("b_threshold"))  # one row
 
 
 def volume_tier(volume: Column, a: Column, b: Column) -> Column:

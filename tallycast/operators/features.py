@@ -17,7 +17,7 @@ from tallycast.config import (
     SkewConfig,
 )
 from tallycast.functions.dates import days_to_holiday, is_holiday
-from tallycast.functions.scale import Ordered, hot_items, is_split_needed, ordered_rows, with_item_stats
+from tallycast.functions.scale import Ordered, both_ways, ordered_rows, with_item_stats
 
 LONGEST_REACH = 28
 
@@ -81,7 +81,7 @@ def create_features(
     with_price: bool = True,
     with_promo: bool = True,
 ) -> DataFrame:
-    """Features for all items; without split items, one exchange and one sort by date."""
+    """Features for all items; one exchange and one sort by date for items of ordinary size."""
     names = [
         name for name in features_of(feature_set)
         if (with_price or name not in PRICE) and (with_promo or name not in PROMO)
@@ -89,15 +89,9 @@ def create_features(
     needs_index = "trend_component" in names
     if all(name in CALENDAR or name == "promo_flag" for name in names):
         split = False  # nothing looks beyond its own row
-    if split is None:
-        split = is_split_needed(df, skew=skew)
-        if split:  # only the hot items take the longer way
-            hot = F.broadcast(hot_items(df, skew=skew))  # at most total rows / hot_rows items
-            usual, long = [
-                create_features(df.join(hot, "sku", how), feature_set, skew, way, with_price, with_promo)
-                for how, way in (("left_anti", False), ("left_semi", True))
-            ]
-            return usual.unionByName(long).select(*df.columns, *names)
+    if split is None:  # only the hot items take the longer way
+        build = lambda part, cut: create_features(part, feature_set, skew, cut, with_price, with_promo)
+        return both_ways(df, build, skew).select(*df.columns, *names)
     rows = ordered_rows(df, before=LONGEST_REACH, skew=skew, split=split)
     if "price_change_pct" in names:
         known = F.when(F.col("price").isNotNull(), F.struct(*rows.order))

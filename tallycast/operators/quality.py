@@ -127,10 +127,9 @@ def outlier_rows(df: DataFrame, threshold: float = 3.0) -> DataFrame:
     return df.crossJoin(F.broadcast(moments)).filter(F.abs(z) > threshold).drop("_mean", "_sd")  # one row
 
 
-def summary_stats(df: DataFrame, skew: SkewConfig = SKEW) -> DataFrame:
-    """Q11: one row. The exact median is selected by rank once the table is large."""
-    large = df.count() > skew.hot_rows
-    median = exact_quantiles(df, [], "quantity", [0.5], split=large).select(F.col("q")[0].alias("median_quantity"))
+def summary_stats(df: DataFrame) -> DataFrame:
+    """Q11: one row. The exact median is selected by rank, so no task holds all values."""
+    median = exact_quantiles(df, [], "quantity", [0.5]).select(F.col("q")[0].alias("median_quantity"))
     totals = df.agg(
         F.count(F.lit(1)).alias("total_rows"),
         F.min("date").alias("start_date"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallycast.config import SAMPLE_SEED, SKEW, SkewConfig
-from tallycast.functions.scale import exact_quantiles, ordered_rows, with_item_stats
+from tallycast.functions.scale import both_ways, exact_quantiles, join_same, ordered_rows, with_item_stats
 
 
 def draw(seed: int = SAMPLE_SEED, key: str = "sku") -> Column:
@@ -33,12 +33,12 @@ def stratified_items(items: DataFrame, group: str, n: int, groups: int | None =
     return chosen.orderBy(group, "_place").limit(n).select("sku", group)
 
 
-def representative_items(totals: DataFrame, n: int = 20, seed: int = SAMPLE_SEED, skew: SkewConfig = SKEW) -> DataFrame:
+def representative_items(totals: DataFrame, n: int = 20, seed: int = SAMPLE_SEED) -> DataFrame:
     """N // 4 items of each volume quarter (closed at both ends), without repeats."""
     count = totals.count()
     if count <= n:
         return totals.select("sku")
-    marks = exact_quantiles(totals, [], "total_volume", [0.0, 0.25, 0.5, 0.75, 1.0], split=count > skew.hot_rows)
+    marks = exact_quantiles(totals, [], "total_volume", [0.0, 0.25, 0.5, 0.75, 1.0])
     volume = F.col("total_volume")
     bands = F.array_compact(F.array(*[
         F.when((volume >= F.col("q")[i]) & (volume <= F.col("q")[i + 1]), F.lit(i)) for i in range(4)
@@ -58,9 +58,12 @@ def sparkline_order(
     """
     finite = df.filter(F.col("quantity").isNotNull() & ~F.isnan("quantity") & (F.abs("quantity") != float("inf")))
     if by == "trend":
-        rows = ordered_rows(finite, skew=skew, split=split)
-        placed = rows.with_df(rows.df.withColumn("_x", rows.row_index())).own_rows()
-        placed = with_item_stats(placed, ["sku"], {"_n": F.count(F.lit(1))}, rows.split)
+        def place(part: DataFrame, cut: bool) -> DataFrame:
+            rows = ordered_rows(part, skew=skew, split=cut)
+            placed = rows.with_df(rows.df.withColumn("_x", rows.row_index())).own_rows()
+            return with_item_stats(placed, ["sku"], {"_n": F.count(F.lit(1))}, cut)
+
+        placed = both_ways(finite, place, skew, split)
         early = F.col("_x") < F.floor(F.col("_n") / 2)
         halves = placed.groupBy("sku").agg(
             F.avg(F.when(early, F.col("quantity"))).alias("_first"),
@@ -79,6 +82,10 @@ def sparkline_rows(
     """Date-ordered finite values of the chosen items, one row per value."""
     finite = df.filter(F.col("quantity").isNotNull() & ~F.isnan("quantity") & (F.abs("quantity") != float("inf")))
     chosen = sparkline_order(df, by, top, skew, split).select("sku")
-    rows = ordered_rows(finite.join(F.broadcast(chosen), "sku", "left_semi"), skew=skew, split=split)  # top rows
-    placed = rows.with_df(rows.df.withColumn("position", rows.row_index())).own_rows()
-    return placed.select("sku", "position", "date", F.col("quantity").alias("y"))
+
+    def place(part: DataFrame, cut: bool) -> DataFrame:
+        rows = ordered_rows(part, skew=skew, split=cut)
+        placed = rows.with_df(rows.df.withColumn("position", rows.row_index())).own_rows()
+        return placed.select("sku", "position", "date", F.col("quantity").alias("y"))
+
+    return both_ways(join_same(finite, chosen, ["sku"], "left_semi", small=True), place, skew, split)  # top rows

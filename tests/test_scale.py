@@ -21,24 +21,27 @@ def rows(df):
 
 @pytest.fixture(scope="module")
 def skewed(spark, folder):
-    """One item holds a third of the rows, most of them on few days."""
+    """One item and the null item hold a third of the rows each, many on one day or without a date; ids clump by split."""
     df = dirty(spark, folder, "part")
     unique = F.row_number().over(Window.orderBy("row_id", "sku", "date", "price"))  # merged items repeat ids
-    df = df.withColumn("row_id", unique.cast("long"))
-    hot = F.col("row_id") % 3 == 0
-    day = F.when(hot & (F.col("row_id") % 2 == 0), F.lit("1998-03-05").cast("date")).otherwise(F.col("date"))
-    df = df.withColumn("sku", F.when(hot, "hot").otherwise(F.col("sku"))).withColumn("date", day)
+    df = df.withColumn("n", unique.cast("long"))
+    split = F.when(F.col("n") % 5 < 3, 1).otherwise(F.col("n") % 11).cast("long")
+    df = df.withColumn("row_id", F.shiftleft(split, 33) + F.col("n"))
+    third = F.col("n") % 3
+    day = F.when((third < 2) & (F.col("n") % 2 == 0), F.lit("1998-03-05").cast("date")).when(F.col("n") % 13 != 0, F.col("date"))
+    name = F.when(third == 0, "hot").when(third == 2, F.col("sku"))
+    df = df.withColumns({"sku": name, "date": day}).drop("n")
     df = df.withColumn("price", F.when(F.col("promo") > 2, F.col("price")))
     return df.persist()
 
 
 def test_the_hot_item_is_split(skewed):
-    split = ordered_rows(skewed, before=28, skew=TINY)
-    assert split.split
-    segments = split.df.filter("sku = 'hot' and _own").groupBy("_seg").count().collect()
-    assert len(segments) > 10
-    assert max(row["count"] for row in segments) <= 2 * TINY.hot_rows
-    assert split.own_rows().count() == skewed.count()
+    split = ordered_rows(skewed, before=28, skew=TINY, split=True)
+    for item in (F.col("sku") == "hot", F.col("sku").isNull()):
+        segments = split.df.filter(item & F.col("_own")).groupBy("_seg").count().collect()
+        assert len(segments) > 10
+        assert max(row["count"] for row in segments) <= 2 * TINY.hot_rows
+    assert rows(split.own_rows()) == rows(skewed)
 
 
 @pytest.mark.parametrize("operator", [
@@ -55,6 +58,7 @@ def test_split_and_plain_agree(skewed, operator):
     plain = rows(operator(skewed, split=False))
     assert plain
     assert rows(operator(skewed, skew=TINY, split=True)) == plain
+    assert rows(operator(skewed, skew=TINY)) == plain
 
 
 def test_features_choose_the_way_per_item(skewed):
@@ -73,13 +77,24 @@ def test_quantiles_by_rank_equal_percentile(spark, skewed, skew):
     assert total == pytest.approx(exact_quantiles(values, [], "quantity", [0.5], split=False).first()["q"][0])
 
 
-@pytest.mark.parametrize("one_task", [0, 10_000])
-def test_ranked_with_many_ties(spark, one_task):
+def test_plans_are_built_without_a_job(spark, skewed):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    clean.fill_neighbour(skewed, ["quantity"])
+    anomaly.detect_iqr(skewed)
+    anomaly.detect_zeros(skewed)
+    features.create_features(skewed, "all_20")
+    assert not tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("slots", [4, 1024])
+def test_ranked_with_many_ties(spark, slots):
     items = spark.range(3000).select(
         F.col("id").cast("string").alias("sku"),
         F.when(F.col("id") % 3 == 0, 7.0).when(F.col("id") % 50 == 0, -1.5).otherwise(F.sqrt("id")).alias("v"),
     )
-    got = ranked(items, "v", buckets=8, one_task=one_task).collect()
+    got = ranked(items, "v", buckets=8, slots=slots).collect()
     expected = sorted(items.withColumn("h", F.md5(F.col("sku").cast("binary"))).collect(), key=lambda r: (-r["v"], r["h"]))
     running = 0.0
     by_sku = {row["sku"]: row for row in got}
