@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "prepare_queries", "quality_queries", "classify_queries", "anomaly_queries", "feature_queries", "forecast_queries",
-    "report_queries",
+    "report_queries", "skew_queries",
 )
 
 

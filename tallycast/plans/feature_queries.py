@@ -25,9 +25,9 @@ HOLIDAY_LIST = """[make_date({y}, 1, 1), make_date({y}, 7, 4), make_date({y}, 12
 _HOLIDAYS = HOLIDAY_LIST.format(y="year(date)")
 
 
-def features_sql(by: str = "supp") -> str:
-    """CTE list ending in ``featured`` with all twenty features."""
-    return f"""{demand_sql(by)}, base AS (
+def features_sql(source: str = demand_sql("supp")) -> str:
+    """CTE list ending in ``featured`` with all twenty features of the view ``demand`` that ``source`` defines."""
+    return f"""{source}, base AS (
         SELECT *, row_number() OVER w - 1 AS x, last_value(price IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
         FROM demand WINDOW w AS (PARTITION BY sku ORDER BY date, row_id)), featured AS (
         SELECT sku, date, row_id, quantity, price, promo,
@@ -37,7 +37,7 @@ def features_sql(by: str = "supp") -> str:
             stddev_samp(quantity) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS rolling_std_7,
             stddev_samp(quantity) OVER (w ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) AS rolling_std_28,
             year(date) AS year, month(date) AS month, weekofyear(date) AS week_of_year, isodow(date) - 1 AS day_of_week,
-            CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS is_weekend,
+            CAST(isodow(date) >= 6 AS INT) AS is_weekend,
             CAST(list_contains({_HOLIDAYS}, date) AS INT) AS is_holiday,
             list_min(list_filter({_HOLIDAYS}, lambda h: h >= date)) - date AS days_to_holiday,
             coalesce(coalesce(price, before) / nullif(before, 0) - 1, 0) AS price_change_pct,
