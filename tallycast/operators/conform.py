@@ -15,11 +15,40 @@ from tallycast.schema import Mapping
 SEPARATOR = "\u0001"
 
 
+def settled_format(df: DataFrame, name: str) -> str | None:
+    """The one known format that most values of a text column fit; month first where two fit as many.
+
+    Day and month have one order in a column, whatever a single value would allow. The counts
+    are taken over distinct texts, of which dates have few.
+    """
+    texts = df.groupBy(F.trim(F.col(name)).alias("_text")).agg(F.count(F.lit(1)).alias("_n"))
+    fits = [
+        F.sum(F.when(to_date_with(F.col("_text"), spark_format).isNotNull(), F.col("_n")).otherwise(0)).alias(f"f{i}")
+        for i, (_, spark_format) in enumerate(DATE_FORMATS)
+    ]
+    row = texts.agg(*fits).first()
+    counts = [row[f"f{i}"] or 0 for i in range(len(DATE_FORMATS))]
+    month_first = [spark_format.startswith("M") for _, spark_format in DATE_FORMATS]
+    best = max(range(len(counts)), key=lambda i: (counts[i], month_first[i], -i))
+    return DATE_FORMATS[best][1] if counts[best] else None
+
+
+def in_calendar(date: Column) -> Column:
+    """Dates that 64-bit nanoseconds can hold; others are missing, which bounds the calendar of an item."""
+    return F.when(date.between(F.lit("1677-09-22").cast("date"), F.lit("2262-04-11").cast("date")), date)
+
+
 def to_date(df: DataFrame, name: str) -> Column:
+    """Dates of a column: by its settled format or else any known one; numbers are read as yyyymmdd."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.StringType):
-        return parse_date(F.col(name))
-    return F.col(name).cast("date")
+        settled = settled_format(df, name)
+        fitting = [to_date_with(F.trim(F.col(name)), settled)] if settled else []
+        return in_calendar(F.coalesce(*fitting, parse_date(F.col(name))))
+    if isinstance(kind, T.NumericType):
+        digits = F.col(name).try_cast("bigint").cast("string")
+        return in_calendar(F.when(digits.rlike(r"^\d{8}$"), F.try_to_timestamp(digits, F.lit("yyyyMMdd")).cast("date")))
+    return in_calendar(F.col(name).cast("date"))
 
 
 def to_number(name: str) -> Column:
@@ -32,7 +61,7 @@ def to_promo(df: DataFrame, name: str) -> Column:
     """yes/true/y count as 1 and no/false/n as 0; anything else is read as a whole number."""
     kind = df.schema[name].dataType
     if not isinstance(kind, T.StringType):
-        return F.coalesce(F.col(name).cast("int"), F.lit(0))
+        return F.coalesce(F.col(name).try_cast("double").try_cast("int"), F.lit(0))
     word = F.lower(F.trim(F.col(name)))
     number = F.when(word.isin("yes", "true", "y"), 1).when(word.isin("no", "false", "n"), 0)
     return F.coalesce(number, word.try_cast("double").try_cast("int"), F.lit(0))
@@ -121,14 +150,13 @@ def detect_date_format(df: DataFrame, column: str, order: str = "row_id") -> Dat
 
 
 def standardize_dates(df: DataFrame, column: str, order: str = "row_id") -> DataFrame:
-    """Replace text dates by dates, by the detected format or, without one, row by row.
+    """Replace text dates by dates: by the detected format, and what it can't read by any known one.
 
-    The format is settled first (one small row), so the table is parsed by a single format.
+    The format is settled first (one small row), so nearly all rows are parsed once.
     """
     found = detect_date_format(df, column, order).first()["format"]
-    if found is None:
-        return df.withColumn(column, parse_date(F.col(column)))
-    return df.withColumn(column, to_date_with(F.trim(F.col(column)), dict(DATE_FORMATS)[found]))
+    fitting = [] if found is None else [to_date_with(F.trim(F.col(column)), dict(DATE_FORMATS)[found])]
+    return df.withColumn(column, F.coalesce(*fitting, parse_date(F.col(column))))
 
 
 def strip_times(df: DataFrame) -> DataFrame:

@@ -181,7 +181,7 @@ def backtest(
 ) -> DataFrame:
     """Out-of-sample error per item and model; the last ``horizon`` points are held out.
 
-    ``sample_size=None`` tests every item.
+    ``sample_size=None`` tests every item. ``won`` marks the item's best model.
     """
     if sample_size is not None:
         sample = random_items(df.select("sku").distinct(), sample_size, seed)
@@ -203,8 +203,12 @@ def backtest(
         )
         for i, name in enumerate(models)
     ])
-    long = fitted.select("sku", F.inline(scored))
-    return long.select("sku", "model", "model_rank", mape(F.col("acc")).alias("mape"), mae(F.col("acc")).alias("mae"))
+    errors = F.transform("_scored", lambda s: F.struct(mape(s["acc"]).alias("mape"), s["model_rank"].alias("model_rank")))
+    # the scores and the item's best stay in one row, so the fits are not run again for the winners
+    nested = fitted.select("sku", scored.alias("_scored")).withColumn("_best", F.array_min(errors)["model_rank"])
+    long = nested.select("sku", "_best", F.inline("_scored"))
+    return long.select("sku", "model", "model_rank", mape(F.col("acc")).alias("mape"), mae(F.col("acc")).alias("mae"),
+                       (F.col("model_rank") == F.col("_best")).alias("won"))
 
 
 def compare_models(
@@ -215,18 +219,20 @@ def compare_models(
     models: Sequence[str] = COMPARED_MODELS,
     grid: GridConfig = GRID,
 ) -> DataFrame:
-    """Mean errors and win rate per model, best first. Skipped items count in the rate."""
+    """Mean errors and win rate per model, best first. Skipped items count in the rate.
+
+    ``sample_size`` is the number of items asked for, ``best_overall`` the model of the least mean error.
+    """
     tested = backtest(df, horizon, freq, sample_size, models, grid)
-    winners = tested.groupBy("sku").agg(F.min_by("model", F.struct("mape", "model_rank")).alias("model"))
-    wins = winners.groupBy("model").agg(F.count(F.lit(1)).alias("wins"))
     size = df.select("sku").distinct().agg(F.count(F.lit(1)).alias("_all"))
     taken = F.col("_all") if sample_size is None else F.least(F.col("_all"), F.lit(sample_size))
-    stats = tested.groupBy("model").agg(F.avg("mape").alias("avg_mape"), F.avg("mae").alias("avg_mae"))
+    stats = tested.groupBy("model").agg(
+        F.avg("mape").alias("avg_mape"), F.avg("mae").alias("avg_mae"), F.sum(F.col("won").cast("int")).alias("wins"))
+    first = F.first("model").over(Window.partitionBy(F.lit(0)).orderBy("avg_mape", "model"))  # one row per model
     return (
-        stats.join(wins, "model", "left")
-        .crossJoin(F.broadcast(size))  # one row
-        .withColumn("win_rate", F.coalesce(F.col("wins"), F.lit(0)) / taken)
-        .select("model", "avg_mape", "avg_mae", "win_rate")
+        stats.crossJoin(F.broadcast(size))  # one row
+        .withColumns({"win_rate": F.col("wins") / taken, "sample_size": taken, "best_overall": first})
+        .select("model", "avg_mape", "avg_mae", "win_rate", "sample_size", "best_overall")
         .orderBy("avg_mape", "model")
     )
 
@@ -255,21 +261,27 @@ def model_matrix(series: DataFrame) -> DataFrame:
     })
 
 
-def forecast_rows(results: DataFrame) -> DataFrame:
-    """Long form of nested results: sku, model, step, date, forecast, lower, upper."""
-    zipped = F.arrays_zip("forecast", "lower", "upper")
-    long = results.select("sku", "frequency", "last_period", "model", F.posexplode(zipped).alias("_i", "_v"))
-    step = F.col("_i") + 1
-    date = (
+def result_date(step: Column) -> Column:
+    """Date of a step of a result row, by its frequency."""
+    return (
         F.when(F.col("frequency") == "W", step_date(F.col("last_period"), step, "W"))
         .when(F.col("frequency") == "M", step_date(F.col("last_period"), step, "M"))
         .otherwise(step_date(F.col("last_period"), step, "D"))
     )
+
+
+def forecast_rows(results: DataFrame, horizon: Column | None = None) -> DataFrame:
+    """Long form of nested results: sku, model, step, date, forecast, lower, upper; with ``horizon`` on request."""
+    zipped = F.arrays_zip("forecast", "lower", "upper")
+    extra = [] if horizon is None else [horizon.alias("horizon")]
+    long = results.select("sku", "frequency", "last_period", "model", *extra, F.posexplode(zipped).alias("_i", "_v"))
+    step = F.col("_i") + 1
     return long.select(
         "sku",
         "model",
+        *["horizon" for _ in extra],
         step.alias("step"),
-        date.alias("date"),
+        result_date(step).alias("date"),
         F.col("_v.forecast").alias("forecast"),
         F.col("_v.lower").alias("lower_bound"),
         F.col("_v.upper").alias("upper_bound"),

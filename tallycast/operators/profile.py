@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,24 +29,19 @@ def kind_of(dtype: T.DataType) -> str:
 
 
 def sample_values(df: DataFrame, order: str | None = "row_id") -> DataFrame:
-    """First 100 known values of each column as (pos, column, kind, place, value) text rows.
+    """First 100 known values of each column as (pos, column, kind, rank, value) text rows.
 
-    One top-k per column: each branch reads two columns and keeps 100 rows per split.
+    One scan of the table; the rank limit trims each task's rows before the shuffle.
     """
-    branches = []
-    for position, field in enumerate(df.schema):
-        if field.name == order:
-            continue
-        known = df.filter(F.col(f"`{field.name}`").isNotNull())
-        value = F.col(f"`{field.name}`").cast("string").alias("value")
-        place = F.col(order).cast("long") if order else F.monotonically_increasing_id()
-        picked = known.select(place.alias("place"), value)
-        picked = picked.orderBy("place").limit(SAMPLE) if order else picked.limit(SAMPLE)
-        branches.append(picked.select(
-            F.lit(position).alias("pos"), F.lit(field.name).alias("column"), F.lit(kind_of(field.dataType)).alias("kind"),
-            "place", "value",
-        ))
-    return reduce(DataFrame.unionByName, branches)
+    place = F.col(order).cast("long") if order else F.monotonically_increasing_id()
+    values = F.array(*[
+        F.struct(F.lit(position).alias("pos"), F.lit(field.name).alias("column"), F.lit(kind_of(field.dataType)).alias("kind"),
+                 F.col(f"`{field.name}`").cast("string").alias("value"))
+        for position, field in enumerate(df.schema) if field.name != order
+    ])
+    long = df.select(place.alias("place"), F.inline(values)).filter(F.col("value").isNotNull())
+    rank = F.row_number().over(Window.partitionBy("pos").orderBy("place"))
+    return long.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE)
 
 
 def _keyword(role: str, points: float) -> Column:
@@ -61,16 +56,19 @@ def _share(test: Column, among: Column | None = None) -> Column:
 
 
 def column_stats(sample: DataFrame) -> DataFrame:
-    """One row per column with every share the scores need (at most 100 values each)."""
+    """One row per column with every share the scores need (at most 100 values each).
+
+    A text column whose sampled values all read as numbers is numeric: CSV columns are text.
+    """
     value, text = F.col("value"), F.lower("value")
     number = value.try_cast("double")
     first = F.col("rank") <= PARSED
-    numbered = sample.groupBy("pos", "column", "kind").agg(
-        F.array_sort(F.collect_list(F.struct("place", "value"))).alias("_v")  # <= 100 values
-    ).select("pos", "column", "kind", F.posexplode("_v").alias("_i", "_s")).select(
-        "pos", "column", "kind", (F.col("_i") + 1).alias("rank"), F.col("_s.value").alias("value")
+    reads_as = (
+        F.when((F.col("kind") != "object") | F.bool_or(number.isNull() | F.isnan(number)), F.col("kind"))
+        .when(F.bool_and(value.rlike(r"^\s*[+-]?\d+\s*$")), "int").otherwise("float")
     )
-    return numbered.groupBy("pos", "column", "kind").agg(
+    return sample.groupBy("pos", "column", "kind").agg(
+        reads_as.alias("_kind"),
         F.count(F.lit(1)).alias("n"),
         F.count_distinct("value").alias("distinct_values"),
         _share(parse_date(value).isNotNull(), first).alias("date_share"),
@@ -82,7 +80,7 @@ def column_stats(sample: DataFrame) -> DataFrame:
         _share(text.isin(*PROMO_WORDS)).alias("binary_share"),
         F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]), 1, 5)
         .alias("sample_values"),
-    )
+    ).drop("kind").withColumnRenamed("_kind", "kind")
 
 
 def role_scores(stats: DataFrame) -> DataFrame:

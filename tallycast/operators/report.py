@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallycast.config import FREQUENCY_LABELS
-from tallycast.operators.forecast import forecast_rows
+from tallycast.functions.scale import kept
+from tallycast.operators.forecast import forecast_rows, result_date
 from tallycast.operators.models.base import total
 from tallycast.operators.series import resample
+from tallycast.sources.files import write_bundle
 
 
 def forecast_table(results: DataFrame, include_bounds: bool = True) -> DataFrame:
@@ -18,13 +20,11 @@ def forecast_table(results: DataFrame, include_bounds: bool = True) -> DataFrame
 
 
 def forecast_summary(results: DataFrame) -> DataFrame:
-    """One row per item; straight from the nested form, no shuffle."""
-    dates = forecast_rows(results.select("sku", "frequency", "last_period", "model", "forecast", "lower", "upper"))
-    ends = dates.groupBy("sku").agg(F.min("date").alias("forecast_start"), F.max("date").alias("forecast_end"))
+    """One row per item, straight from the nested form."""
     label = F.col("frequency")
     for code, text in FREQUENCY_LABELS.items():
         label = F.when(F.col("frequency") == code, text).otherwise(label)
-    sums = results.select(
+    return results.select(
         "sku",
         "model",
         label.alias("frequency"),
@@ -33,8 +33,9 @@ def forecast_summary(results: DataFrame) -> DataFrame:
         (total(F.col("forecast")) / F.size("forecast")).alias("avg_period_forecast"),
         "mape",
         "mae",
+        result_date(F.lit(1)).alias("forecast_start"),
+        result_date(F.size("forecast")).alias("forecast_end"),
     )
-    return sums.join(ends, "sku")
 
 
 def model_performance(results: DataFrame) -> DataFrame:
@@ -77,6 +78,13 @@ def report_tables(results: DataFrame, include_bounds: bool = True) -> dict[str,
     }
 
 
+def write_report(results: DataFrame, path: str, include_bounds: bool = True) -> None:
+    """The tables of one report, from one run of the models."""
+    once = kept(results)
+    write_bundle(report_tables(once, include_bounds), path)
+    once.unpersist()
+
+
 def status(mape: Column) -> Column:
     """E7."""
     return F.when(mape < 15, "Good").when(mape < 30, "Fair").otherwise("Review")
@@ -93,17 +101,19 @@ def result_summary(results: DataFrame) -> DataFrame:
     groups = with_status(results).groupBy("status", "model").agg(
         F.count(F.lit(1)).alias("n"), F.sum("total_forecast").alias("t"), F.sum("mape").alias("m")
     )
-    by_status = groups.groupBy("status").agg(F.sum("n").alias("n"))
-    by_model = groups.groupBy("model").agg(F.sum("n").alias("n"))
-    as_map = lambda table, key: table.agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(f"{key}_distribution")
-    )
     whole = groups.agg(
         F.sum("n").alias("total_items"),
         F.sum("t").alias("total_forecast"),
         F.try_divide(F.sum("m"), F.sum("n")).alias("avg_mape"),
+        F.collect_list(F.struct("status", "model", "n")).alias("_g"),  # statuses times models
     )
-    return whole.crossJoin(F.broadcast(as_map(by_status, "status"))).crossJoin(F.broadcast(as_map(by_model, "model")))
+
+    def counts(key: str) -> Column:
+        names = F.array_sort(F.array_distinct(F.col(f"_g.{key}")))
+        of = lambda name: F.aggregate(F.filter("_g", lambda g: g[key] == name), F.lit(0).cast("long"), lambda n, g: n + g["n"])
+        return F.map_from_entries(F.transform(names, lambda name: F.struct(name, of(name)))).alias(f"{key}_distribution")
+
+    return whole.select("total_items", "total_forecast", "avg_mape", counts("status"), counts("model"))
 
 
 def model_distribution(results: DataFrame) -> DataFrame:
@@ -131,8 +141,7 @@ def edge_periods(results: DataFrame, which: str = "first", n: int = 10) -> DataF
     """The first or last ``n`` periods of each forecast."""
     if which == "first":
         return forecast_rows(results).filter(F.col("step") <= n)
-    cut = results.withColumn("_h", F.size("forecast")).select("sku", "_h")
-    return forecast_rows(results).join(cut, "sku").filter(F.col("step") > F.col("_h") - n).drop("_h")
+    return forecast_rows(results, F.size("forecast")).filter(F.col("step") > F.col("horizon") - n).drop("horizon")
 
 
 def history_and_forecast(df: DataFrame, results: DataFrame, freq: str) -> DataFrame:
@@ -147,7 +156,7 @@ def export_items(results: DataFrame, choice: str = "all", items: DataFrame | Non
     if choice == "all":
         return results
     if choice == "top":
-        items = top_items(results, top)
+        return results.orderBy(F.desc(total(F.col("forecast"))), "sku").limit(top)
     return results.join(items.select("sku"), "sku", "left_semi")
 
 

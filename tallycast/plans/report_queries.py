@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallycast.operators import anomaly, classify, forecast, quality, report, series, stages
+from tallycast.operators import anomaly, classify, forecast, profile, quality, report, series, stages
 from tallycast.operators.conform import conform
 from tallycast.plans.anomaly_queries import IQR_SQL
 from tallycast.plans.classify_queries import cluster_sql
@@ -17,7 +17,7 @@ from tallycast.plans.forecast_queries import ERRORS, FIVE_SQL, LONG, backtest_sq
 from tallycast.plans.forecast_sql import long_sql, naive_sql, seasonal_naive_sql, series_sql
 from tallycast.config import COMPARED_MODELS
 from tallycast.schema import Mapping
-from tallycast.sources.files import load, read_bundle, read_csv, write_bundle, write_csv, write_parquet
+from tallycast.sources.files import EXACT_CSV, load, read_bundle, read_csv, write_csv, write_parquet
 
 R = Register()
 H = 12
@@ -117,9 +117,13 @@ R.add("k5_apply_per_item", "sku, periods:i, peak:d, zero_share:d", f"""{SUPP}, {
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(shared or tempfile.mkdtemp()).rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder under the shared checkpoint folder; a local session may do without one, a cluster may not."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        shared = tempfile.mkdtemp()
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 RAW_ROW = "row_id:i, trx_date, product_id, category_group, sales_qty:d, unit_price:d, is_promo"
@@ -129,15 +133,14 @@ RAW = f"WITH {RAW_SQL} SELECT * FROM raw"
 def _through_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark)
     write_csv(raw_sales(spark, folder), path)
-    return read_csv(spark, path).withColumn("product_id", F.concat(F.lit(" "), F.trim("product_id"), F.lit(" ")))
+    return read_csv(spark, path)
 
 
 def _through_latin1(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark)
     accented = raw_sales(spark, folder).withColumn("category_group", F.concat("category_group", F.lit("-été")))
-    accented.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
-    back = read_csv(spark, path)
-    return back.withColumn("product_id", F.concat(F.lit(" "), F.trim("product_id"), F.lit(" ")))
+    accented.write.options(**EXACT_CSV, encoding="ISO-8859-1").csv(path)
+    return read_csv(spark, path)
 
 
 def _through_parquet(spark: SparkSession, folder: str) -> DataFrame:
@@ -148,8 +151,7 @@ def _through_parquet(spark: SparkSession, folder: str) -> DataFrame:
 
 R.add("s1_csv_scan", RAW_ROW, RAW, _through_csv)
 R.add("s2_csv_latin1", RAW_ROW, f"WITH {RAW_SQL} SELECT * REPLACE (category_group || '-' || chr(233) || 't' || chr(233) AS category_group) FROM raw", _through_latin1)
-R.add("s4_load_by_format", RAW_ROW, RAW, lambda s, d: load(s, _written_csv(s, d), "csv")
-      .withColumn("product_id", F.concat(F.lit(" "), F.trim("product_id"), F.lit(" "))))
+R.add("s4_load_by_format", RAW_ROW, RAW, lambda s, d: load(s, _written_csv(s, d), "csv"))
 R.add("s6_parquet_sink", RAW_ROW, RAW, _through_parquet)
 
 
@@ -168,9 +170,38 @@ def _csv_of(spark: SparkSession, table: DataFrame) -> DataFrame:
     return read_csv(spark, path)
 
 
+ODD_TEXT = """concat(p_type, case p_partkey % 7 when 0 then concat(chr(10), 'next') when 1 then ' "quoted", ' when 2 then chr(9) else '' end)"""
+
+
+def _odd_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with blanks at the edges, line breaks, quotes and commas; empty texts and nulls."""
+    path = scratch(spark)
+    odd = spark.read.parquet(f"{folder}/part.parquet").selectExpr(
+        "p_partkey", f"{ODD_TEXT} as wild", "case when p_partkey % 5 = 0 then '' when p_partkey % 5 = 1 then null else concat('  ', p_brand, ' ') end as edge")
+    write_csv(odd, path)
+    return read_csv(spark, path)
+
+
+R.add("s5_csv_odd_text", "p_partkey:i, wild, edge", f"""SELECT p_partkey, {ODD_TEXT} AS wild,
+    CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 5 = 1 THEN NULL ELSE concat('  ', p_brand, ' ') END AS edge FROM part""", _odd_text)
+
+
+def _csv_to_demand(spark: SparkSession, folder: str) -> DataFrame:
+    """From a CSV file to the canonical schema, the roles found by the profile."""
+    path = scratch(spark)
+    write_csv(raw_sales(spark, folder).withColumn("product_id", F.trim("product_id")), path)
+    raw = load(spark, path, "csv").withColumn("row_id", F.col("row_id").cast("long"))
+    found = profile.to_mapping(profile.best_mapping(profile.profile(raw)), raw)
+    return conform(raw, found, "row_id")
+
+
+R.add("p11_csv_mapping", "sku, date, quantity:d, row_id:i, promo:i", f"""WITH {RAW_SQL} SELECT trim(product_id) AS sku,
+    CAST(try_strptime(trx_date, '%d/%m/%Y') AS DATE) AS date, sales_qty AS quantity, row_id, CASE WHEN is_promo = 'yes' THEN 1 ELSE 0 END AS promo FROM raw""", _csv_to_demand)
+
+
 def _bundle(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark)
-    write_bundle(report.report_tables(_results(spark, folder)), path)
+    report.write_report(_results(spark, folder), path)
     return read_bundle(spark, path, ["summary", "forecasts", "model_performance"])["forecasts"]
 
 

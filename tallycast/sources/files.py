@@ -7,23 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# What Spark would trim or mix up by default: blanks at the edges, and empty text with null.
+EXACT_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 SUFFIX_FORMAT = {"csv": "csv", "txt": "csv", "parquet": "parquet", "pq": "parquet"}
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, line_breaks: bool | None = None) -> DataFrame:
     """All columns as text; roles are typed later by ``conform``.
 
     Without an encoding, UTF-8 is used unless a line is not valid UTF-8; then the file is
-    Latin-1. The check stops at the first such line.
+    Latin-1. ``line_breaks`` says whether quoted values hold line breaks; such a file can't be
+    split among tasks. Without it, a line with an odd number of quotes tells. Give both, and
+    the pass over the lines that finds them out is saved.
     """
-    reader = spark.read.option("header", True).option("escape", '"')
-    if encoding is None:
-        lines = spark.read.text(path)
-        damaged = lines.filter(~F.is_valid_utf8("value"))
-        encoding = "UTF-8" if damaged.isEmpty() else "ISO-8859-1"
-    if encoding != "UTF-8":
-        reader = reader.option("encoding", encoding)
-    return reader.csv(path)
+    if encoding is None or line_breaks is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+        found = spark.read.text(path).agg(
+            F.coalesce(F.bool_or(~F.is_valid_utf8("value")), F.lit(False)).alias("damaged"),
+            F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("odd"),
+        ).first()
+        encoding = encoding or ("ISO-8859-1" if found["damaged"] else "UTF-8")
+        line_breaks = found["odd"] if line_breaks is None else line_breaks
+    # Spark takes what equals nullValue as null; with the default, "", that would be quoted empty text too
+    return spark.read.options(**EXACT_CSV, nullValue="\0", encoding=encoding, multiLine=line_breaks).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -55,7 +61,8 @@ def with_row_id(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """Text that reads back as it was: blanks kept, empty text in quotes, null as nothing."""
+    df.write.mode(mode).options(**EXACT_CSV).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
