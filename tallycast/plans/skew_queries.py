@@ -17,7 +17,7 @@ from tallycast.plans.feature_queries import ALL_20, KEY, features_sql, spec
 R = Register()
 SMALL = SkewConfig(hot_rows=500, cell_rows=50)
 HOT = {
-    "row_id": "(l_orderkey % 11) * 8589934592 + (l_orderkey * 1000003 + l_linenumber * 7919 + l_partkey * 104729 + l_suppkey * 15485863) % 8589934592",
+    "row_id": "(l_orderkey % 11) * 8589934592 + (l_orderkey * 1000003 + l_linenumber * 7919 + l_partkey * 104729 + l_suppkey * 15485863 + cast(l_quantity as bigint) * 32452843) % 8589934592",
     "date": """case when l_orderkey % 13 = 0 then cast(null as date)
                when l_linenumber % 2 = 0 and l_orderkey % 3 < 2 then date '1998-03-05' else cast(l_shipdate as date) end""",
     "price": "l_extendedprice / l_quantity",
