@@ -28,11 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, options: dict | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: computed once, lineage cut."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tallycast-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept.kept_at = path
     return kept

@@ -32,6 +32,8 @@ from tallycast.llm.tokens import encoder
 END_ID = 49407  # the end-of-text id of the tokenizer, which no text can hold
 BLOCK_TOKENS = 1 << 18
 RUN = 1024
+CACHED = 300_000  # chunks an encoder remembers, beside the blocks being written
+ROW_GROUP_BYTES = 16 << 20
 
 
 def write_flat(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, width: int = 2) -> DataFrame:
@@ -42,7 +44,7 @@ def write_flat(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block
     strings in a text are encoded as ordinary text, so ``end_id`` stands at ends only.
     """
     def work(batches):
-        code, file = encoder(tokenizer_path, ordinary=True), TaskContext.get().partitionId()
+        code, file = encoder(tokenizer_path, True, CACHED), TaskContext.get().partitionId()
         waiting, size, block, first = [], 0, 0, 0
         for batch in batches:
             doc_ids, text = common.columns(batch, "doc_id", "text")
@@ -121,7 +123,7 @@ def count_tokens(blocks: DataFrame, end_id: int = END_ID, width: int = 2) -> Dat
 
 def document_counts(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, tokens) of every row: written as flat files, then counted from these alone."""
-    flat = common.keep(write_flat(docs, tokenizer_path, end_id))
+    flat = common.keep(write_flat(docs, tokenizer_path, end_id), {"parquet.block.size": ROW_GROUP_BYTES})
     counts = count_tokens(flat.filter("block is not null"), end_id)
     named = flat.filter("block is null").select("file", "first", F.posexplode("doc_ids").alias("pos", "doc_id"))
     named = named.select("file", (F.col("first") + F.col("pos")).alias("number"), "doc_id")

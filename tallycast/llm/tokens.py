@@ -42,12 +42,13 @@ class Encoder:
     With ``ordinary`` the strings of control tokens inside a text are text like any other.
     """
 
-    def __init__(self, path: str, ordinary: bool = False) -> None:
+    def __init__(self, path: str, ordinary: bool = False, cached: int = CACHED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary
+        self.cached = cached
         self.model = self.tokenizer.model
         self.shown = _byte_characters()
         self.reset()
@@ -75,7 +76,7 @@ class Encoder:
 
     def _ids(self, chunks: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks, how many of each)."""
-        if len(self.place) > CACHED:
+        if len(self.place) > self.cached:
             self.reset()
         get = self.place.__getitem__
         try:
@@ -139,6 +140,6 @@ def _pieces(text: str) -> Iterator[str]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, ordinary: bool = False) -> Encoder:
+def encoder(path: str, ordinary: bool = False, cached: int = CACHED) -> Encoder:
     """One per worker process and tokenizer file."""
-    return Encoder(path, ordinary)
+    return Encoder(path, ordinary, cached)
