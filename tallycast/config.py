@@ -41,6 +41,26 @@ DATE_FORMATS = (
 QUALITY_BANDS = (("excellent", 90), ("good", 75), ("fair", 60), ("poor", 40), ("critical", 0))
 MIN_POINTS_PER_ITEM = 7
 
+QUALITY_TEXTS = {  # issue (a format of the figure) and advice
+    "missing": ("%.1f%% missing values detected", "fill missing values with forward fill or interpolation"),
+    "duplicates": ("%,d duplicate entries found", "aggregate duplicates by sum or average"),
+    "negatives": ("%,d negative quantity values", "review negative values - may indicate returns"),
+    "points": (f"low data points per item: %.1f (minimum recommended: {MIN_POINTS_PER_ITEM})", "consider weekly or monthly aggregation"),
+}
+
+# --- fixed values: texts about columns --------------------------------------------------
+DETECTION_TEXTS = {  # before and after the column's name, or its name and its role
+    "unknown": ("Could not determine type for ", ""),
+    "sure": (" looks like your ", " column"),
+    "unsure": (" might be your ", " column"),
+}
+MAPPING_ERRORS = {
+    "required": "{role} column is required",
+    "absent": "Column '{name}' not found in data",
+    "twice": "Column '{name}' is mapped twice",
+}
+REQUIRED_LABELS = {"date": "Date", "sku": "Item/SKU", "quantity": "Quantity/Sales"}
+
 # --- fixed values: cluster labels -------------------------------------------------------
 TIERS = ("A", "B", "C")
 PATTERNS = ("seasonal", "erratic", "variable", "steady")

@@ -52,14 +52,20 @@ def _features(target: Column, step: Column, freq: str) -> Column:
 
 
 def training_rows(packed: DataFrame, horizon: int, freq: str) -> DataFrame:
-    """One row per known period with a complete history, each at one of the steps in turn."""
+    """One row per known period and step ahead, where the origin has a complete history.
+
+    Every period is seen at every step, so the step tells nothing about the calendar.
+    """
     first = max(LAGS) - 1
     targets = F.sequence(F.lit(first + 1), F.col("n") - 1)
-    step_of = lambda i: 1 + i % horizon
-    usable = F.filter(targets, lambda i: i - step_of(i) >= first)
-    rows = F.transform(usable, lambda i: F.struct(
-        (F.get("ys", i) / F.col("mean")).alias("label"), _features(i, step_of(i), freq).alias("x")
-    ))
+
+    def at_steps(i: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.least(F.lit(horizon), i - first))
+        return F.transform(steps, lambda step: F.struct(
+            (F.get("ys", i) / F.col("mean")).alias("label"), _features(i, step, freq).alias("x")
+        ))
+
+    rows = F.flatten(F.transform(targets, at_steps))
     eligible = packed.filter((F.col("n") > first + MIN_COMPLETE_ROWS) & (F.col("mean") > 0))
     return eligible.select("sku", "mean", F.inline(rows)).select("sku", "mean", "label", "x.*")
 
@@ -82,7 +88,7 @@ def use_checkpoints(spark) -> None:
         context.setCheckpointDir(folder)
 
 
-def fit_boosted(packed: DataFrame, horizon: int, freq: str, preset: str = "gbt_leaf", trees: int = 20) -> DataFrame:
+def fit_boosted(packed: DataFrame, horizon: int, freq: str, preset: str = "gbt_leaf", trees: int = 100) -> DataFrame:
     """(sku, <preset>) for the items with enough history; needs ``mean``."""
     use_checkpoints(packed.sparkSession)
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")

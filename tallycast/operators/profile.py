@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallycast.config import PROMO_WORDS, REQUIRED_ROLES, ROLE_KEYWORDS, ROLE_THRESHOLD, ROLES
+from tallycast.config import (
+    DETECTION_TEXTS, MAPPING_ERRORS, PROMO_WORDS, REQUIRED_LABELS, REQUIRED_ROLES, ROLE_KEYWORDS, ROLE_THRESHOLD, ROLES,
+)
 from tallycast.functions.dates import parse_date
 from tallycast.schema import Mapping
 
@@ -149,11 +151,9 @@ def detection_summary(profiled: DataFrame) -> DataFrame:
     kind, sure = F.col("detected_type"), F.col("confidence") >= 0.8
     unknown = kind == "unknown"
     quoted = F.concat(F.lit("'"), F.col("column"), F.lit("'"))
-    message = (
-        F.when(unknown, F.concat(F.lit("Could not determine type for "), quoted))
-        .when(sure, F.concat(quoted, F.lit(" looks like your "), F.upper(kind), F.lit(" column")))
-        .otherwise(F.concat(quoted, F.lit(" might be your "), F.upper(kind), F.lit(" column")))
-    )
+    texts = {state: [F.lit(text) for text in pair] for state, pair in DETECTION_TEXTS.items()}
+    about = lambda state: F.concat(quoted, texts[state][0], F.upper(kind), texts[state][1])
+    message = F.when(unknown, F.concat(texts["unknown"][0], quoted)).when(sure, about("sure")).otherwise(about("unsure"))
     state = F.when(unknown, "warning").when(sure, "good").otherwise("uncertain")
     return profiled.select(
         "column", kind.alias("type"), "confidence", message.alias("message"), state.alias("status"), "sample_values"
@@ -162,14 +162,13 @@ def detection_summary(profiled: DataFrame) -> DataFrame:
 
 def validate_mapping(mapping: dict[str, str], df: DataFrame) -> list[str]:
     """P10: problems found; empty when the mapping can be used."""
-    labels = {"date": "Date", "sku": "Item/SKU", "quantity": "Quantity/Sales"}
-    errors = [f"{labels[role]} column is required" for role in REQUIRED_ROLES if not mapping.get(role)]
+    errors = [MAPPING_ERRORS["required"].format(role=REQUIRED_LABELS[role]) for role in REQUIRED_ROLES if not mapping.get(role)]
     used: set[str] = set()
     for name in mapping.values():
         if name not in df.columns:
-            errors.append(f"Column '{name}' not found in data")
+            errors.append(MAPPING_ERRORS["absent"].format(name=name))
         if name in used:
-            errors.append(f"Column '{name}' is mapped twice")
+            errors.append(MAPPING_ERRORS["twice"].format(name=name))
         used.add(name)
     return errors
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallycast.config import MIN_POINTS_PER_ITEM, QUALITY_BANDS, SKEW, SkewConfig
+from tallycast.config import MIN_POINTS_PER_ITEM, QUALITY_BANDS, QUALITY_TEXTS
 from tallycast.functions.scale import exact_quantiles
 
 
@@ -70,17 +70,13 @@ def quality_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         + F.when(F.col("negatives") > 0, F.least(F.lit(10.0), negative * 3)).otherwise(0.0)
         + F.when(points < MIN_POINTS_PER_ITEM, 10.0).otherwise(0.0)
     )
-    found = [
-        (missing > 5, F.format_string("%.1f%% missing values detected", missing),
-         "fill missing values with forward fill or interpolation"),
-        (F.col("duplicates") > 0, F.format_string("%,d duplicate entries found", "duplicates"),
-         "aggregate duplicates by sum or average"),
-        (F.col("negatives") > 0, F.format_string("%,d negative quantity values", "negatives"),
-         "review negative values - may indicate returns"),
-        (points < MIN_POINTS_PER_ITEM,
-         F.format_string(f"low data points per item: %.1f (minimum recommended: {MIN_POINTS_PER_ITEM})", points),
-         "consider weekly or monthly aggregation"),
-    ]
+    tests = {
+        "missing": (missing > 5, missing),
+        "duplicates": (F.col("duplicates") > 0, F.col("duplicates")),
+        "negatives": (F.col("negatives") > 0, F.col("negatives")),
+        "points": (points < MIN_POINTS_PER_ITEM, points),
+    }
+    found = [(test, F.format_string(QUALITY_TEXTS[key][0], figure), QUALITY_TEXTS[key][1]) for key, (test, figure) in tests.items()]
     return row.select(
         "*",
         F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - penalty)).alias("overall_score"),

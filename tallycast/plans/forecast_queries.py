@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallycast.config import COMPARED_MODELS, ENSEMBLE_MEMBERS
+from tallycast.config import COMPARED_MODELS, ENSEMBLE_MEMBERS, SAMPLE_SEED
 from tallycast.functions.dates import horizon_periods
 from tallycast.operators import classify, forecast, series
 from tallycast.operators.models import boosted
@@ -82,6 +82,13 @@ _check("m12_ensemble", "ensemble", "M", _supp, SUPP, f"{MEMBERS_SQL}, {ensemble_
 R.add("m9_additive", LONG, None, _model("additive", "W", _supp))
 R.add("m10_gbt_leaf", ERRORS, None, _model("gbt_leaf", "W", _supp, ERRORS))
 R.add("m10_gbt_depth", ERRORS, None, _model("gbt_depth", "W", _supp, ERRORS))
+R.add("m10_training_rows", "step:i, month:i, n:i, label:d, lag_1:d, lag_28:d, rolling_mean_7:d", f"""{SUPP}, {series_sql('W')}, s AS (SELECT *, list_avg(ys) AS m FROM packed),
+    t AS (SELECT *, unnest(range(28, n)) AS i FROM s WHERE n > 37 AND m > 0),
+    r AS (SELECT *, unnest(range(1, least({H}, i - 27) + 1)) AS step FROM t)
+    SELECT step, month(last_period + CAST(7 * (i + 1 - n) AS INT)) AS month, count(*) AS n, avg(ys[i + 1] / m) AS label, avg(ys[i - step + 1] / m) AS lag_1,
+        avg(ys[i - step - 26] / m) AS lag_28, avg(list_avg(ys[i - step - 5:i - step + 1]) / m) AS rolling_mean_7 FROM r GROUP BY ALL""",
+      lambda s, d: boosted.training_rows(with_moments(series.pack(_supp(s, d), "W")), H, "W").groupBy("step", "month").agg(
+          F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("label", "lag_1", "lag_28", "rolling_mean_7")]))
 R.add("m11_future_features", "sku, step:i, lag_1:d, lag_7:d, lag_14:d, lag_28:d, rolling_mean_7:d, rolling_std_7:d, rolling_mean_28:d, day_of_week:i, "
       "month:i, day_of_month:i, week_of_year:i, time_idx:i", f"""{SUPP}, {series_sql('W')}, s AS (SELECT *, list_avg(ys) AS m FROM packed), f AS (
     SELECT *, last_period + CAST(7 * step AS INT) AS p FROM s, range(1, {H + 1}) r(step) WHERE n > 37 AND m > 0)
@@ -147,4 +154,7 @@ R.add("m18_compare_models", COMPARISON, f"{SUPP}, {backtest_sql('M', H, FIVE_SQL
       lambda s, d: forecast.compare_models(_supp(s, d), H, "M", sample_size=None))
 R.add("m18_backtest_items", "sku, model, mape:d, mae:d", f"{SUPP}, {backtest_sql('D', 30, naive_sql(30) + ', ' + seasonal_naive_sql(7, 30), ('naive', 'seasonal_naive'))} SELECT * FROM tested",
       lambda s, d: forecast.backtest(_supp(s, d), 30, "D", None, ("naive", "seasonal_naive")))
-R.add("m18_compare_sample", COMPARISON, None, lambda s, d: forecast.compare_models(_supp(s, d), 30, "W", 50))
+SAMPLED = f"""WITH {demand_sql('supp', name='everything')}, sample AS (SELECT sku FROM (SELECT DISTINCT sku FROM everything) ORDER BY md5('{SAMPLE_SEED}:' || sku), sku LIMIT 6),
+    demand AS (SELECT * FROM everything WHERE sku IN (SELECT sku FROM sample))"""
+R.add("m18_compare_sample", COMPARISON, f"{SAMPLED}, {backtest_sql('M', H, FIVE_SQL, COMPARED_MODELS)} SELECT * FROM comparison",
+      lambda s, d: forecast.compare_models(_supp(s, d), H, "M", 6))
