@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
@@ -47,10 +47,14 @@ def release(df: DataFrame) -> None:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Bound the bytes of the Arrow batches that ``df`` is passed to Python in, whatever the text lengths."""
+    """Bound the bytes of the Arrow batches that ``df`` is passed to Python in, whatever the text lengths.
+
+    Lowers the session's limit where it is above ``BATCH_BYTES``.
+    """
     conf = df.sparkSession.conf
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(conf.get(key)).rstrip("bB")) > BATCH_BYTES:
+    number, unit = re.fullmatch(r"(\d+)\s*([kmg]?)b?", str(conf.get(key)).strip().lower()).groups()
+    if int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return df
 
