@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallycast.llm import (
-    chat, common, hamming_search, language, lattice_dedup, mixing, packing, quality_trees, secret_scan, simhash, token_counts,
+    chat, common, hamming_search, language, lattice_dedup, mixing, near_copies, packing, quality_trees, secret_scan, simhash, token_counts,
 )
 from tallycast.llm.queries import tokenizer_path
 from tallycast.llm.tokens import Encoder
@@ -490,6 +490,77 @@ def test_pipeline_stages(spark, folder):
         len(whole_ids(r.text)) + 1 for r in seen["sequences"][0].collect())
 
 
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def planted_copies(rng, low, high, n_words=200):
+    """(text, copy) whose five-word Jaccard similarity is from ``low`` to below ``high``."""
+    while True:
+        words = [f"w{rng.randrange(5000)}" for _ in range(n_words)]
+        copy = list(words)
+        for at in rng.sample(range(n_words), rng.randrange(1, 8)):
+            copy[at] = f"x{rng.randrange(5000)}"
+        text, changed = " ".join(words), " ".join(copy)
+        one, two = shingle_set(text), shingle_set(changed)
+        if low <= len(one & two) / len(one | two) < high:
+            return text, changed
+
+
+def test_near_copies_stage_finds_planted_copies(spark):
+    import corpus_pipeline
+
+    rng, rows, copies = random.Random(5), [], {}
+    for band in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1)):
+        for _ in range(100):
+            text, changed = planted_copies(rng, *band)
+            copies[len(rows) + 1] = band
+            rows += [(len(rows), text), (len(rows) + 1, changed)]
+    below = len(rows)
+    for _ in range(100):
+        rows += zip((len(rows), len(rows) + 1), planted_copies(rng, 0.7, 0.8))
+    left = {r.doc_id for r in corpus_pipeline.near_copies(spark, documents(spark, rows), "").collect()}
+    assert {i for i, _ in rows if i >= below or i not in copies} <= left
+    assert sum(i in left for i in copies) <= 2  # each stays with a chance below 0.0003
+
+
+@pytest.mark.parametrize("block_rows", [3, 512])
+def test_near_copy_groups_are_those_of_all_pairs(spark, block_rows):
+    rng, rows = random.Random(6), odd_texts()
+    words = [f"w{i}" for i in range(60)]
+    for i in range(80):
+        if i % 20 == 0:
+            words = rng.sample(words, 60)
+        words[rng.randrange(60)] = f"v{i}"
+        rows.append((i + 10, " ".join(words)))
+    sets = [shingle_set(text) for _, text in rows]
+    near = {i: {j for j in range(len(rows)) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])} for i in range(len(rows))}
+    numbered = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "_row long, text string")
+    found = {r._row: r.group for r in near_copies.groups(numbered, block_rows).collect()}
+    assert found == groups(range(len(rows)), near)
+    assert near_copies.groups(numbered.limit(0)).count() == 0
+
+
+def test_pipeline_stages_with_copies_by_similarity(spark, folder):
+    import corpus_pipeline
+
+    docs, seen = common.table(spark, folder, "documents"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = common.keep(stage(spark, docs, folder))
+        seen[name] = (before, docs)
+    sets = {r.doc_id: shingle_set(r.text) for r in seen["near_copies"][0].collect()}
+    near = {d: {e for e in sets if sets[d] == sets[e] or 5 * len(sets[d] & sets[e]) >= 4 * len(sets[d] | sets[e])} for d in sets}
+    assert {r.doc_id for r in seen["near_copies"][1].collect()} == set(groups(sets, near).values())
+    assert not any(plain_spans(r.text) for r in seen["secrets"][1].collect())
+    assert seen["secrets"][1].count() == seen["secrets"][0].count()
+    copies = {r.doc_id: r.copies for r in mixing.plan(seen["mixture"][0]).collect()}
+    assert Counter(r.doc_id for r in seen["mixture"][1].collect()) == +Counter(copies)
+    assert seen["sequences"][1].selectExpr("sum(length)").first()[0] == sum(
+        len(whole_ids(r.text)) + 1 for r in seen["sequences"][0].collect())
+
+
 def test_map_batches_bounds_long_texts(spark):
     docs = documents(spark, [(i, "z" * 3_000_000) for i in range(12)])
 
