@@ -561,6 +561,19 @@ def test_pipeline_stages_with_copies_by_similarity(spark, folder):
         len(whole_ids(r.text)) + 1 for r in seen["sequences"][0].collect())
 
 
+def test_near_copies_stage_tells_rows_apart_that_share_an_id(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    texts = [planted_copies(rng, 0.85, 1) for _ in range(3)]
+    alone = " ".join(f"a{i}" for i in range(100))
+    rows = [(3, texts[0][0]), (7, alone), (7, texts[0][1]),  # one id, two texts: only the copy goes
+            (None, texts[1][0]), (None, texts[1][0]), (None, texts[1][1]),  # copies without an id
+            (None, texts[2][0]), (9, texts[2][1]), (9, texts[2][1])]  # the row with an id stays, once
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, documents(spark, rows).coalesce(1), "").collect())
+    assert left == Counter([(3, texts[0][0]), (7, alone), (None, texts[1][0]), (9, texts[2][1])])
+
+
 def test_map_batches_bounds_long_texts(spark):
     docs = documents(spark, [(i, "z" * 3_000_000) for i in range(12)])
 
