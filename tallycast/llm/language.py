@@ -6,7 +6,7 @@ the second's, permuted once, and the third's. A document is the bundle (sum) of
 its sequences, a language the bundle of its documents, each of length one. A document gets the
 language with the largest cosine, the first in order if there are several.
 
-The prototypes are learned from at most ``learn_docs`` documents, drawn by a hash of the id;
+The prototypes are learned from all documents that are not held out, so no language is missed;
 their vectors are summed per task and then by Spark, so only one vector per language reaches
 the driver. Scoring is a map over the documents.
 
@@ -27,12 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.llm import common
-from tallycast.llm.quality_trees import drawn, held_out
+from tallycast.llm.quality_trees import held_out
 
 WIDTH = 1024
 SYMBOLS = 64  # word edge, a to z, and the other letters by hash
 SEED = 7
-LEARN_DOCS = 20_000
 CHARS_AT_ONCE = 1 << 20
 DOCS_AT_ONCE = 512
 UNKNOWN = "und"
@@ -101,10 +100,10 @@ def _groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield first, group
 
 
-def prototypes(docs: DataFrame, learn_docs: int = LEARN_DOCS) -> tuple[list[str], np.ndarray]:
+def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order, and a vector of length one for each."""
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    sample = drawn(known.select("doc_id", "lang", "text"), learn_docs).filter("text is not null").select("lang", "text")
+    known = known.filter("text is not null").select("lang", "text")
 
     def work(batches):
         sums: dict[str, np.ndarray] = {}
@@ -120,7 +119,7 @@ def prototypes(docs: DataFrame, learn_docs: int = LEARN_DOCS) -> tuple[list[str]
             values = [pa.array(list(sums)), pa.array(list(sums.values()), pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(values, ["lang", "v"])
 
-    parts = common.map_batches(sample, work, "lang string, v array<double>")
+    parts = common.map_batches(known, work, "lang string, v array<double>")
     summed = parts.select("lang", F.posexplode("v").alias("pos", "x")).groupBy("lang", "pos").agg(F.sum("x").alias("x"))
     rows = summed.toPandas()
     names = sorted(rows["lang"].unique())
@@ -129,9 +128,9 @@ def prototypes(docs: DataFrame, learn_docs: int = LEARN_DOCS) -> tuple[list[str]
     return names, _of_length_one(found)
 
 
-def identify(docs: DataFrame, learn_docs: int = LEARN_DOCS) -> DataFrame:
+def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of ``docs`` (doc_id, text, lang)."""
-    names, known = prototypes(docs, learn_docs)
+    names, known = prototypes(docs)
     known = known.astype(np.float32)
 
     def work(batches):

@@ -309,6 +309,14 @@ def test_language_of_odd_input(spark):
     assert language.identify(documents(spark, [])).count() == 0
 
 
+def test_language_learns_rare_languages_of_large_tables(spark):
+    rare = F.col("doc_id") == 71  # a draw of 20,000 of these documents by a hash of the id left it out
+    docs = spark.range(40_000).select((F.col("id") * 7 + 1).alias("doc_id")).select(
+        "doc_id", F.when(rare, "zwq xwz qqz wzx").otherwise("the cat and the dog").alias("text"), F.when(rare, "rare").otherwise("en").alias("lang"))
+    assert language.prototypes(docs)[0] == ["en", "rare"]
+    assert [(r.held_out, r.lang_pred) for r in language.identify(docs).filter("doc_id = 71").collect()] == [(False, "rare")]
+
+
 def test_language_vectors_are_bundles_of_bound_letters():
     table = language.letters()
     one = np.roll(table[0], 2) * np.roll(table[1], 1) * table[2]  # edge, a, b
