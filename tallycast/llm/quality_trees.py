@@ -1,14 +1,15 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 The statistics are computed where the texts are, in one pass over each text. The trees are
-grown on the driver from the statistics of at most ``learn_docs`` labelled documents, drawn by
-a hash of the id: each statistic is cut into at most ``BINS`` bins once, and every level of a
+grown on the driver from the statistics of about ``learn_docs`` labelled documents at most, drawn
+by a hash of the id, one row for each id: each statistic is cut into at most ``BINS`` bins once, and every level of a
 tree is found from gradient histograms over (node, statistic, bin). Trees are complete and
 flattened into arrays (statistic, cut, leaf value), which numpy walks level by level for all
 documents of a batch together.
 
 Defined results: null texts count as empty and get a score; labels are one per document, the
-lower where they differ, null ones ignored; documents without id are not learned from; with no
+lower where they differ, null ones ignored; of texts that share an id the one with the smallest
+hash is learned from; documents without id are not learned from; with no
 label to learn from every score is 1, with labels of one kind the smoothed share of ones;
 repeated rows are scored alike; an empty table gives no rows; other columns are passed through
 by ``with_scores``.
@@ -172,21 +173,27 @@ def drawn(rows: DataFrame, bound: int) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, learn_docs: int = LEARN_DOCS) -> Forest:
     """Trees from the labelled documents that are not held out."""
+    rows = learned_rows(docs, labels, learn_docs).toPandas().sort_values("doc_id", kind="stable")
+    x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), len(FEATURES))
+    return grow(x, rows["label"].to_numpy(np.float64))
+
+
+def learned_rows(docs: DataFrame, labels: DataFrame, learn_docs: int = LEARN_DOCS) -> DataFrame:
+    """(doc_id, label, x) to learn from, one row for each id drawn; what shares an id is reduced in Spark, first in its task."""
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.min("quality").cast("double").alias("_label"))
     sample = drawn(known, learn_docs)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # learn_docs rows of two numbers
+    chosen = docs.select("doc_id", "text").withColumn("_order", F.xxhash64("text"))
+    chosen = chosen.join(F.broadcast(sample), "doc_id")  # learn_docs rows of two numbers
 
     def work(batches):
         for batch in batches:
-            ids, text, label = common.columns(batch, "doc_id", "text", "_label")
+            ids, text, label, order = common.columns(batch, "doc_id", "text", "_label", "_order")
             values = pa.FixedSizeListArray.from_arrays(pa.array(_matrix(text).ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), label, values], ["doc_id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), label, values, order], ["doc_id", "label", "x", "order"])
 
-    rows = common.map_batches(chosen, work, "doc_id long, label double, x array<double>").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
-    x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), len(FEATURES))
-    return grow(x, rows["label"].to_numpy(np.float64))
+    rows = common.map_batches(chosen, work, "doc_id long, label double, x array<double>, order long")
+    return rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.min_by("x", "order").alias("x"))
 
 
 def with_scores(docs: DataFrame, forest: Forest, column: str = "score") -> DataFrame:

@@ -275,6 +275,15 @@ def test_quality_of_odd_input(spark):
     assert quality_trees.classify(documents(spark, []), none).count() == 0
 
 
+def test_quality_learns_from_one_row_for_each_id(spark):
+    rows = [(1, f"text number {i} on one id") for i in range(500)] + [(i, f"text of {i}") for i in range(2, 50)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 50)], "doc_id long, quality int, toxic int")
+    found = [(r.doc_id, r.label, tuple(r.x)) for r in quality_trees.learned_rows(documents(spark, rows), labels).collect()]
+    assert sorted(r[0] for r in found) == [i for i in range(1, 50) if zlib.crc32(str(i).encode()) % 4 != 2]
+    again = quality_trees.learned_rows(documents(spark, rows[::-1]), labels).collect()
+    assert sorted(found) == sorted((r.doc_id, r.label, tuple(r.x)) for r in again)
+
+
 def test_flat_trees_agree_with_a_walk():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((400, len(quality_trees.FEATURES)))
