@@ -154,7 +154,9 @@ R.add("m18_compare_models", COMPARISON, f"{SUPP}, {backtest_sql('M', H, FIVE_SQL
       lambda s, d: forecast.compare_models(_supp(s, d), H, "M", sample_size=None))
 R.add("m18_backtest_items", "sku, model, mape:d, mae:d", f"{SUPP}, {backtest_sql('D', 30, naive_sql(30) + ', ' + seasonal_naive_sql(7, 30), ('naive', 'seasonal_naive'))} SELECT * FROM tested",
       lambda s, d: forecast.backtest(_supp(s, d), 30, "D", None, ("naive", "seasonal_naive")))
-SAMPLED = f"""WITH {demand_sql('supp', name='everything')}, sample AS (SELECT sku FROM (SELECT DISTINCT sku FROM everything) ORDER BY md5('{SAMPLE_SEED}:' || sku), sku LIMIT 6),
-    demand AS (SELECT * FROM everything WHERE sku IN (SELECT sku FROM sample))"""
-R.add("m18_compare_sample", COMPARISON, f"{SAMPLED}, {backtest_sql('M', H, FIVE_SQL, COMPARED_MODELS)} SELECT * FROM comparison",
-      lambda s, d: forecast.compare_models(_supp(s, d), H, "M", 6))
+def sampled_sql(items: int) -> str:
+    return f"""WITH {demand_sql('supp', name='everything')}, sample AS (SELECT sku FROM (SELECT DISTINCT sku FROM everything) ORDER BY md5('{SAMPLE_SEED}:' || sku), sku LIMIT {items}),
+    demand AS (SELECT * FROM everything WHERE sku IN (SELECT sku FROM sample)), {backtest_sql('M', H, FIVE_SQL, COMPARED_MODELS)} SELECT * FROM comparison"""
+
+
+R.add("m18_compare_sample", COMPARISON, sampled_sql(50), lambda s, d: forecast.compare_models(_supp(s, d), H, "M", 50))
