@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallycast.llm import chat, hamming_search, language, lattice_dedup, mixing, packing, quality_trees, secret_scan, simhash, token_counts
+from tallycast.llm import (
+    centroids, chat, hamming_search, language, lattice_dedup, license_scan, mixing, packing, quality_trees, secret_scan, simhash, spelling,
+    token_counts,
+)
 from tallycast.llm.common import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"  # a file of the public tokenizers, whose folder is given at run time
@@ -69,6 +72,18 @@ def op10_hamming(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.digest(*centroids.cluster(table(spark, folder, "embeddings")))
+
+
+def op13_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
 ORACLES: dict[str, str] = {
     "op2_chat": """
         WITH c AS (
@@ -112,6 +127,42 @@ for _column in ("role", "text"):
     ORACLES["op2_chat"] = ORACLES["op2_chat"].replace(f"escaped({_column})", _escaped(_column))
 
 
+def _rounds_sql(rounds: int) -> str:
+    """SQL of ``centroids.cluster``: each round assigns all vectors to the centroids of the one before and moves these."""
+    steps = ["""points AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS vec
+            FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+        ), c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), vec) - 1 AS cluster, vec FROM points WHERE vec_id IS NOT NULL
+            QUALIFY cluster < 40
+        )"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+            SELECT p.row, p.vec_id, p.vec, c.cluster,
+                   list_sum(list_transform(range(1, 65), lambda k: (p.vec[k] - c.vec[k]) * (p.vec[k] - c.vec[k])))::BIGINT AS distance
+            FROM points p CROSS JOIN c{i} c
+            QUALIFY row_number() OVER (PARTITION BY p.row ORDER BY distance, c.cluster) = 1
+        )""")
+        if i < rounds:
+            steps.append(f"""s{i} AS MATERIALIZED (
+            SELECT cluster, k, sum(vec[k]) AS total, count(*) AS n FROM a{i}, range(1, 65) t(k) GROUP BY cluster, k
+        ), c{i + 1} AS MATERIALIZED (
+            SELECT c.cluster, coalesce(m.vec, c.vec) AS vec FROM c{i} c LEFT JOIN (
+                SELECT cluster, list(((total - ((total % n) + n) % n) // n)::BIGINT ORDER BY k) AS vec FROM s{i} GROUP BY cluster
+            ) m USING (cluster)
+        )""")
+    return f"""
+        WITH {", ".join(steps)}
+        SELECT vec_id, cluster::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+               sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.vec, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} c USING (cluster)
+    """
+
+
+ORACLES["op12_centroids"] = _rounds_sql(centroids.ROUNDS)
+
+
 def queries() -> dict[str, Query]:
     return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
 
