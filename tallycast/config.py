@@ -159,12 +159,10 @@ class AnomalyConfig:
 class SkewConfig:
     """Bounds for what one task may hold.
 
-    An item with more than ``hot_rows`` rows is cut into consecutive segments of about that
-    size; ``cell_rows`` is the grain at which the cuts are made.
+    An item with more than about ``hot_rows`` rows is cut into consecutive segments of that size.
     """
 
     hot_rows: int = 4_000_000
-    cell_rows: int = 1_000_000
 
 
 @dataclass(frozen=True)

@@ -1,11 +1,11 @@
 """Skew-safe building blocks: segments of long items, distributed ranks, exact quantiles.
 
-A window partitioned by item puts a whole item into one task. That is the cheapest plan for
-items of ordinary size; items above ``SkewConfig.hot_rows`` are cut into consecutive segments,
-with the neighbouring rows that a bounded frame needs copied across each cut. Every plan holds
-both ways (``both_ways``): rows per item are counted in the plan (one column, combined before
-the shuffle), and the way of the hot items is empty where there are none. Null items and null
-dates are kept and cut like any other.
+A window partitioned by item puts a whole item into one task. Here rows are partitioned by
+(item, segment): items above ``SkewConfig.hot_rows`` are cut into consecutive segments, all others
+are one. Cuts come from a sample of the keys, drawn by hash, so one plan serves all items: the rows look up
+their segment among the cuts, rows near a cut are copied to the neighbouring segment, and one
+exchange and one sort follow. What a segment must know of the others comes from a summary of one row
+per segment. Null items and null dates are kept and cut like any other.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql.window import WindowSpec
 from tallycast.config import SKEW, SkewConfig
 
 ORDER = ("date", "row_id")
-SPLIT_BITS = 33  # bits of a row id below the split number, see sources.files.with_row_id
+SAMPLES = 256  # sampled rows from one cut to the next
+SEARCH_BITS = 24  # an item may have up to 2^24 cuts
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -69,10 +70,10 @@ def both_ways(
 
 @dataclass(frozen=True)
 class Ordered:
-    """Rows of each item in order, cut into segments when ``split`` is set.
+    """Rows of each item in order, in segments when ``split`` is set.
 
-    In the split form the frame carries ``_seg`` (segment number), ``_own`` (false for rows
-    copied from a neighbour) and ``_ahead`` (rows of the item before the segment).
+    The split form carries ``_seg`` (segment number, 0 for items in one piece), ``_own`` (false for rows
+    copied from a neighbour) and, where a summary was asked, ``_passed`` (null for items in one piece).
     """
 
     df: DataFrame
@@ -87,61 +88,77 @@ class Ordered:
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(*self.order)
 
+    def passed(self, name: str) -> Column:
+        """What the other segments pass on; null for items in one piece."""
+        return F.col("_passed")[name] if self.split else F.lit(None)
+
+    def of_item(self, whole: Column, passed: Column) -> Column:
+        """A statistic of the item: ``whole`` over its rows if they are in one piece, else ``passed``."""
+        value = whole.over(Window.partitionBy(*self.keys))
+        return F.when(F.col("_passed").isNotNull(), passed).otherwise(value) if self.split else value
+
     def row_index(self) -> Column:
-        """Zero-based position of the row in its item."""
+        """Zero-based position of the row in its item; needs ``_ahead`` among what is passed."""
         if not self.split:
             return F.row_number().over(self.window()) - 1
         upto = self.window().rowsBetween(Window.unboundedPreceding, 0)
-        return F.sum(F.col("_own").cast("int")).over(upto) - 1 + F.col("_ahead")
+        return F.sum(F.col("_own").cast("int")).over(upto) - 1 + F.coalesce(self.passed("_ahead"), F.lit(0))
 
-    def with_df(self, df: DataFrame) -> "Ordered":
-        return Ordered(df, self.key, self.order, self.split)
+    def with_columns(self, made: dict[str, Column]) -> "Ordered":
+        return Ordered(self.df.withColumns(made), self.key, self.order, self.split) if made else self
 
     def own_rows(self) -> DataFrame:
-        if not self.split:
-            return self.df
-        return self.df.filter("_own").drop("_seg", "_own", "_ahead")
+        return self.df.filter("_own").drop("_seg", "_own", "_passed") if self.split else self.df
 
-    def carried(self, name: str, agg: Column, over_earlier: bool = True, running_sum: bool = False) -> "Ordered":
-        """Add ``name``: what the other segments of the item pass on to this one.
 
-        ``agg`` reduces one segment to a value. With ``running_sum`` the values of earlier
-        segments are added up, else the nearest non-null one is taken, from earlier
-        segments or, without ``over_earlier``, from later ones.
-        """
-        if not self.split:
-            return self.with_df(self.df.withColumn(name, F.lit(0 if running_sum else None)))
-        per_segment = self.df.filter("_own").groupBy(*self.keys).agg(agg.alias("_value"))
-        by_segment = Window.partitionBy(self.key).orderBy("_seg")
-        if running_sum:
-            frame = by_segment.rowsBetween(Window.unboundedPreceding, -1)
-            passed = F.coalesce(F.sum("_value").over(frame), F.lit(0))
-        elif over_earlier:
-            frame = by_segment.rowsBetween(Window.unboundedPreceding, -1)
-            passed = F.last("_value", ignorenulls=True).over(frame)
-        else:
-            frame = by_segment.rowsBetween(1, Window.unboundedFollowing)
-            passed = F.first("_value", ignorenulls=True).over(frame)
-        offsets = per_segment.withColumn(name, passed).drop("_value")
-        return self.with_df(join_same(self.df, offsets, self.keys, "left"))
-
-
-def _cells(df: DataFrame, key: str, day: str, row_id: str, skew: SkewConfig) -> DataFrame:
-    """Add ``_split`` and ``_range``: rows of an item in the order of (day, _split, _range) are in the order of (day, id).
-
-    A day of ordinary size is one cell. A crowded one is cut into ranges of split numbers, and
-    a range that still is crowded, since rows may clump in some splits, into ranges of ids.
+def earlier(name: str, key: str = "sku") -> Column:
+    """For a summary: the nearest known ``name`` of the segments before."""
+    before = Window.partitionBy(key).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(name, ignorenulls=True).over(before)
+
+
+def later(name: str, key: str = "sku") -> Column:
+    """For a summary: the nearest known ``name`` of the segments after."""
+    after = Window.partitionBy(key).orderBy("_seg").rowsBetween(1, Window.unboundedFollowing)
+    return F.first(name, ignorenulls=True).over(after)
+
+
+def running(name: str, key: str = "sku") -> Column:
+    """For a summary: the sum of ``name`` over the segments before."""
+    before = Window.partitionBy(key).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(name).over(before), F.lit(0))
+
+
+def altogether(agg: Column, key: str = "sku") -> Column:
+    """For a summary: an aggregate over all segments of the item."""
+    return agg.over(Window.partitionBy(key))
+
+
+def _cuts(df: DataFrame, key: str, order: Sequence[str], before: int, after: int, skew: SkewConfig) -> DataFrame:
+    """(key, _cuts): for items above about ``hot_rows`` rows, the first place of each further segment.
+
+    A hash draws one of ``hot_rows / SAMPLES`` rows, and every ``SAMPLES``-th row drawn from an item is a
+    cut, so segments hold ``hot_rows`` rows give or take a few percent. ``from`` and ``until`` bound the rows
+    that are copied across the cut: as many drawn rows as the frames reach, so at least that many rows, and
+    never more than one segment. At most rows / ``hot_rows`` cuts, a share of ``SAMPLES / hot_rows`` of the keys.
     """
-    def ranges(n: str, value: Column, low: str, high: str) -> Column:
-        place = (value - F.col(low)).cast("double") / (F.col(high) - F.col(low) + 1).cast("double")
-        cut = F.floor(place * F.ceil(F.col(n) / skew.cell_rows) * 4)
-        return F.when(F.col(n) <= skew.cell_rows, F.lit(0)).otherwise(cut).cast("long")
+    one_of = max(1, skew.hot_rows // SAMPLES)
+    between = max(-(-skew.hot_rows // one_of), before, after, 1)
+    drawn = df.filter(F.pmod(F.xxhash64(key, *order), F.lit(one_of)) == 0).select(key, F.struct(*order).alias("at"))
+    place = Window.partitionBy(key).orderBy("at")
+    numbered = drawn.withColumns({
+        "_n": F.row_number().over(place), "from": F.lag("at", before).over(place), "until": F.lead("at", after).over(place)})
+    cuts = numbered.filter(F.col("_n") % between == 0)
+    return cuts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "from", "until"))).alias("_cuts"))
 
-    split, row = F.shiftright(F.col(row_id), SPLIT_BITS), F.col(row_id)
-    for name, value, keys in (("_split", split, [key, day]), ("_range", row, [key, day, "_split"])):
-        stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-        df = join_same(df, stats, keys).withColumn(name, ranges("_n", value, "_lo", "_hi")).drop("_n", "_lo", "_hi")
-    return df
+
+def _segment(here: Column) -> Column:
+    """Number of cuts at or before ``here``, by binary search."""
+    cuts = F.col("_cuts")
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(SEARCH_BITS))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= F.size(cuts)) & (F.get(cuts, at + step - 1)["at"] <= here), at + step).otherwise(at))
+    return F.when(cuts.isNull(), 0).otherwise(found)
 
 
 def ordered_rows(
@@ -151,61 +168,46 @@ def ordered_rows(
     before: int = 0,
     after: int = 0,
     skew: SkewConfig = SKEW,
-    split: bool = False,
+    split: bool | None = None,
+    parts: dict[str, Column] | None = None,
+    passed: Sequence[dict[str, Column]] = (),
+    numbered: bool = False,
 ) -> Ordered:
     """Prepare ``df`` for row frames that reach ``before`` rows back and ``after`` ahead.
 
-    ``order`` is (date, unique long id). Segments are runs of cells, by the running count of
-    their rows, so no row has to be numbered to be placed.
+    ``order`` is (date, unique long id). ``parts`` are aggregates of a segment, from which ``passed`` makes what
+    the others need to know (``earlier``, ``later``, ``running``, ``altogether``), step by step; with ``numbered``
+    the aggregates may use ``_i``, the place of a row in its segment. Only rows of items that are cut are read for
+    them. ``split=False`` leaves every item in one piece.
     """
     order = tuple(order)
-    if not split:
+    if split is False:
         return Ordered(df, key, order, False)
 
-    day, row_id = order
-    placed = _cells(df, key, day, row_id, skew)
-    place = [day, "_split", "_range"]
-    upto = Window.partitionBy(key).orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
-    in_segment = Window.partitionBy(key, "_seg")
-    cells = (
-        placed.groupBy(key, *place)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_end", F.sum("_n").over(upto))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-        .withColumn("_seg", F.floor(F.col("_start") / skew.hot_rows).cast("int"))
-        .withColumn("_ahead", F.min("_start").over(in_segment))
-        .withColumn("_stop", F.max("_end").over(in_segment))
-        .withColumn("_last", F.max("_seg").over(Window.partitionBy(key)))
-    )
-    # segments without rows of their own can't be neighbours, so the next one is looked up, not counted up
-    numbers = cells.select(key, "_seg").distinct()
-    in_order = Window.partitionBy(key).orderBy("_seg")
-    numbers = numbers.withColumns({"_next": F.lead("_seg").over(in_order), "_previous": F.lag("_seg").over(in_order)})
-    cells = join_same(cells, numbers, [key, "_seg"])
-    to_next = (F.col("_stop") - F.col("_end") < before) & F.col("_next").isNotNull()
-    to_previous = (F.col("_start") - F.col("_ahead") < after) & F.col("_previous").isNotNull()
-    copies = F.array_compact(F.array(
-        F.struct(F.col("_seg").alias("_seg"), F.lit(True).alias("_own")),
-        F.when(to_next, F.struct(F.col("_next").alias("_seg"), F.lit(False).alias("_own"))),
-        F.when(to_previous, F.struct(F.col("_previous").alias("_seg"), F.lit(False).alias("_own"))),
-    ))
-    cells = cells.select(key, *place, "_ahead", copies.alias("_copies"))
-    segments = join_same(placed, cells, [key, *place]).select(*df.columns, "_ahead", F.inline("_copies"))
-    return Ordered(segments, key, order, True)
-
-
-def with_item_stats(df: DataFrame, keys: Sequence[str], stats: dict[str, Column], split: bool) -> DataFrame:
-    """Add per-group aggregates to every row.
-
-    Small groups use a window that shares the item exchange of the other windows; with hot
-    items the aggregate is combined before its shuffle and joined back (AQE splits the
-    skewed side of that join).
-    """
-    if not split:
-        group = Window.partitionBy(*keys)
-        return df.withColumns({name: agg.over(group) for name, agg in stats.items()})
-    table = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
-    return join_same(df, table, list(keys), "left")
+    here = F.struct(*order)
+    cuts = _cuts(df, key, order, before, after, skew)
+    placed = join_same(df, cuts, [key], "left", small=True).withColumn("_seg", _segment(here))
+    own = F.struct("_seg", F.lit(True).alias("_own"))
+    if before or after:
+        following, this = F.get("_cuts", F.col("_seg")), F.get("_cuts", F.col("_seg") - 1)
+        to_next = following.isNotNull() & F.coalesce(here >= following["from"], F.lit(True))
+        to_previous = this.isNotNull() & F.coalesce(here < this["until"], F.lit(True))
+        copy = lambda test, step: F.when(test, F.struct((F.col("_seg") + step).alias("_seg"), F.lit(False).alias("_own")))
+        copies = F.array_compact(F.array(own, copy(to_next, 1) if before else F.lit(None), copy(to_previous, -1) if after else F.lit(None)))
+        placed = placed.select(*df.columns, F.inline(F.when(F.col("_cuts").isNull(), F.array(own)).otherwise(copies)))
+    else:
+        placed = placed.select(*df.columns, "_seg", F.lit(True).alias("_own"))
+    if parts:
+        hot = join_same(df, cuts, [key], "inner", small=True).withColumn("_seg", _segment(here))
+        if numbered:
+            in_segment = Window.partitionBy(key, "_seg").orderBy(*order)
+            hot = hot.repartition(key, "_seg").withColumn("_i", F.row_number().over(in_segment) - 1)
+        table = hot.groupBy(key, "_seg").agg(*[agg.alias(name) for name, agg in parts.items()])
+        for step in passed:
+            table = table.withColumns(step)
+        names = [name for step in passed for name in step]
+        placed = join_same(placed, table.select(key, "_seg", F.struct(*names).alias("_passed")), [key, "_seg"], "left", small=True)
+    return Ordered(placed.repartition(key, "_seg"), key, order, True)
 
 
 def ranked(items: DataFrame, value: str, key: str = "sku", weight: str | None = None, buckets: int = 128, slots: int = 1024) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallycast.config import ANOMALY, ANOMALY_TEXTS, SKEW, AnomalyConfig, SkewConfig
 from tallycast.functions.dates import period_end, period_sequence
-from tallycast.functions.scale import both_ways, exact_quantiles, ordered_rows, with_item_stats
+from tallycast.functions.scale import altogether, exact_quantiles, ordered_rows, running
 from tallycast.schema import ANOMALY_COLUMNS
 
 
@@ -61,19 +61,18 @@ def detect_rolling(
     size = config.rolling_window
     back, ahead = size // 2, size - 1 - size // 2
 
-    def measure(part: DataFrame, cut: bool) -> DataFrame:
-        rows = ordered_rows(part, before=back, after=ahead, skew=skew, split=cut)
-        frame = rows.window().rowsBetween(-back, ahead)
-        measured = rows.with_df(rows.df.withColumns({
-            "_mean": F.avg("quantity").over(frame),
-            "_sd": F.stddev_samp("quantity").over(frame),
-            "_known": F.count("quantity").over(frame),
-        })).own_rows()
-        return with_item_stats(measured, ["sku"], {"_rows": F.count(F.lit(1))}, cut)
-
+    parts, passed = {"_count": F.count(F.lit(1))}, [{"_rows": altogether(F.sum("_count"))}]
+    rows = ordered_rows(df, before=back, after=ahead, skew=skew, split=split, parts=parts, passed=passed)
+    frame = rows.window().rowsBetween(-back, ahead)
+    measured = rows.with_columns({
+        "_mean": F.avg("quantity").over(frame),
+        "_sd": F.stddev_samp("quantity").over(frame),
+        "_known": F.count("quantity").over(frame),
+        "_rows": rows.of_item(F.count(F.lit(1)), rows.passed("_rows")),
+    }).own_rows()
     q, mean, t = F.col("quantity"), F.col("_mean"), config.rolling_threshold
     z = F.abs(q - mean) / F.col("_sd")
-    outside = both_ways(df, measure, skew, split).filter(
+    outside = measured.filter(
         (F.col("_rows") >= size + 1) & (F.col("_known") == size) & (F.col("_sd") > 0)
     ).filter(z > t)
     return _records(outside, q, mean, F.when(q > mean, "spike").otherwise("drop"), z / (t * 2), "rolling")
@@ -85,21 +84,20 @@ def detect_zeros(
     """A4: runs of zeros. A run shares its count of non-zero rows before it, across segments too."""
     other = F.when(F.col("quantity") == 0, 0).otherwise(1)
 
-    def number(part: DataFrame, cut: bool) -> DataFrame:
-        rows = ordered_rows(part, skew=skew, split=cut)
-        rows = rows.carried("_before", F.sum(other), running_sum=True)
-        upto = rows.window().rowsBetween(Window.unboundedPreceding, 0)
-        numbered = rows.with_df(rows.df.withColumn("_run", F.sum(other).over(upto) + F.col("_before"))).own_rows()
-        return numbered.select("sku", "date", "quantity", "_run")
-
-    runs = (
-        both_ways(df, number, skew, split).filter(F.col("quantity") == 0)
+    parts = {"_others": F.sum(other), "_sum": F.sum("quantity"), "_count": F.count("quantity")}
+    mean = F.try_divide(altogether(F.sum("_sum")), altogether(F.sum("_count")))
+    rows = ordered_rows(df, skew=skew, split=split, parts=parts, passed=[{"_before": running("_others"), "_mean": mean}])
+    upto = rows.window().rowsBetween(Window.unboundedPreceding, 0)
+    found = (
+        rows.with_columns({
+            "_run": F.sum(other).over(upto) + F.coalesce(rows.passed("_before"), F.lit(0)),
+            "_mean": rows.of_item(F.avg("quantity"), rows.passed("_mean")),
+        }).own_rows()
+        .filter((F.col("quantity") == 0) & F.col("sku").isNotNull())
         .groupBy("sku", "_run")
-        .agg(F.count(F.lit(1)).alias("_length"), F.min("date").alias("date"))
+        .agg(F.count(F.lit(1)).alias("_length"), F.min("date").alias("date"), F.first("_mean").alias("_mean"))
         .filter(F.col("_length") >= config.min_zero_run)
     )
-    means = df.groupBy("sku").agg(F.avg("quantity").alias("_mean"))
-    found = runs.join(means, "sku")
     return _records(found, F.lit(0.0), F.col("_mean"), F.lit("zero"), F.col("_length") / 10, "zero_detection")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tallycast.config import SKEW, SkewConfig
 from tallycast.functions.dates import period_end, period_sequence
-from tallycast.functions.scale import both_ways, ordered_rows
+from tallycast.functions.scale import earlier, later, ordered_rows
 
 
 def _numeric(df: DataFrame) -> list[str]:
@@ -25,23 +25,15 @@ def fill_neighbour(
     split: bool | None = None,
 ) -> DataFrame:
     """nearest known value before (or after) the row within its item."""
-    def fill(part: DataFrame, cut: bool) -> DataFrame:
-        rows = ordered_rows(part, skew=skew, split=cut)
-        frame = rows.window().rowsBetween(Window.unboundedPreceding, 0)
-        if not forward:
-            frame = rows.window().rowsBetween(0, Window.unboundedFollowing)
-        pick = F.last if forward else F.first
-        edge = F.max_by if forward else F.min_by
-        place = F.struct(*rows.order)
-        for name in columns:
-            at_edge = edge(F.col(name), F.when(F.col(name).isNotNull(), place))
-            rows = rows.carried(f"_edge_{name}", at_edge, over_earlier=forward)
-        filled = rows.df.withColumns({
-            name: F.coalesce(pick(name, ignorenulls=True).over(frame), F.col(f"_edge_{name}")) for name in columns
-        })
-        return rows.with_df(filled).own_rows().select(*df.columns)
-
-    return both_ways(df, fill, skew, split)
+    pick, edge, side = (F.last, F.max_by, earlier) if forward else (F.first, F.min_by, later)
+    place = F.struct("date", "row_id")
+    parts = {f"_edge_{name}": edge(F.col(name), F.when(F.col(name).isNotNull(), place)) for name in columns}
+    passed = [{f"_next_{name}": side(f"_edge_{name}") for name in columns}]
+    rows = ordered_rows(df, skew=skew, split=split, parts=parts, passed=passed)
+    ends = (Window.unboundedPreceding, 0) if forward else (0, Window.unboundedFollowing)
+    frame = rows.window().rowsBetween(*ends)
+    filled = {name: F.coalesce(pick(name, ignorenulls=True).over(frame), rows.passed(f"_next_{name}")) for name in columns}
+    return rows.with_columns(filled).own_rows().select(*df.columns)
 
 
 def fill_zero(df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from tallycast.config import (
     SkewConfig,
 )
 from tallycast.functions.dates import days_to_holiday, is_holiday
-from tallycast.functions.scale import Ordered, both_ways, ordered_rows, with_item_stats
+from tallycast.functions.scale import Ordered, altogether, earlier, ordered_rows, running
 
 LONGEST_REACH = 28
 
@@ -66,10 +66,12 @@ def _row_features(rows: Ordered, names: Sequence[str]) -> dict[str, Column]:
         elif kind == "rolling_std":
             made[name] = F.stddev_samp(quantity).over(w.rowsBetween(1 - int(size), 0))
     if "price_change_pct" in names:
-        earlier = F.last("price", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        before = F.coalesce(earlier, F.col("_price_before"))
+        last_known = F.last("price", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        before = F.coalesce(last_known, rows.passed("_price_before"))
         change = F.try_divide(F.coalesce(F.col("price"), before), before) - 1
         made["price_change_pct"] = F.coalesce(change, F.lit(0.0))
+    if "trend_component" in names:
+        made["_x"] = rows.row_index()
     return made
 
 
@@ -81,66 +83,107 @@ def create_features(
     with_price: bool = True,
     with_promo: bool = True,
 ) -> DataFrame:
-    """Features for all items; one exchange and one sort by date for items of ordinary size."""
+    """Features for all items; one exchange of the rows, one sort by date and one by month."""
     names = [
         name for name in features_of(feature_set)
         if (with_price or name not in PRICE) and (with_promo or name not in PROMO)
     ]
-    needs_index = "trend_component" in names
     if all(name in CALENDAR or name == "promo_flag" for name in names):
-        split = False  # nothing looks beyond its own row
-    if split is None:  # only the hot items take the longer way
-        build = lambda part, cut: create_features(part, feature_set, skew, cut, with_price, with_promo)
-        return both_ways(df, build, skew).select(*df.columns, *names)
-    rows = ordered_rows(df, before=LONGEST_REACH, skew=skew, split=split)
-    if "price_change_pct" in names:
-        known = F.when(F.col("price").isNotNull(), F.struct(*rows.order))
-        rows = rows.carried("_price_before", F.max_by("price", known))
-    made = _row_features(rows, names)
-    if needs_index:
-        made["_x"] = rows.row_index()
-    out = rows.with_df(rows.df.withColumns(made)).own_rows() if made else rows.own_rows()
-
-    stats: dict[str, Column] = {}
-    if "price_relative_to_avg" in names:
-        stats["_avg_price"] = F.avg("price")
-    if "promo_intensity" in names:
-        stats["_max_promo"] = F.max("promo")
+        return df.select("*", *[(_promo_flag() if name == "promo_flag" else _calendar(name)).alias(name) for name in names])
+    parts, passed = _summary(names)
+    numbered = "trend_component" in names
+    rows = ordered_rows(df, before=LONGEST_REACH, skew=skew, split=split, parts=parts, passed=passed, numbered=numbered)
+    rows = rows.with_columns(_row_features(rows, names))
+    rows = rows.with_columns(_item_statistics(rows, names))
     if "seasonal_index" in names:
-        stats["_avg_quantity"] = F.avg("quantity")
-    if needs_index:
-        known = F.coalesce(F.col("quantity"), F.lit(0.0))
-        stats["_cov"] = F.covar_samp(F.col("_x").cast("double"), known)
-        stats["_var"] = F.var_pop(F.col("_x").cast("double"))
-    if stats:
-        out = with_item_stats(out, ["sku"], stats, rows.split)
-    if "seasonal_index" in names:
-        out = out.withColumn("_month", F.month("date"))
-        out = with_item_stats(out, ["sku", "_month"], {"_avg_month": F.avg("quantity")}, rows.split)
+        month = Window.partitionBy(*rows.keys, F.month("date"))
+        average = F.avg("quantity").over(month)
+        if rows.split:
+            by_month = F.get(rows.passed("_months"), F.coalesce(F.month("date"), F.lit(0)))
+            average = F.when(F.col("_passed").isNotNull(), by_month).otherwise(average)
+        rows = rows.with_columns({"_avg_month": average})
 
     derived = {
         "price_relative_to_avg": lambda: F.when(F.col("_avg_price") > 0, F.col("price") / F.col("_avg_price")).otherwise(1.0),
-        "promo_flag": lambda: F.coalesce((F.col("promo") > 0).cast("int"), F.lit(0)),
+        "promo_flag": _promo_flag,
         "promo_intensity": lambda: F.when(F.col("_max_promo") > 0, F.col("promo") / F.col("_max_promo")).otherwise(0.0),
         "seasonal_index": lambda: F.when(F.col("_avg_quantity") > 0, F.col("_avg_month") / F.col("_avg_quantity")).otherwise(1.0),
-        "trend_component": lambda: F.coalesce(F.try_divide(F.col("_cov"), F.col("_var")), F.lit(0.0)) * F.col("_x"),
+        "trend_component": lambda: F.coalesce(F.col("_slope"), F.lit(0.0)) * F.col("_x"),
     }
-    columns = [F.col(name) if name in made else (derived[name]() if name in derived else _calendar(name)).alias(name) for name in names]
-    return out.select(*df.columns, *columns)
+    columns = [
+        derived[name]().alias(name) if name in derived else _calendar(name).alias(name) if name in CALENDAR else F.col(name)
+        for name in names
+    ]
+    return rows.own_rows().select(*df.columns, *columns)
+
+
+def _promo_flag() -> Column:
+    return F.coalesce((F.col("promo") > 0).cast("int"), F.lit(0))
+
+
+def _summary(names: Sequence[str]) -> tuple[dict[str, Column], list[dict[str, Column]]]:
+    """What the segments of an item tell each other: last price, rows ahead, and totals for the item's statistics."""
+    parts: dict[str, Column] = {}
+    first: dict[str, Column] = {}
+    second: dict[str, Column] = {}
+    if "price_change_pct" in names:
+        parts["_last_price"] = F.max_by("price", F.when(F.col("price").isNotNull(), F.struct("date", "row_id")))
+        first["_price_before"] = earlier("_last_price")
+    if "price_relative_to_avg" in names:
+        parts |= {"_price_sum": F.sum("price"), "_price_count": F.count("price")}
+        first["_avg_price"] = F.try_divide(altogether(F.sum("_price_sum")), altogether(F.sum("_price_count")))
+    if "promo_intensity" in names:
+        parts["_promo"] = F.max("promo")
+        first["_max_promo"] = altogether(F.max("_promo"))
+    if "seasonal_index" in names:
+        month = F.coalesce(F.month("date"), F.lit(0))
+        here = [F.when(month == m, F.col("quantity")) for m in range(13)]  # 0: no date
+        parts |= {f"_sum_{m}": F.sum(q) for m, q in enumerate(here)} | {f"_count_{m}": F.count(q) for m, q in enumerate(here)}
+        sums, counts = ([altogether(F.sum(f"_{kind}_{m}")) for m in range(13)] for kind in ("sum", "count"))
+        first["_months"] = F.array(*[F.try_divide(total, count) for total, count in zip(sums, counts)])
+        known = sum((F.coalesce(total, F.lit(0.0)) for total in sums), F.lit(0.0))
+        first["_avg_quantity"] = F.try_divide(known, sum(counts, F.lit(0)))
+    if "trend_component" in names:
+        quantity = F.coalesce(F.col("quantity"), F.lit(0.0))
+        parts |= {"_rows": F.count(F.lit(1)), "_quantity": F.sum(quantity), "_moment": F.sum(quantity * F.col("_i"))}
+        first |= {"_ahead": running("_rows"), "_n": altogether(F.sum("_rows")).cast("double"), "_all": altogether(F.sum("_quantity"))}
+        moment = altogether(F.sum(F.col("_ahead") * F.col("_quantity") + F.col("_moment")))
+        n, middle = F.col("_n"), (F.col("_n") - 1) / 2
+        second["_slope"] = F.try_divide((moment - middle * F.col("_all")) / (n - 1), (n * n - 1) / 12)
+    return parts, [step for step in (first, second) if step]
+
+
+def _item_statistics(rows: Ordered, names: Sequence[str]) -> dict[str, Column]:
+    made: dict[str, Column] = {}
+    if "price_relative_to_avg" in names:
+        made["_avg_price"] = rows.of_item(F.avg("price"), rows.passed("_avg_price"))
+    if "promo_intensity" in names:
+        made["_max_promo"] = rows.of_item(F.max("promo"), rows.passed("_max_promo"))
+    if "seasonal_index" in names:
+        made["_avg_quantity"] = rows.of_item(F.avg("quantity"), rows.passed("_avg_quantity"))
+    if "trend_component" in names:
+        x, known = F.col("_x").cast("double"), F.coalesce(F.col("quantity"), F.lit(0.0))
+        item = Window.partitionBy(*rows.keys)
+        slope = F.try_divide(F.covar_samp(x, known).over(item), F.var_pop(x).over(item))
+        made["_slope"] = F.when(F.col("_passed").isNotNull(), rows.passed("_slope")).otherwise(slope) if rows.split else slope
+    return made
 
 
 def create_features_by_tier(
     df: DataFrame, tiers: DataFrame, skew: SkewConfig = SKEW, split: bool | None = None
 ) -> DataFrame:
-    """Each item gets its tier's set (C when it has no tier); other features stay null."""
+    """Each item gets its tier's set (C when it has no tier); other features stay null.
+
+    The tier is looked up before the rows are widened by the features.
+    """
+    with_tier = df.join(tiers.select("sku", F.col("volume_tier").alias("_tier")), "sku", "left").select(*df.columns, "_tier")
+    made = create_features(with_tier, "all_20", skew, split)
     tier = F.coalesce(F.col("_tier"), F.lit("C"))
-    made = create_features(df, "all_20", skew, split)
-    joined = made.join(tiers.select("sku", F.col("volume_tier").alias("_tier")), "sku", "left")
     columns = []
     for name in ALL_20:
         wanted = [t for t, chosen in TIER_FEATURE_SET.items() if name in FEATURE_SETS[chosen]]
         columns.append(F.when(tier.isin(*wanted), F.col(name)).alias(name))
-    return joined.select(*df.columns, *columns)
+    return made.select(*df.columns, *columns)
 
 
 def feature_importance(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallycast.config import SAMPLE_SEED, SKEW, SkewConfig
-from tallycast.functions.scale import both_ways, exact_quantiles, join_same, ordered_rows, with_item_stats
+from tallycast.functions.scale import Ordered, altogether, exact_quantiles, join_same, ordered_rows, running
 
 
 def draw(seed: int = SAMPLE_SEED, key: str = "sku") -> Column:
@@ -49,6 +49,11 @@ def representative_items(totals: DataFrame, n: int = 20, seed: int = SAMPLE_SEED
     return chosen.select("sku").distinct().orderBy("sku").limit(n)
 
 
+def _numbered(df: DataFrame, skew: SkewConfig, split: bool | None) -> Ordered:
+    passed = [{"_ahead": running("_rows"), "_n": altogether(F.sum("_rows"))}]
+    return ordered_rows(df, skew=skew, split=split, parts={"_rows": F.count(F.lit(1))}, passed=passed)
+
+
 def sparkline_order(
     df: DataFrame, by: str = "name", top: int = 20, skew: SkewConfig = SKEW, split: bool | None = None
 ) -> DataFrame:
@@ -58,12 +63,8 @@ def sparkline_order(
     """
     finite = df.filter(F.col("quantity").isNotNull() & ~F.isnan("quantity") & (F.abs("quantity") != float("inf")))
     if by == "trend":
-        def place(part: DataFrame, cut: bool) -> DataFrame:
-            rows = ordered_rows(part, skew=skew, split=cut)
-            placed = rows.with_df(rows.df.withColumn("_x", rows.row_index())).own_rows()
-            return with_item_stats(placed, ["sku"], {"_n": F.count(F.lit(1))}, cut)
-
-        placed = both_ways(finite, place, skew, split)
+        rows = _numbered(finite, skew, split)
+        placed = rows.with_columns({"_x": rows.row_index(), "_n": rows.of_item(F.count(F.lit(1)), rows.passed("_n"))}).own_rows()
         early = F.col("_x") < F.floor(F.col("_n") / 2)
         halves = placed.groupBy("sku").agg(
             F.avg(F.when(early, F.col("quantity"))).alias("_first"),
@@ -83,9 +84,6 @@ def sparkline_rows(
     finite = df.filter(F.col("quantity").isNotNull() & ~F.isnan("quantity") & (F.abs("quantity") != float("inf")))
     chosen = sparkline_order(df, by, top, skew, split).select("sku")
 
-    def place(part: DataFrame, cut: bool) -> DataFrame:
-        rows = ordered_rows(part, skew=skew, split=cut)
-        placed = rows.with_df(rows.df.withColumn("position", rows.row_index())).own_rows()
-        return placed.select("sku", "position", "date", F.col("quantity").alias("y"))
-
-    return both_ways(join_same(finite, chosen, ["sku"], "left_semi", small=True), place, skew, split)  # top rows
+    rows = _numbered(join_same(finite, chosen, ["sku"], "left_semi", small=True), skew, split)  # top rows
+    placed = rows.with_columns({"position": rows.row_index()}).own_rows()
+    return placed.select("sku", "position", "date", F.col("quantity").alias("y"))

@@ -15,7 +15,7 @@ from tallycast.plans.data import DIRTY, PROMO, Register, table
 from tallycast.plans.feature_queries import ALL_20, KEY, features_sql, spec
 
 R = Register()
-SMALL = SkewConfig(hot_rows=500, cell_rows=50)
+SMALL = SkewConfig(hot_rows=500)
 HOT = {
     "row_id": "(l_orderkey % 11) * 8589934592 + (l_orderkey * 1000003 + l_linenumber * 7919 + l_partkey * 104729 + l_suppkey * 15485863 + cast(l_quantity as bigint) * 32452843) % 8589934592",
     "date": """case when l_orderkey % 13 = 0 then cast(null as date)

@@ -9,7 +9,7 @@ from tallycast.functions.scale import exact_quantiles, ordered_rows, ranked
 from tallycast.operators import anomaly, clean, features, sampling
 from tallycast.plans.data import demand, dirty
 
-TINY = SkewConfig(hot_rows=60, cell_rows=20)
+TINY = SkewConfig(hot_rows=60)
 
 
 def rows(df):
