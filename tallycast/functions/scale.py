@@ -23,7 +23,8 @@ from tallycast.config import SKEW, SkewConfig
 
 ORDER = ("date", "row_id")
 SAMPLES = 256  # sampled rows from one cut to the next
-SEARCH_BITS = 24  # an item may have up to 2^24 cuts
+FANOUT = 16  # entries of a node when the cuts of an item are searched
+LEVELS = 4
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -134,31 +135,73 @@ def altogether(agg: Column, key: str = "sku") -> Column:
     return agg.over(Window.partitionBy(key))
 
 
-def _cuts(df: DataFrame, key: str, order: Sequence[str], before: int, after: int, skew: SkewConfig) -> DataFrame:
-    """(key, _cuts): for items above about ``hot_rows`` rows, the first place of each further segment.
-
-    A hash draws one of ``hot_rows / SAMPLES`` rows, and every ``SAMPLES``-th row drawn from an item is a
-    cut, so segments hold ``hot_rows`` rows give or take a few percent. ``from`` and ``until`` bound the rows
-    that are copied across the cut: as many drawn rows as the frames reach, so at least that many rows, and
-    never more than one segment. At most rows / ``hot_rows`` cuts, a share of ``SAMPLES / hot_rows`` of the keys.
+@dataclass(frozen=True)
+class Cuts:
+    """Where items above about ``hot_rows`` rows are cut: (key, n, at, from, until), kept as several joins read it.
+
+    A hash draws one of ``hot_rows / SAMPLES`` rows, and every ``SAMPLES``-th row drawn from an item begins a
+    segment, so segments hold ``hot_rows`` rows give or take a few percent. ``from`` and ``until`` bound the rows
+    that are copied across a cut: as many drawn rows as the frames reach, so at least that many rows, and
+    never more than one segment. There are at most rows / ``hot_rows`` cuts, from a share of ``SAMPLES / hot_rows``
+    of the keys.
     """
+
+    table: DataFrame
+    key: str
+
+    def items(self) -> DataFrame:
+        return self.table.select(self.key).distinct()
+
+    def with_segment(self, df: DataFrame, here: Column) -> DataFrame:
+        """Add ``_seg``, the number of the item's cuts at or before ``here``.
+
+        The cuts form a search tree of ``LEVELS`` levels that is joined level by level, so that
+        no row carries more than a node of it.
+        """
+        df = df.withColumn("_seg", F.lit(0))
+        for level in reversed(range(LEVELS)):
+            step = FANOUT ** level
+            entries = self.table.filter(F.col("n") % step == 0)
+            if level < LEVELS - 1:
+                node = F.floor(F.col("n") / (step * FANOUT)).cast("int")
+                entries = entries.filter(F.col("n") % (step * FANOUT) != 0)
+            else:
+                node = F.lit(0)
+            nodes = entries.groupBy(self.key, node.alias("_seg")).agg(F.collect_list("at").alias("_node"))  # FANOUT places
+            passed = F.when(F.col("_node").isNotNull(), F.size(F.filter("_node", lambda at: at <= here))).otherwise(0)
+            looked_up = join_same(df.withColumnRenamed("_seg", "_at"), nodes.withColumnRenamed("_seg", "_at"), [self.key, "_at"], "left", small=True)
+            df = looked_up.withColumn("_seg", F.col("_at") * FANOUT + passed).drop("_at", "_node")
+        return df
+
+    def with_copies(self, df: DataFrame, here: Column, before: int, after: int) -> DataFrame:
+        """Add ``_own``, and rows near a cut once more in the neighbouring segment."""
+        if not (before or after):
+            return df.withColumn("_own", F.lit(True))
+        sides = F.array(
+            F.struct(F.col("n").alias("_seg"), F.lit(None).alias("_next"), F.struct("until").alias("_this")),
+            F.struct((F.col("n") - 1).alias("_seg"), F.struct("from").alias("_next"), F.lit(None).alias("_this")))
+        edges = self.table.select(self.key, F.inline(sides)).groupBy(self.key, "_seg").agg(
+            F.max("_next").alias("_next"), F.max("_this").alias("_this"))
+        looked_up = join_same(df, edges, [self.key, "_seg"], "left", small=True)
+        own = F.struct("_seg", F.lit(True).alias("_own"))
+        copy = lambda test, step: F.when(test, F.struct((F.col("_seg") + step).alias("_seg"), F.lit(False).alias("_own")))
+        near = [own]
+        if before:
+            near.append(copy(F.col("_next").isNotNull() & F.coalesce(here >= F.col("_next")["from"], F.lit(True)), 1))
+        if after:
+            near.append(copy(F.col("_this").isNotNull() & F.coalesce(here < F.col("_this")["until"], F.lit(True)), -1))
+        return looked_up.select(*[c for c in df.columns if c != "_seg"], F.inline(F.array_compact(F.array(*near))))
+
+
+def find_cuts(df: DataFrame, key: str, order: Sequence[str], before: int, after: int, skew: SkewConfig) -> Cuts:
     one_of = max(1, skew.hot_rows // SAMPLES)
     between = max(-(-skew.hot_rows // one_of), before, after, 1)
     drawn = df.filter(F.pmod(F.xxhash64(key, *order), F.lit(one_of)) == 0).select(key, F.struct(*order).alias("at"))
     place = Window.partitionBy(key).orderBy("at")
     numbered = drawn.withColumns({
-        "_n": F.row_number().over(place), "from": F.lag("at", before).over(place), "until": F.lead("at", after).over(place)})
-    cuts = numbered.filter(F.col("_n") % between == 0)
-    return cuts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "from", "until"))).alias("_cuts"))
-
-
-def _segment(here: Column) -> Column:
-    """Number of cuts at or before ``here``, by binary search."""
-    cuts = F.col("_cuts")
-    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(SEARCH_BITS))])
-    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
-        (at + step <= F.size(cuts)) & (F.get(cuts, at + step - 1)["at"] <= here), at + step).otherwise(at))
-    return F.when(cuts.isNull(), 0).otherwise(found)
+        "n": F.row_number().over(place), "from": F.lag("at", before).over(place), "until": F.lead("at", after).over(place)})
+    cuts = numbered.filter(F.col("n") % between == 0).withColumn("n", F.floor(F.col("n") / between).cast("int"))
+    return Cuts(kept(cuts), key)
 
 
 def ordered_rows(
@@ -172,33 +215,25 @@ def ordered_rows(
     parts: dict[str, Column] | None = None,
     passed: Sequence[dict[str, Column]] = (),
     numbered: bool = False,
+    beside: DataFrame | None = None,
 ) -> Ordered:
     """Prepare ``df`` for row frames that reach ``before`` rows back and ``after`` ahead.
 
     ``order`` is (date, unique long id). ``parts`` are aggregates of a segment, from which ``passed`` makes what
     the others need to know (``earlier``, ``later``, ``running``, ``altogether``), step by step; with ``numbered``
     the aggregates may use ``_i``, the place of a row in its segment. Only rows of items that are cut are read for
-    them. ``split=False`` leaves every item in one piece.
+    them. ``beside`` is a table of one row per item that is looked up before the rows are exchanged.
+    ``split=False`` leaves every item in one piece.
     """
     order = tuple(order)
     if split is False:
-        return Ordered(df, key, order, False)
+        return Ordered(df if beside is None else df.join(beside, key, "left"), key, order, False)
 
     here = F.struct(*order)
-    cuts = _cuts(df, key, order, before, after, skew)
-    placed = join_same(df, cuts, [key], "left", small=True).withColumn("_seg", _segment(here))
-    own = F.struct("_seg", F.lit(True).alias("_own"))
-    if before or after:
-        following, this = F.get("_cuts", F.col("_seg")), F.get("_cuts", F.col("_seg") - 1)
-        to_next = following.isNotNull() & F.coalesce(here >= following["from"], F.lit(True))
-        to_previous = this.isNotNull() & F.coalesce(here < this["until"], F.lit(True))
-        copy = lambda test, step: F.when(test, F.struct((F.col("_seg") + step).alias("_seg"), F.lit(False).alias("_own")))
-        copies = F.array_compact(F.array(own, copy(to_next, 1) if before else F.lit(None), copy(to_previous, -1) if after else F.lit(None)))
-        placed = placed.select(*df.columns, F.inline(F.when(F.col("_cuts").isNull(), F.array(own)).otherwise(copies)))
-    else:
-        placed = placed.select(*df.columns, "_seg", F.lit(True).alias("_own"))
+    cuts = find_cuts(df, key, order, before, after, skew)
+    placed = cuts.with_copies(cuts.with_segment(df, here), here, before, after)
     if parts:
-        hot = join_same(df, cuts, [key], "inner", small=True).withColumn("_seg", _segment(here))
+        hot = cuts.with_segment(join_same(df, cuts.items(), [key], "left_semi", small=True), here)
         if numbered:
             in_segment = Window.partitionBy(key, "_seg").orderBy(*order)
             hot = hot.repartition(key, "_seg").withColumn("_i", F.row_number().over(in_segment) - 1)
@@ -207,6 +242,8 @@ def ordered_rows(
             table = table.withColumns(step)
         names = [name for step in passed for name in step]
         placed = join_same(placed, table.select(key, "_seg", F.struct(*names).alias("_passed")), [key, "_seg"], "left", small=True)
+    if beside is not None:
+        placed = placed.join(beside, key, "left")
     return Ordered(placed.repartition(key, "_seg"), key, order, True)
 
 

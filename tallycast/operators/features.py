@@ -82,8 +82,12 @@ def create_features(
     split: bool | None = None,
     with_price: bool = True,
     with_promo: bool = True,
+    beside: DataFrame | None = None,
 ) -> DataFrame:
-    """Features for all items; one exchange of the rows, one sort by date and one by month."""
+    """Features for all items; one exchange of the rows, one sort by date and one by month.
+
+    ``beside`` (one row per item) is looked up before the rows are widened; its columns go along.
+    """
     names = [
         name for name in features_of(feature_set)
         if (with_price or name not in PRICE) and (with_promo or name not in PROMO)
@@ -92,7 +96,8 @@ def create_features(
         return df.select("*", *[(_promo_flag() if name == "promo_flag" else _calendar(name)).alias(name) for name in names])
     parts, passed = _summary(names)
     numbered = "trend_component" in names
-    rows = ordered_rows(df, before=LONGEST_REACH, skew=skew, split=split, parts=parts, passed=passed, numbered=numbered)
+    rows = ordered_rows(df, before=LONGEST_REACH, skew=skew, split=split, parts=parts, passed=passed, numbered=numbered,
+                        beside=beside)
     rows = rows.with_columns(_row_features(rows, names))
     rows = rows.with_columns(_item_statistics(rows, names))
     if "seasonal_index" in names:
@@ -114,7 +119,8 @@ def create_features(
         derived[name]().alias(name) if name in derived else _calendar(name).alias(name) if name in CALENDAR else F.col(name)
         for name in names
     ]
-    return rows.own_rows().select(*df.columns, *columns)
+    along = [name for name in beside.columns if name != "sku"] if beside is not None else []
+    return rows.own_rows().select(*df.columns, *along, *columns)
 
 
 def _promo_flag() -> Column:
@@ -136,13 +142,13 @@ def _summary(names: Sequence[str]) -> tuple[dict[str, Column], list[dict[str, Co
         parts["_promo"] = F.max("promo")
         first["_max_promo"] = altogether(F.max("_promo"))
     if "seasonal_index" in names:
-        month = F.coalesce(F.month("date"), F.lit(0))
-        here = [F.when(month == m, F.col("quantity")) for m in range(13)]  # 0: no date
-        parts |= {f"_sum_{m}": F.sum(q) for m, q in enumerate(here)} | {f"_count_{m}": F.count(q) for m, q in enumerate(here)}
-        sums, counts = ([altogether(F.sum(f"_{kind}_{m}")) for m in range(13)] for kind in ("sum", "count"))
-        first["_months"] = F.array(*[F.try_divide(total, count) for total, count in zip(sums, counts)])
-        known = sum((F.coalesce(total, F.lit(0.0)) for total in sums), F.lit(0.0))
-        first["_avg_quantity"] = F.try_divide(known, sum(counts, F.lit(0)))
+        months = range(13)  # 0: no date
+        here = "quantity) FILTER (WHERE coalesce(month(date), 0) = "
+        parts |= {f"_{kind}_{m}": F.expr(f"{kind}({here}{m})") for kind in ("sum", "count") for m in months}
+        total = lambda kind, m: f"sum(_{kind}_{m}) OVER (PARTITION BY sku)"
+        first["_months"] = F.expr(f"array({', '.join(f'try_divide({total('sum', m)}, {total('count', m)})' for m in months)})")
+        known = " + ".join(f"coalesce({total('sum', m)}, 0D)" for m in months)
+        first["_avg_quantity"] = F.expr(f"try_divide({known}, {' + '.join(total('count', m) for m in months)})")
     if "trend_component" in names:
         quantity = F.coalesce(F.col("quantity"), F.lit(0.0))
         parts |= {"_rows": F.count(F.lit(1)), "_quantity": F.sum(quantity), "_moment": F.sum(quantity * F.col("_i"))}
@@ -172,12 +178,8 @@ def _item_statistics(rows: Ordered, names: Sequence[str]) -> dict[str, Column]:
 def create_features_by_tier(
     df: DataFrame, tiers: DataFrame, skew: SkewConfig = SKEW, split: bool | None = None
 ) -> DataFrame:
-    """Each item gets its tier's set (C when it has no tier); other features stay null.
-
-    The tier is looked up before the rows are widened by the features.
-    """
-    with_tier = df.join(tiers.select("sku", F.col("volume_tier").alias("_tier")), "sku", "left").select(*df.columns, "_tier")
-    made = create_features(with_tier, "all_20", skew, split)
+    """Each item gets its tier's set (C when it has no tier); other features stay null."""
+    made = create_features(df, "all_20", skew, split, beside=tiers.select("sku", F.col("volume_tier").alias("_tier")))
     tier = F.coalesce(F.col("_tier"), F.lit("C"))
     columns = []
     for name in ALL_20:
