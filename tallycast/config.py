@@ -49,17 +49,18 @@ QUALITY_TEXTS = {  # issue (a format of the figure) and advice
 }
 
 # --- fixed values: texts about columns --------------------------------------------------
-DETECTION_TEXTS = {  # before and after the column's name, or its name and its role
-    "unknown": ("Could not determine type for ", ""),
-    "sure": (" looks like your ", " column"),
-    "unsure": (" might be your ", " column"),
+DETECTION_TEXTS = {
+    "unknown": "Could not determine type for '{name}'",
+    "sure": "'{name}' looks like your {role} column",
+    "unsure": "'{name}' might be your {role} column",
 }
 MAPPING_ERRORS = {
-    "required": "{role} column is required",
+    "date": "Date column is required",
+    "sku": "Item/SKU column is required",
+    "quantity": "Quantity/Sales column is required",
     "absent": "Column '{name}' not found in data",
     "twice": "Column '{name}' is mapped twice",
 }
-REQUIRED_LABELS = {"date": "Date", "sku": "Item/SKU", "quantity": "Quantity/Sales"}
 
 # --- fixed values: cluster labels -------------------------------------------------------
 TIERS = ("A", "B", "C")

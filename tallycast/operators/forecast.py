@@ -195,20 +195,17 @@ def backtest(
         F.slice("ys", F.col("n") - F.col("_held") + 1, F.col("_held")).alias("_test"),
     )
     fitted = run_models(split, models, horizon, freq, grid)
-    scored = F.array(*[
-        F.struct(
-            F.lit(i).alias("model_rank"),
-            F.lit(name).alias("model"),
-            accuracy(F.col("_test"), F.slice(F.col(f"{name}.forecast"), 1, F.size("_test"))).alias("acc"),
-        )
+    # generators after fitting and after scoring, so that neither is copied into what reads it
+    rows = F.array(*[
+        F.struct(F.lit(i).alias("model_rank"), F.lit(name).alias("model"), F.col(f"{name}.forecast").alias("forecast"))
         for i, name in enumerate(models)
     ])
-    errors = F.transform("_scored", lambda s: F.struct(mape(s["acc"]).alias("mape"), s["model_rank"].alias("model_rank")))
-    # the scores and the item's best stay in one row, so the fits are not run again for the winners
-    nested = fitted.select("sku", scored.alias("_scored")).withColumn("_best", F.array_min(errors)["model_rank"])
-    long = nested.select("sku", "_best", F.inline("_scored"))
-    return long.select("sku", "model", "model_rank", mape(F.col("acc")).alias("mape"), mae(F.col("acc")).alias("mae"),
-                       (F.col("model_rank") == F.col("_best")).alias("won"))
+    long = fitted.select("sku", "_test", F.inline(rows))
+    sums = accuracy(F.col("_test"), F.slice("forecast", 1, F.size("_test")))
+    scored = long.select("sku", "model", "model_rank", F.explode(F.array(sums)).alias("_acc"))
+    scored = scored.withColumns({"mape": mape(F.col("_acc")), "mae": mae(F.col("_acc"))}).drop("_acc")
+    best = F.min(F.struct("mape", "model_rank")).over(Window.partitionBy("sku"))  # one row per model
+    return scored.withColumn("won", F.col("model_rank") == best["model_rank"])
 
 
 def compare_models(

@@ -1,8 +1,8 @@
 """Pooled gradient-boosted trees over all items.
 
 One model is trained on the scaled values of every item, so the work grows with the rows
-and not with the number of models. Steps ahead are predicted directly: the step is a
-feature, the lags are those known at the origin, and the calendar is the target's.
+and not with the number of models. It learns the next period from those before it; later steps are
+predicted from its own predictions (``forest.roll_forward``).
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from tallycast.config import SAMPLE_SEED
 from tallycast.functions.dates import step_date
+from tallycast.functions.scale import kept
 from tallycast.operators.models.base import band, outcome, total
+from tallycast.operators.models.forest import LAGS, from_model, roll_forward
 
-LAGS = (1, 7, 14, 28)
 MIN_COMPLETE_ROWS = 10
 FEATURES = (
     "lag_1", "lag_7", "lag_14", "lag_28", "rolling_mean_7", "rolling_std_7", "rolling_mean_28",
@@ -66,18 +67,15 @@ def training_rows(packed: DataFrame, horizon: int, freq: str) -> DataFrame:
         ))
 
     rows = F.flatten(F.transform(targets, at_steps))
-    eligible = packed.filter((F.col("n") > first + MIN_COMPLETE_ROWS) & (F.col("mean") > 0))
-    return eligible.select("sku", "mean", F.inline(rows)).select("sku", "mean", "label", "x.*")
+    return eligible(packed).select("sku", "mean", F.inline(rows)).select("sku", "mean", "label", "x.*")
 
 
 def future_rows(packed: DataFrame, horizon: int, freq: str) -> DataFrame:
-    """The features of each future step."""
-    first = max(LAGS) - 1
-    eligible = packed.filter((F.col("n") > first + MIN_COMPLETE_ROWS) & (F.col("mean") > 0))
+    """The features of each future step as far as they are known at the end of the series."""
     steps = F.transform(
         F.sequence(F.lit(1), F.lit(horizon)), lambda h: _features(F.col("n") - 1 + h, h, freq)
     )
-    return eligible.select("sku", "mean", F.inline(steps))
+    return eligible(packed).select("sku", "mean", F.inline(steps))
 
 
 def use_checkpoints(spark) -> None:
@@ -88,15 +86,20 @@ def use_checkpoints(spark) -> None:
         context.setCheckpointDir(folder)
 
 
+def eligible(packed: DataFrame) -> DataFrame:
+    """Series with enough complete rows to learn from."""
+    return packed.filter((F.col("n") > max(LAGS) - 1 + MIN_COMPLETE_ROWS) & (F.col("mean") > 0))
+
+
 def fit_boosted(packed: DataFrame, horizon: int, freq: str, preset: str = "gbt_leaf", trees: int = 100) -> DataFrame:
     """(sku, <preset>) for the items with enough history; needs ``mean``."""
     use_checkpoints(packed.sparkSession)
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    assembler = VectorAssembler(inputCols=[name for name in FEATURES if name != "step"], outputCol="features")
     learner = GBTRegressor(
         featuresCol="features", labelCol="label", predictionCol="p",
         maxIter=trees, seed=SAMPLE_SEED, **PRESETS[preset],
     )
-    training = assembler.transform(training_rows(packed, horizon, freq)).select("sku", "mean", "label", "features")
+    training = kept(assembler.transform(training_rows(packed, 1, freq)).select("sku", "mean", "label", "features"))
     model = learner.fit(training)
 
     actual = F.col("label") * F.col("mean")
@@ -110,13 +113,8 @@ def fit_boosted(packed: DataFrame, horizon: int, freq: str, preset: str = "gbt_l
         F.sum(hit.cast("double")).alias("hits"),
         F.count(F.lit(1)).cast("double").alias("n"),
     )
-    ahead = model.transform(assembler.transform(future_rows(packed, horizon, freq)))
-    value = F.greatest(F.lit(0.0), F.col("p") * F.col("mean"))
-    forecasts = ahead.groupBy("sku").agg(  # one number per step
-        F.transform(F.array_sort(F.collect_list(F.struct("step", value.alias("f")))), lambda s: s["f"]).alias("_f")
-    )
+    forecasts = roll_forward(eligible(packed), from_model(model.toDebugString), horizon, freq)
     acc = F.struct("abs", "sq", "ape", "hits", "n")
-    joined = forecasts.join(in_sample, "sku")
-    return joined.select(
-        "sku", outcome(F.lit(preset), F.col("_f"), *band(F.col("_f"), F.col("_sd")), acc).alias(preset)
+    return forecasts.join(in_sample, "sku").select(
+        "sku", outcome(F.lit(preset), F.col("forecast"), *band(F.col("forecast"), F.col("_sd")), acc).alias(preset)
     )

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallycast.config import (
-    DETECTION_TEXTS, MAPPING_ERRORS, PROMO_WORDS, REQUIRED_LABELS, REQUIRED_ROLES, ROLE_KEYWORDS, ROLE_THRESHOLD, ROLES,
+    DETECTION_TEXTS, MAPPING_ERRORS, PROMO_WORDS, REQUIRED_ROLES, ROLE_KEYWORDS, ROLE_THRESHOLD, ROLES,
 )
 from tallycast.functions.dates import parse_date
 from tallycast.schema import Mapping
 
 SAMPLE = 100
 PARSED = 20
+MERGED_IN = 64  # groups of tasks whose samples are merged first
 
 
 def kind_of(dtype: T.DataType) -> str:
@@ -30,20 +34,53 @@ def kind_of(dtype: T.DataType) -> str:
     return "bool" if isinstance(dtype, T.BooleanType) else "other"
 
 
+def _first_known(count: int, k: int = SAMPLE):
+    """Keeps, per task and column, the ``k`` known values of least place; a batch beyond them is passed over."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = [np.zeros(0, np.int64)] * count
+        values: list[list[str]] = [[] for _ in range(count)]
+        for batch in batches:
+            place = batch.column(0).to_numpy()
+            for c in range(count):
+                wanted = batch.column(c + 1).is_valid().to_numpy(zero_copy_only=False)
+                if len(places[c]) == k:
+                    wanted = wanted & (place < places[c][-1])
+                at = np.flatnonzero(wanted)
+                if not len(at):
+                    continue
+                at = at[np.argsort(place[at], kind="stable")[:k]]
+                both = np.concatenate([places[c], place[at]])
+                texts = values[c] + batch.column(c + 1).take(pa.array(at)).to_pylist()
+                order = np.argsort(both, kind="stable")[:k]
+                places[c], values[c] = both[order], [texts[i] for i in order]
+        pos = np.repeat(np.arange(count, dtype=np.int32), [len(p) for p in places])
+        texts = [text for part in values for text in part]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(pos), pa.array(np.concatenate([np.zeros(0, np.int64), *places])), pa.array(texts, pa.string())], ["_at", "place", "value"])
+    return work
+
+
 def sample_values(df: DataFrame, order: str | None = "row_id") -> DataFrame:
     """First 100 known values of each column as (pos, column, kind, rank, value) text rows.
 
-    One scan of the table; the rank limit trims each task's rows before the shuffle.
+    One scan of the table; a task hands on at most 100 values per column, and these are merged in two steps.
     """
-    place = F.col(order).cast("long") if order else F.monotonically_increasing_id()
-    values = F.array(*[
-        F.struct(F.lit(position).alias("pos"), F.lit(field.name).alias("column"), F.lit(kind_of(field.dataType)).alias("kind"),
-                 F.col(f"`{field.name}`").cast("string").alias("value"))
-        for position, field in enumerate(df.schema) if field.name != order
+    place = F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 63))) if order else F.monotonically_increasing_id()
+    fields = [(position, field) for position, field in enumerate(df.schema) if field.name != order]
+    texts = [F.col(f"`{field.name}`").cast("string").alias(f"c{i}") for i, (_, field) in enumerate(fields)]
+    found = df.select(place.alias("place"), *texts).mapInArrow(_first_known(len(fields)), "_at int, place long, value string")
+
+    def first(rows: DataFrame, *keys: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("place"))
+        return rows.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE)
+
+    shares = found.withColumn("_share", F.pmod(F.spark_partition_id(), F.lit(MERGED_IN)))
+    about = F.array(*[
+        F.struct(F.lit(position).alias("pos"), F.lit(field.name).alias("column"), F.lit(kind_of(field.dataType)).alias("kind"))
+        for position, field in fields
     ])
-    long = df.select(place.alias("place"), F.inline(values)).filter(F.col("value").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("pos").orderBy("place"))
-    return long.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE)
+    merged = first(first(shares, "_at", "_share").drop("rank"), "_at")
+    return merged.withColumn("_about", F.get(about, F.col("_at"))).select("_about.*", "place", "value", "rank")
 
 
 def _keyword(role: str, points: float) -> Column:
@@ -150,10 +187,9 @@ def detection_summary(profiled: DataFrame) -> DataFrame:
     """P9."""
     kind, sure = F.col("detected_type"), F.col("confidence") >= 0.8
     unknown = kind == "unknown"
-    quoted = F.concat(F.lit("'"), F.col("column"), F.lit("'"))
-    texts = {state: [F.lit(text) for text in pair] for state, pair in DETECTION_TEXTS.items()}
-    about = lambda state: F.concat(quoted, texts[state][0], F.upper(kind), texts[state][1])
-    message = F.when(unknown, F.concat(texts["unknown"][0], quoted)).when(sure, about("sure")).otherwise(about("unsure"))
+    text = lambda state: F.replace(F.lit(DETECTION_TEXTS[state]), F.lit("{role}"), F.upper(kind))
+    message = F.when(unknown, text("unknown")).when(sure, text("sure")).otherwise(text("unsure"))
+    message = F.replace(message, F.lit("{name}"), F.col("column"))
     state = F.when(unknown, "warning").when(sure, "good").otherwise("uncertain")
     return profiled.select(
         "column", kind.alias("type"), "confidence", message.alias("message"), state.alias("status"), "sample_values"
@@ -162,7 +198,7 @@ def detection_summary(profiled: DataFrame) -> DataFrame:
 
 def validate_mapping(mapping: dict[str, str], df: DataFrame) -> list[str]:
     """P10: problems found; empty when the mapping can be used."""
-    errors = [MAPPING_ERRORS["required"].format(role=REQUIRED_LABELS[role]) for role in REQUIRED_ROLES if not mapping.get(role)]
+    errors = [MAPPING_ERRORS[role] for role in REQUIRED_ROLES if not mapping.get(role)]
     used: set[str] = set()
     for name in mapping.values():
         if name not in df.columns:

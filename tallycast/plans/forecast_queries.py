@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallycast.config import COMPARED_MODELS, ENSEMBLE_MEMBERS, SAMPLE_SEED
 from tallycast.functions.dates import horizon_periods
 from tallycast.operators import classify, forecast, series
-from tallycast.operators.models import boosted
+from tallycast.operators.models import boosted, forest
 from tallycast.operators.models.base import with_moments
 from tallycast.plans.classify_queries import cluster_sql
 from tallycast.plans.data import Register, demand, demand_sql, events, events_sql
@@ -97,6 +97,45 @@ R.add("m11_future_features", "sku, step:i, lag_1:d, lag_7:d, lag_14:d, lag_28:d,
         day(p) AS day_of_month, weekofyear(p) AS week_of_year, n - 1 + step AS time_idx FROM f""",
       lambda s, d: boosted.future_rows(with_moments(series.pack(_supp(s, d), "W")), H, "W"))
 
+# a small forest, written once as trees and once as SQL, over the features by name
+SMALL_FOREST = (
+    ("lag_1", 1.0, ("rolling_mean_7", 0.9, 0.7, 0.95), 1.2),
+    ("month", 6, -0.1, ("lag_7", 1.1, 0.05, 0.15)),
+    ("rolling_std_7", 0.5, ("lag_28", 0.8, 0.02, -0.02), ("rolling_mean_28", 1.0, -0.3, 0.1)),
+    ("day_of_month", 15, ("lag_14", 1.3, 0.01, 0.03), -0.01),
+    ("week_of_year", 26, ("day_of_week", 3, 0.0, 0.2), ("time_idx", 330, 0.04, -0.9)),
+)
+
+
+def _numbered(tree):
+    return (boosted.FEATURES.index(tree[0]), tree[1], _numbered(tree[2]), _numbered(tree[3])) if isinstance(tree, tuple) else tree
+
+
+def _tree_sql(tree) -> str:
+    if not isinstance(tree, tuple):
+        return f"CAST({tree} AS DOUBLE)"
+    return f"CASE WHEN {tree[0]} <= {tree[1]} THEN {_tree_sql(tree[2])} ELSE {_tree_sql(tree[3])} END"
+
+
+R.add("m11_roll_forward", "sku, step:i, forecast:d", f"""WITH RECURSIVE {SUPP.removeprefix('WITH ')}, {series_sql('W')},
+    roll AS (
+        SELECT sku, n, last_period, list_avg(ys) AS m, list_transform(ys, lambda y: y / list_avg(ys)) AS zs, 0 AS step, CAST(0 AS DOUBLE) AS v
+        FROM packed WHERE n > 37 AND list_avg(ys) > 0
+        UNION ALL
+        SELECT sku, n, last_period, m, list_append(zs, greatest(0, p)), step, greatest(0, p) FROM (
+            SELECT *, {" + ".join(_tree_sql(tree) for tree in SMALL_FOREST)} AS p FROM (
+                SELECT sku, n, last_period, m, zs, step + 1 AS step, zs[-1] AS lag_1, zs[-7] AS lag_7, zs[-14] AS lag_14, zs[-28] AS lag_28,
+                    list_avg(zs[-7:]) AS rolling_mean_7, list_stddev_samp(zs[-7:]) AS rolling_std_7, list_avg(zs[-28:]) AS rolling_mean_28,
+                    isodow(last_period + CAST(7 * (step + 1) AS INT)) - 1 AS day_of_week, month(last_period + CAST(7 * (step + 1) AS INT)) AS month,
+                    day(last_period + CAST(7 * (step + 1) AS INT)) AS day_of_month, weekofyear(last_period + CAST(7 * (step + 1) AS INT)) AS week_of_year,
+                    n + step AS time_idx
+                FROM roll WHERE step < {H}))
+    )
+    SELECT sku, step, v * m AS forecast FROM roll WHERE step > 0""",
+      lambda s, d: forest.roll_forward(
+          boosted.eligible(with_moments(series.pack(_supp(s, d), "W"))), forest.flat([_numbered(t) for t in SMALL_FOREST]), H, "W"
+      ).select("sku", F.posexplode("forecast").alias("_i", "forecast")).withColumn("step", F.col("_i") + 1))
+
 # --- choice -----------------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallycast.config import DATE_FORMATS, PROMO_WORDS, ROLE_KEYWORDS, ROLES
+from tallycast.config import DATE_FORMATS, PROMO_WORDS, REQUIRED_ROLES, ROLE_KEYWORDS, ROLES
 from tallycast.functions.dates import date_text, parse_date, period_label
 from tallycast.operators import conform, profile
 from tallycast.plans.data import RAW_SQL, Register, demand, demand_sql, raw_sales, table
@@ -99,6 +99,21 @@ def _greedy_sql() -> str:
 
 
 R.add("p8_best_mapping", "role, column", _greedy_sql(), _mapping_rows)
+def _mapping_errors(spark, folder):
+    """The detected mapping, spoilt in the ways that P10 must notice."""
+    found, raw = profile.best_mapping(_profiled(spark, folder)), raw_sales(spark, folder)
+    spoilt = {f"no {role}": {r: c for r, c in found.items() if r != role} for role in REQUIRED_ROLES}
+    spoilt |= {f"other {role}": found | {role: found[role] + "_x"} for role in found}
+    spoilt |= {"date twice": found | {"quantity": found["date"]}, "right": found}
+    rows = [(case, i, error) for case, mapping in spoilt.items() for i, error in enumerate(profile.validate_mapping(mapping, raw))]
+    return spark.createDataFrame(rows, "case string, place int, error string")
+
+
+R.add("p10_mapping_errors", "case, place:i, error", f"""WITH best AS (SELECT * FROM ({_greedy_sql()}))
+    SELECT 'no ' || role AS "case", 0 AS place, CASE role WHEN 'date' THEN 'Date' WHEN 'sku' THEN 'Item/SKU' ELSE 'Quantity/Sales' END
+        || ' column is required' AS error FROM best WHERE role IN ('date', 'sku', 'quantity')
+    UNION ALL SELECT 'other ' || role, 0, 'Column ''' || "column" || '_x'' not found in data' FROM best
+    UNION ALL SELECT 'date twice', 0, 'Column ''' || "column" || ''' is mapped twice' FROM best WHERE role = 'date'""", _mapping_errors)
 R.add("p9_detection_summary", "column, type, confidence:d, message, status", f"""{STATS_SQL}
     SELECT "column", detected_type AS type, confidence,
         CASE WHEN detected_type = 'unknown' THEN 'Could not determine type for ''' || col || ''''
