@@ -218,5 +218,6 @@ def classify(docs: DataFrame, labels: DataFrame, learn_docs: int = LEARN_DOCS, a
 
 def accepted(docs: DataFrame, labels: DataFrame, learn_docs: int = LEARN_DOCS, accept: float = ACCEPT) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``accept``; same columns."""
-    scored = with_scores(docs, learn(docs, labels, learn_docs), "_quality_score")
-    return scored.filter(F.col("_quality_score") >= accept).drop("_quality_score")
+    whole = F.struct(*[f"`{name}`" for name in docs.columns]).alias("_doc")
+    scored = with_scores(docs.select(whole, "text"), learn(docs, labels, learn_docs), "_score")
+    return scored.filter(F.col("_score") >= accept).select("_doc.*")

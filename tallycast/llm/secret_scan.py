@@ -205,25 +205,20 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            place = batch.schema.get_field_index("text")
-            changed = {}
-            for row, spans in _by_document(batch.column(place), machine):
-                text, parts, done = batch.column(place)[row].as_py(), [], 0
+            doc, column = common.columns(batch, "_doc", "text")
+            values = column.to_pylist()
+            for row, spans in _by_document(column, machine):
+                text, parts, done = values[row], [], 0
                 for start, end, number in spans:
                     if start >= done:
                         parts += [text[done:start], f"[{rules[number].kind}]"]
                     done = max(done, end)
-                changed[row] = "".join([*parts, text[done:]])
-            if changed:
-                values = batch.column(place).to_pylist()
-                for row, text in changed.items():
-                    values[row] = text
-                cleaned = pa.array(values, batch.schema.field(place).type)
-                batch = pa.RecordBatch.from_arrays(
-                    [cleaned if i == place else batch.column(i) for i in range(batch.num_columns)], schema=batch.schema)
-            yield batch
-
-    return common.map_batches(docs.select(*[f"`{name}`" for name in names]), work, docs.schema)
+                values[row] = "".join([*parts, text[done:]])
+            yield pa.RecordBatch.from_arrays([doc, pa.array(values, column.type)], ["_doc", "text"])
+
+    packed = docs.select(F.struct(*[f"`{name}`" for name in names]).alias("_doc"), "text")
+    cleaned = common.map_batches(packed, work, packed.schema)
+    return cleaned.select(*[F.col("text") if name == "text" else F.col("_doc")[name].alias(name) for name in names])
 
 
 def digest(found: DataFrame) -> DataFrame:

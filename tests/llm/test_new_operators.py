@@ -226,3 +226,41 @@ def test_licenses_of_whole_and_odd_tables(spark, folder):
     assert long[1:7] == (15000, 3000, 0, 14995, "mit", "gpl-3,mit")
     assert sum("," in e[6] for e in expected) > 100
     assert license_scan.scan(documents(spark, [(1, "")]).limit(0)).count() == 0
+
+
+# --- pipeline stages --------------------------------------------------------------------------
+
+
+def test_pages_of_one_template_send_no_shingles(spark):
+    from tallycast.llm import near_copies
+
+    rng = random.Random(8)
+    shared = [f"t{i}" for i in range(62)]
+    texts = [" ".join(shared + [f"w{rng.randrange(10**6)}" for _ in range(40)]) for _ in range(300)]
+    hashes = [near_copies.shingles(text.encode()) for text in texts]
+    keys, sketches = zip(*(near_copies.band_keys(h) for h in hashes))
+    keys, sizes = np.array(keys), np.array([len(h) for h in hashes])
+    sketches = np.array([np.frombuffer(s, np.uint8) for s in sketches])
+    blocks = np.zeros((300, 3), int)
+    assert any((keys[a] == keys[b]).any() for a, b in itertools.combinations(range(300), 2))
+    assert not list(near_copies.possible_pairs(keys, sketches, sizes, 0, blocks))
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
+    assert all(r.group == r._row for r in near_copies.groups(rows).collect())
+
+
+def test_stages_return_columns_of_any_name_as_they_came(spark, folder):
+    import corpus_pipeline
+
+    docs = common.table(spark, folder, "documents").withColumns({
+        "_row": F.lit("mine"), "`a.b`": F.col("doc_id") * 2, "_score": F.lit(1), "_doc": F.lit("d"), "text2": F.col("text"), "group": F.lit(None).cast("int"),
+        "v": F.lit(7), "_quality_score": F.lit("q")})
+    docs = docs.withColumnRenamed("`a.b`", "a.b") if "`a.b`" in docs.columns else docs
+    extra = [name for name in docs.columns if name not in ("doc_id", "text", "lang", "source", "n_chars")]
+    assert "a.b" in extra
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, common.keep(stage(spark, docs, folder))
+        assert docs.columns == before.columns, name
+        picked = ["doc_id", *[f"`{c}`" for c in extra]]
+        assert set(docs.select(*picked).collect()) <= set(before.select(*picked).collect()), name
+        assert docs.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() > 0
