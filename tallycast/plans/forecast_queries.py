@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallycast.config import COMPARED_MODELS, ENSEMBLE_MEMBERS, SAMPLE_SEED
 from tallycast.functions.dates import horizon_periods
 from tallycast.operators import classify, forecast, series
-from tallycast.operators.models import boosted, forest
+from tallycast.operators.models import boosted, forest, leafwise
 from tallycast.operators.models.base import with_moments
 from tallycast.plans.classify_queries import cluster_sql
 from tallycast.plans.data import Register, demand, demand_sql, events, events_sql
@@ -136,6 +136,26 @@ R.add("m11_roll_forward", "sku, step:i, forecast:d", f"""WITH RECURSIVE {SUPP.re
           boosted.eligible(with_moments(series.pack(_supp(s, d), "W"))), forest.flat([_numbered(t) for t in SMALL_FOREST]), H, "W"
       ).select("sku", F.posexplode("forecast").alias("_i", "forecast")).withColumn("step", F.col("_i") + 1))
 
+# the root's children under a fixed split and fixed bins
+SHOWN = {"lag_1": [0.5, 0.8, 1.0, 1.2, 1.5], "rolling_mean_7": [0.8, 0.9, 1.0, 1.1], "month": [3.0, 6.0, 9.0]}
+
+
+def _histograms(spark, folder):
+    rows = boosted.training_rows(with_moments(series.pack(_supp(spark, folder), "W")), 1, "W")
+    tree = leafwise.Growing()
+    sides = tree.split(0, 0, 2)
+    return leafwise.histograms(leafwise.binned(rows, list(SHOWN), list(SHOWN.values())), tree, sides, len(SHOWN))
+
+
+R.add("m10_leaf_histograms", "node:i, feature:i, bin:i, rest:d, n:i", f"""{SUPP}, {series_sql('W')}, s AS (SELECT *, list_avg(ys) AS m FROM packed),
+    t AS (SELECT *, unnest(range(28, n)) AS i FROM s WHERE n > 37 AND m > 0),
+    x AS (SELECT ys[i + 1] / m AS label, ys[i] / m AS lag_1, list_avg(ys[i - 6:i]) / m AS rolling_mean_7,
+        month(last_period + CAST(7 * (i + 1 - n) AS INT)) AS month FROM t),
+    long AS ({" UNION ALL ".join(
+        f"SELECT CASE WHEN lag_1 <= 1.0 THEN 1 ELSE 2 END AS node, {i} AS feature, len(list_filter({ends}, lambda e: e < {name})) AS bin, label FROM x"
+        for i, (name, ends) in enumerate(SHOWN.items()))})
+    SELECT node, feature, bin, sum(label) AS rest, count(*) AS n FROM long GROUP BY ALL""", _histograms)
+
 # --- choice -----------------------------------------------------------------------------
 
 
