@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallycast.config import COMPARED_MODELS, ENSEMBLE_MEMBERS, SAMPLE_SEED
 from tallycast.functions.dates import horizon_periods
 from tallycast.operators import classify, forecast, series
-from tallycast.operators.models import boosted, forest, leafwise
+from tallycast.operators.models import additive, boosted, forest, leafwise
 from tallycast.operators.models.base import with_moments
 from tallycast.plans.classify_queries import cluster_sql
 from tallycast.plans.data import Register, demand, demand_sql, events, events_sql
@@ -80,6 +80,16 @@ MEMBERS_SQL = f"{smoothing_sql(12, H)}, {arima_sql(H)}, {theta_sql(12, H)}"
 _check("m12_ensemble", "ensemble", "M", _supp, SUPP, f"{MEMBERS_SQL}, {ensemble_sql(ENSEMBLE_MEMBERS)}")
 
 R.add("m9_additive", LONG, None, _model("additive", "W", _supp))
+R.add("m9_trend_bends", "sku, period, slope_change:d", None, lambda s, d: additive.trend_bends(series.pack(_supp(s, d), "W"), "W"))
+R.add("m9_bend_moments", "sku, place:i, period, hinge_sum:d, hinge_square:d, hinge_y:d", f"""{SUPP}, {series_sql('W')},
+    counted AS (SELECT *, CAST(floor(n * CAST(0.8 AS DOUBLE)) AS INT) AS history FROM packed),
+    spread AS (SELECT *, least(25, history - 1) AS places FROM counted),
+    placed AS (SELECT *, unnest(range(1, places + 1)) AS k FROM spread WHERE places > 0),
+    rooted AS (SELECT *, CAST(round_even(k * ((history - 1) / CAST(places AS DOUBLE)), 0) AS INT) AS place FROM placed),
+    hinged AS (SELECT *, list_transform(range(0, n), lambda i: greatest(i - place, 0) / CAST(n - 1 AS DOUBLE)) AS h FROM rooted)
+    SELECT sku, place, last_period - CAST(7 * (n - 1 - place) AS INT) AS period, list_sum(h) AS hinge_sum,
+        list_sum(list_transform(h, lambda x: x * x)) AS hinge_square, list_sum(list_transform(list_zip(h, ys), lambda p: p[1] * p[2])) AS hinge_y FROM hinged""",
+      lambda s, d: additive.trend_bends(series.pack(_supp(s, d), "W"), "W"))
 R.add("m10_gbt_leaf", ERRORS, None, _model("gbt_leaf", "W", _supp, ERRORS))
 R.add("m10_gbt_depth", ERRORS, None, _model("gbt_depth", "W", _supp, ERRORS))
 R.add("m10_training_rows", "step:i, month:i, n:i, label:d, lag_1:d, lag_28:d, rolling_mean_7:d", f"""{SUPP}, {series_sql('W')}, s AS (SELECT *, list_avg(ys) AS m FROM packed),
