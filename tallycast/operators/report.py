@@ -79,9 +79,9 @@ def report_tables(results: DataFrame, include_bounds: bool = True) -> dict[str,
 
 
 def write_report(results: DataFrame, path: str, include_bounds: bool = True) -> None:
-    """The tables of one report, from one run of the models."""
+    """The tables of one report, from one run of the models, replacing a former report in one step."""
     once = kept(results)
-    write_bundle(report_tables(once, include_bounds), path)
+    write_bundle(results.sparkSession, report_tables(once, include_bounds), path)
     once.unpersist()
 
 

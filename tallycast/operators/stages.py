@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tallycast.schema import Mapping
 from tallycast.sources.files import read_bundle, write_bundle
 
+MAPPING_TABLE = "_mapping"
+
 
 def add_bookmarks(bookmarks: DataFrame, new: DataFrame) -> DataFrame:
     """K1: upsert by sku; an existing entry keeps its time and takes the latest note."""
@@ -53,18 +55,16 @@ def session_summary(df: DataFrame, anomalies: DataFrame, results: DataFrame, boo
 
 
 def save_stages(spark: SparkSession, path: str, tables: dict[str, DataFrame], mapping: Mapping) -> None:
-    """K4: every stage table in one folder, with the mapping and the table names as small tables."""
+    """K4: all stage tables and the mapping, replacing the ones saved before in one step."""
     settings = spark.createDataFrame(sorted(mapping.as_dict().items()), "role string, column string")
-    names = spark.createDataFrame([(name,) for name in sorted(tables)], "name string")
-    write_bundle({**tables, "_mapping": settings, "_tables": names}, path)
+    write_bundle(spark, {**tables, MAPPING_TABLE: settings}, path)
 
 
 def load_stages(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], Mapping]:
-    """K4."""
-    head = read_bundle(spark, path, ["_mapping", "_tables"])
-    mapping = Mapping(**{row["role"]: row["column"] for row in head["_mapping"].collect()})  # <= 6 rows
-    names = [row["name"] for row in head["_tables"].collect()]  # one row per stage
-    return read_bundle(spark, path, names), mapping
+    """K4: the last complete save."""
+    tables = read_bundle(spark, path)
+    mapping = Mapping(**{row["role"]: row["column"] for row in tables.pop(MAPPING_TABLE).collect()})  # <= 6 rows
+    return tables, mapping
 
 
 def apply_per_item(packed: DataFrame, function: Callable[[str, list[float]], dict], schema: str) -> DataFrame:

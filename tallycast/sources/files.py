@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 # What Spark would trim or mix up by default: blanks at the edges, and empty text with null.
@@ -74,12 +76,66 @@ def preview(df: DataFrame, rows: int = 1000, order: str = "row_id") -> DataFrame
     return df.orderBy(order).limit(rows)
 
 
-def write_bundle(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
-    """One directory per table under ``path``."""
+# --- bundles: tables that are replaced together -------------------------------------------------
+
+COMMIT = "number long, folder string, format string, tables array<string>"
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame | None:
+    """One row for each complete save under ``path``; None where nothing was saved."""
+    try:
+        return spark.read.schema(COMMIT).option("recursiveFileLookup", True).parquet(f"{path.rstrip('/')}/commits")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def last_commit(spark: SparkSession, path: str) -> Row | None:
+    """The save that readers see: the highest number, of equal ones the last folder name."""
+    found = _commits(spark, path)
+    return None if found is None else found.orderBy(F.desc("number"), F.desc("folder")).first()
+
+
+def write_bundle(spark: SparkSession, tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
+    """Replace all tables under ``path`` in one step.
+
+    The tables go to a folder of their own; a row that names the folder is then written under ``commits``. It is
+    one file, which Spark puts in place by one rename (or one upload), so a reader sees the whole former state or the
+    whole new one, and a save that was killed leaves the former state. Of saves at the same time one is seen. A table
+    may be made from the bundle it replaces. Former states stay readable until ``drop_old_saves``.
+    """
     writer = {"parquet": write_parquet, "csv": write_csv}[fmt]
+    before = last_commit(spark, path)
+    folder = f"save-{uuid.uuid4().hex}"
     for name, table in tables.items():
-        writer(table, f"{path.rstrip('/')}/{name}")
+        writer(table, f"{path.rstrip('/')}/{folder}/{name}")
+    row = (before.number + 1 if before else 1, folder, fmt, sorted(tables))
+    spark.createDataFrame([row], COMMIT).coalesce(1).write.parquet(f"{path.rstrip('/')}/commits/{folder}")
+
 
+def read_bundle(spark: SparkSession, path: str, names: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """The tables of the last complete save, or those of ``names``; all of the same save."""
+    commit = last_commit(spark, path)
+    if commit is None:
+        raise FileNotFoundError(f"no complete save under {path}")
+    unknown = sorted(set(names or ()) - set(commit.tables))
+    if unknown:
+        raise KeyError(f"not in the last save: {', '.join(unknown)}")
+    reader = {"parquet": read_parquet, "csv": read_csv}[commit.format]
+    return {name: reader(spark, f"{path.rstrip('/')}/{commit.folder}/{name}") for name in names or commit.tables}
 
-def read_bundle(spark: SparkSession, path: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in names}
+
+def drop_old_saves(spark: SparkSession, path: str) -> int:
+    """Delete the folders under ``path`` of saves before the last complete one; how many there were.
+
+    Folders that no commit names are left, as a save may be writing them. Call it when no reader uses a former state.
+    """
+    found, last = _commits(spark, path), last_commit(spark, path)
+    if last is None:
+        return 0
+    dropped = 0
+    for row in found.filter(F.col("folder") != last.folder).select("folder").collect():  # one short row for each save
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{row.folder}")
+        dropped += where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return dropped
