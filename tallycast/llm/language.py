@@ -7,8 +7,9 @@ its sequences, a language the bundle of its documents, each of length one. A doc
 language with the largest cosine, the first in order if there are several.
 
 The prototypes are learned from all documents that are not held out, so no language is missed;
-their vectors are summed per task and then by Spark, so only one vector per language reaches
-the driver. Scoring is a map over the documents.
+their vectors are summed per task and then by Spark, so only one vector of 4 kB per language
+reaches the driver, and tasks; more than ``MOST_LANGUAGES`` are an error. Scoring is a map over
+the documents. Tables of counts are built in blocks of texts, characters and sequences.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is every
 text when there is no language to learn; null languages and null ids are not learned from;
@@ -34,6 +35,8 @@ SYMBOLS = 64  # word edge, a to z, and the other letters by hash
 SEED = 7
 CHARS_AT_ONCE = 1 << 20
 DOCS_AT_ONCE = 512
+SEQUENCES_AT_ONCE = 4096  # columns of a table of counts
+MOST_LANGUAGES = 1 << 15  # prototypes reach the driver and every task: 4 kB each
 UNKNOWN = "und"
 
 
@@ -66,19 +69,27 @@ def bundles(texts: list[str]) -> np.ndarray:
     """One vector per text, zero for texts without letters."""
     joined = " ".join(["", *texts, ""])
     symbols = symbol_of()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    owner = np.repeat(np.arange(-1, len(texts)), [1, *(len(text) + 1 for text in texts)])
+    owner = np.repeat(np.arange(-1, len(texts), dtype=np.int32), [1, *(len(text) + 1 for text in texts)])
     kept = symbols != 0
     kept[1:] |= symbols[:-1] != 0  # one edge between words
     kept[0] = True
-    symbols, owner = symbols[kept].astype(np.int64), owner[kept]
-    middle = symbols[1:-1] != 0
-    code = ((symbols[:-2] * SYMBOLS + symbols[1:-1]) * SYMBOLS + symbols[2:])[middle]
-    owner = owner[1:-1][middle]
-    seen = np.flatnonzero(np.bincount(code, minlength=1))
-    place = np.zeros(SYMBOLS ** 3, np.int64)
-    place[seen] = np.arange(len(seen))
-    counts = np.bincount(owner * len(seen) + place[code], minlength=len(texts) * len(seen))
-    return counts.reshape(len(texts), len(seen)).astype(np.float32) @ bound(seen)
+    symbols, owner = symbols[kept], owner[kept]
+    found = np.zeros((len(texts), WIDTH), np.float32)
+    for start in range(0, len(symbols) - 2, CHARS_AT_ONCE):
+        part = symbols[start:start + CHARS_AT_ONCE + 2].astype(np.int64)
+        middle = part[1:-1] != 0
+        code = ((part[:-2] * SYMBOLS + part[1:-1]) * SYMBOLS + part[2:])[middle]
+        own = owner[start + 1:start + len(part) - 1][middle]
+        seen = np.flatnonzero(np.bincount(code, minlength=1))
+        place = np.zeros(SYMBOLS ** 3, np.int64)
+        place[seen] = np.arange(len(seen))
+        spot = place[code]
+        for low in range(0, len(seen), SEQUENCES_AT_ONCE):
+            some = seen[low:low + SEQUENCES_AT_ONCE]
+            here = (spot >= low) & (spot < low + len(some))
+            counts = np.bincount(own[here].astype(np.int64) * len(some) + spot[here] - low, minlength=len(texts) * len(some))
+            found += counts.reshape(len(texts), len(some)).astype(np.float32) @ bound(some)
+    return found
 
 
 def _of_length_one(vectors: np.ndarray) -> np.ndarray:
@@ -121,10 +132,12 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     parts = common.map_batches(known, work, "lang string, v array<double>")
     summed = parts.select("lang", F.posexplode("v").alias("pos", "x")).groupBy("lang", "pos").agg(F.sum("x").alias("x"))
-    rows = summed.toPandas()
-    names = sorted(rows["lang"].unique())
-    found = np.zeros((len(names), WIDTH))
-    found[np.searchsorted(names, rows["lang"].to_numpy(str)), rows["pos"].to_numpy(int)] = rows["x"].to_numpy(float)
+    whole = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "x")))["x"].cast("array<float>").alias("v"))
+    rows = whole.limit(MOST_LANGUAGES + 1).toPandas().sort_values("lang")  # one short row a language
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different values of lang")
+    names = rows["lang"].tolist()
+    found = np.array(rows["v"].tolist(), np.float64).reshape(len(names), WIDTH)
     return names, _of_length_one(found)
 
 

@@ -2,8 +2,9 @@
 
 The rules are compiled together (``automaton``). A batch of texts is cut into short lanes,
 at text starts and at bytes that lead every state back to the start, so no match crosses a
-cut; the lanes are then advanced in step, one array operation per byte position. That pass
-gives the places where matches end. Their starts come from the automata of the reversed
+cut; the lanes are then advanced in step, one array operation per byte position. A text
+without such bytes is cut at any byte, and the beginning of a lane is repaired from the state
+in which the lane before it ends. That pass gives the places where matches end. Their starts come from the automata of the reversed
 rules, run backwards from the first accepting byte of each match.
 
 Per kind the matches are leftmost and do not overlap; of those, the ones too short for their
@@ -32,6 +33,7 @@ from tallycast.llm.automaton import byte_kinds, compile_rules
 
 LANE_BYTES = 384
 LANES = 8192
+LONG_LANES = 4  # a text that can't be cut at certain places for longer than this many lanes is cut at any byte
 
 
 @dataclass(frozen=True)
@@ -70,39 +72,145 @@ class Scanner:
         self.backward = [compile_rules([pattern], kinds, search=False, reverse=True) for pattern in patterns]
         self.exact = [re.compile(pattern.encode("latin-1")) for pattern in patterns]
 
-    def accepting(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(byte position, rule bits) of every accepting step, in order of position."""
-        machine = self.forward
+    def lanes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lane starts, which of them lie where the state is not known to be the start)."""
         size = len(data)
-        cuts = np.flatnonzero(machine.resets[data]) + 1
+        cuts = np.flatnonzero(self.forward.resets[data]) + 1
         grid = np.searchsorted(cuts, np.arange(LANE_BYTES, size, LANE_BYTES))
-        starts = np.unique(np.concatenate([offsets[:-1], cuts[grid[grid < len(cuts)]]]))
-        starts = starts[starts < size]
-        lengths = np.diff(np.append(starts, size))
+        sure = np.unique(np.concatenate([offsets[:-1], cuts[grid[grid < len(cuts)]]]))
+        sure = sure[sure < size]
+        lengths = np.diff(np.append(sure, size))
+        more = np.where(lengths > LONG_LANES * LANE_BYTES, (lengths - 1) // LANE_BYTES, 0)
+        number = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+        starts = np.concatenate([sure, np.repeat(sure, more) + number * LANE_BYTES])
+        order = np.argsort(starts, kind="stable")
+        return starts[order], order >= len(sure)
+
+    def bits(self, state: np.ndarray) -> np.ndarray:
+        return self.forward.tags[state // self.forward.width]
+
+    def run(self, kinds: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every lane from the start state: its end state, and (place, rule bits) at its first byte and where bits change."""
+        machine = self.forward
+        ends = np.full(len(starts), machine.start, np.int32)
         order = np.argsort(-lengths, kind="stable")
-        kinds = machine.kind_of[data]
-        places, states = [], []
+        places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, len(order), LANES):
             lanes = order[at:at + LANES]
             begin, length = starts[lanes], lengths[lanes]
             state = np.full(len(lanes), machine.start, np.int32)
+            before = np.ones(len(lanes), bool)
             active = len(lanes)
             left = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), side="right")
             for step in range(int(length[0])):
                 if left[step] < active:
+                    ends[lanes[left[step]:active]] = state[left[step]:active]
                     active = int(left[step])
-                    begin, state = begin[:active], state[:active]
-                state = machine.table[state + kinds[begin + step]]
-                found = state >= machine.first_accepting
-                if found.any():
-                    found = np.flatnonzero(found)
-                    places.append(begin[found] + step)
-                    states.append(state[found])
-        if not places:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        place, state = np.concatenate(places), np.concatenate(states)
+                    begin, state, before = begin[:active], state[:active], before[:active]
+                last, state = state, machine.table[state + kinds[begin + step]]
+                now = state >= machine.first_accepting
+                either = now | before
+                before = now
+                if either.any():
+                    spots = np.flatnonzero(either)
+                    bits = self.bits(state[spots])
+                    changed = (bits != self.bits(last[spots])) | (step == 0)
+                    places.append(begin[spots[changed]] + step)
+                    found.append(bits[changed])
+            ends[lanes[:active]] = state
+        return ends, np.concatenate(places), np.concatenate(found)
+
+    def rerun(self, kinds: np.ndarray, starts: np.ndarray, lengths: np.ndarray, entries: np.ndarray):
+        """Lanes run from ``entries`` and from the start state side by side, until both agree.
+
+        Gives for each lane its end state (-1 if both agreed) and the bytes up to agreement, and
+        (lane, place, rule bits) at its first byte, where bits change and where both agree.
+        """
+        machine = self.forward
+        state, plain = entries.astype(np.int32), np.full(len(starts), machine.start, np.int32)
+        stretch, agreed = lengths.copy(), np.zeros(len(starts), bool)
+        owners, places, found = ([np.zeros(0, np.int64)] for _ in range(3))
+        alive, step = np.arange(len(starts)), 0
+        while len(alive):
+            symbols, last = kinds[starts[alive] + step], state[alive]
+            now, other = machine.table[last + symbols], machine.table[plain[alive] + symbols]
+            state[alive], plain[alive] = now, other
+            same, bits = now == other, self.bits(now)
+            noted = same | (bits != self.bits(last)) | (step == 0)
+            owners.append(alive[noted])
+            places.append(starts[alive[noted]] + step)
+            found.append(bits[noted])
+            step += 1
+            stretch[alive[same]], agreed[alive[same]] = step, True
+            alive = alive[~same & (lengths[alive] > step)]
+        return np.where(agreed, -1, state), stretch, np.concatenate(owners), np.concatenate(places), np.concatenate(found)
+
+    def accepting(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(byte position, rule bits that hold from there to the next position), in order, at each text start as well.
+
+        Lanes cut at any byte are first run from the start state, then repaired from the state in which the lane
+        before them ends. A lane whose state outlives it hands it to the next one: the rest of the text is then run
+        from that state at once, and from what its lanes hand on, so a long match costs two more passes and not one
+        step after another.
+        """
+        machine, size = self.forward, len(data)
+        kinds = machine.kind_of[data]
+        starts, loose = self.lanes(data, offsets)
+        lengths = np.diff(np.append(starts, size))
+        plain, place, bits = self.run(kinds, starts, lengths)
+        ends = plain.copy()
+        stretch = np.zeros(len(starts), np.int64)  # bytes of a lane that its repair replaces
+        parts = [(place, bits)]
+        known: dict[tuple[int, int], tuple[int, int]] = {}  # (lane, entry): (try, number in it)
+        tries: list[tuple] = []
+        chosen: dict[int, tuple[int, int]] = {}
+
+        def attempt(lanes: np.ndarray, entries: np.ndarray) -> None:
+            known.update(zip(zip(lanes.tolist(), entries.tolist()), ((len(tries), i) for i in range(len(lanes)))))
+            end, reach, *notes = self.rerun(kinds, starts[lanes], lengths[lanes], entries)
+            tries.append((np.where(end < 0, plain[lanes], end), reach, *notes))
+
+        last_of = np.append(np.flatnonzero(~loose), len(starts))  # where each chain of loose lanes ends
+        guess = np.flatnonzero(loose & (np.append(machine.start, plain[:-1]) != machine.start))
+        if len(guess):
+            attempt(guess, plain[guess - 1])
+        waiting = np.flatnonzero(loose & ~np.append(False, loose[:-1])).tolist()
+        while waiting:
+            missed = []
+            for lane in waiting:
+                while lane < len(starts) and loose[lane]:
+                    entry = int(ends[lane - 1])
+                    if entry != machine.start:
+                        where = known.get((lane, entry))
+                        if where is None:
+                            missed.append(lane)
+                            break
+                        chosen[lane] = where
+                        ends[lane] = tries[where[0]][0][where[1]]
+                    lane += 1
+            if missed:
+                rest = [np.arange(lane, last_of[np.searchsorted(last_of, lane)]) for lane in missed]
+                follows = np.concatenate([np.arange(len(r)) > 0 for r in rest])
+                lanes = np.concatenate(rest)
+                attempt(lanes, np.concatenate([np.full(len(r), ends[lane - 1]) for r, lane in zip(rest, missed)]))
+                following = np.flatnonzero(follows)  # from the states that lanes run so hand on
+                if len(following):
+                    attempt(lanes[following], tries[-1][0][following - 1])
+            waiting = missed
+        if chosen:
+            lanes = np.array(list(chosen))
+            which, number = np.array(list(chosen.values())).T
+            for i, (_, reach, owner, at, found) in enumerate(tries):
+                used = np.zeros(len(reach), bool)
+                used[number[which == i]] = True
+                stretch[lanes[which == i]] = reach[number[which == i]]
+                parts.append((at[used[owner]], found[used[owner]]))
+            lane = np.searchsorted(starts, place, side="right") - 1
+            stays = place >= starts[lane] + stretch[lane]
+            parts[0] = place[stays], bits[stays]
+        place, bits = (np.concatenate(part) for part in zip(*parts))
         order = np.argsort(place)
-        return place[order], machine.tags[state[order] // machine.width]
+        return place[order], bits[order]
 
     def leftmost(self, rule: int, data: np.ndarray, ends: np.ndarray, floors: np.ndarray) -> np.ndarray:
         """The leftmost start, not before ``floors``, of a match whose last byte is at ``ends``."""
@@ -122,17 +230,19 @@ class Scanner:
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document, start, end, rule) in bytes, ordered by document, start, rule."""
         place, bits = self.accepting(data, offsets)
+        docs = np.searchsorted(offsets, place, side="right") - 1
+        new_doc = np.append(True, docs[1:] != docs[:-1])[:len(docs)]
+        after = np.append(place, len(data))
         raw = None
         found = []
         for number, rule in enumerate(self.rules):
-            at = place[bits >> number & 1 == 1]
-            if not len(at):
+            on = bits >> number & 1 == 1
+            fresh = np.flatnonzero(on & (new_doc | ~np.append(False, on[:-1])[:len(on)]))
+            if not len(fresh):
                 continue
-            doc = np.searchsorted(offsets, at, side="right") - 1
-            fresh = np.ones(len(at), bool)
-            fresh[1:] = (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])
-            first, doc = at[fresh], doc[fresh]
-            end = at[np.append(np.flatnonzero(fresh)[1:] - 1, len(at) - 1)] + 1
+            breaks = np.append(np.flatnonzero(~on | new_doc), len(place))
+            first, doc = place[fresh], docs[fresh]
+            end = after[breaks[np.searchsorted(breaks, fresh, side="right")]]
             start = self.leftmost(number, data, first, offsets[doc])
             free = (-1, 0)  # document and byte from which a match may start
             for d, s, f, e in zip(doc.tolist(), start.tolist(), first.tolist(), end.tolist()):
