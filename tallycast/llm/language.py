@@ -35,7 +35,7 @@ SYMBOLS = 64  # word edge, a to z, and the other letters by hash
 SEED = 7
 CHARS_AT_ONCE = 1 << 20
 DOCS_AT_ONCE = 512
-SEQUENCES_AT_ONCE = 4096  # columns of a table of counts
+SEQUENCES_AT_ONCE = 8192  # columns of a table of counts
 MOST_LANGUAGES = 1 << 15  # prototypes reach the driver and every task: 4 kB each
 UNKNOWN = "und"
 
@@ -79,15 +79,18 @@ def bundles(texts: list[str]) -> np.ndarray:
         part = symbols[start:start + CHARS_AT_ONCE + 2].astype(np.int64)
         middle = part[1:-1] != 0
         code = ((part[:-2] * SYMBOLS + part[1:-1]) * SYMBOLS + part[2:])[middle]
-        own = owner[start + 1:start + len(part) - 1][middle]
+        own = owner[start + 1:start + len(part) - 1][middle].astype(np.int64)
         seen = np.flatnonzero(np.bincount(code, minlength=1))
         place = np.zeros(SYMBOLS ** 3, np.int64)
         place[seen] = np.arange(len(seen))
         spot = place[code]
         for low in range(0, len(seen), SEQUENCES_AT_ONCE):
             some = seen[low:low + SEQUENCES_AT_ONCE]
-            here = (spot >= low) & (spot < low + len(some))
-            counts = np.bincount(own[here].astype(np.int64) * len(some) + spot[here] - low, minlength=len(texts) * len(some))
+            there, whose = spot - low, own
+            if len(some) < len(seen):
+                here = np.flatnonzero((there >= 0) & (there < len(some)))
+                there, whose = there[here], own[here]
+            counts = np.bincount(whose * len(some) + there, minlength=len(texts) * len(some))
             found += counts.reshape(len(texts), len(some)).astype(np.float32) @ bound(some)
     return found
 
