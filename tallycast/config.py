@@ -168,7 +168,11 @@ class SkewConfig:
 
 @dataclass(frozen=True)
 class GridConfig:
-    """Parameter grids searched by the folds (own choice, see README)."""
+    """Parameter grids searched by the folds (own choice, see README).
+
+    With ``refine`` the best grid point is where a bounded search starts: smoothing then has no
+    larger error than the grid's, and ARIMA maximises its exact likelihood.
+    """
 
     alphas: tuple[float, ...] = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9)
     betas: tuple[float, ...] = (0.0, 0.01, 0.05, 0.1, 0.2)
@@ -176,6 +180,7 @@ class GridConfig:
     phis: tuple[float, ...] = tuple(round(-0.9 + 0.2 * i, 2) for i in range(10))
     thetas: tuple[float, ...] = (-0.99, -0.95, -0.9, -0.8, -0.6, -0.4, -0.2, 0.0, 0.2, 0.4, 0.6, 0.8, 0.95)
     theta_alphas: tuple[float, ...] = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.99)
+    refine: bool = False
 
 
 CLUSTER = ClusterConfig()

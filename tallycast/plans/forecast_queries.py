@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallycast.config import COMPARED_MODELS, ENSEMBLE_MEMBERS, SAMPLE_SEED
+from tallycast.config import COMPARED_MODELS, ENSEMBLE_MEMBERS, SAMPLE_SEED, GridConfig
 from tallycast.functions.dates import horizon_periods
 from tallycast.operators import classify, forecast, series
-from tallycast.operators.models import additive, boosted, forest, leafwise
+from tallycast.operators.models import additive, arima, boosted, forest, leafwise
 from tallycast.operators.models.base import with_moments
 from tallycast.plans.classify_queries import cluster_sql
 from tallycast.plans.data import Register, demand, demand_sql, events, events_sql
 from tallycast.plans.forecast_sql import (
     arima_sql,
     ensemble_sql,
+    likelihood_sql,
     long_sql,
     naive_sql,
     nested,
@@ -75,6 +76,12 @@ DAILY_SQL = f"""{smoothing_sql(7, H, 'seasoned', 'n >= 14')}, {smoothing_sql(1,
     exponential_smoothing AS (SELECT * FROM seasoned UNION ALL SELECT * FROM plain)"""
 _check("m6_smoothing_daily", "exponential_smoothing", "D", events, EVENTS, DAILY_SQL)
 _check("m7_arima", "arima", "W", _supp, SUPP, arima_sql(H))
+for _name, _model_name, _freq in (("m6_refined", "exponential_smoothing", "M"), ("m7_exact", "arima", "W")):
+    R.add(_name, LONG, None, lambda s, d, m=_model_name, f=_freq: forecast.forecast_rows(forecast.model_rows(
+        forecast.run_models(series.pack(_supp(s, d), f), [m], H, f, GridConfig(refine=True)), [m], f)))
+POINTS = [(0.5, -0.3), (-0.4, 0.6), (0.9, -0.95), (0.0, 0.99)]
+R.add("m7_likelihood", "sku, phi:d, theta:d, loglik:d", f"{SUPP}, {series_sql('W')}, {likelihood_sql(POINTS)} SELECT * FROM likelihood",
+      lambda s, d: arima.likelihoods(series.pack(_supp(s, d), "W"), POINTS))
 _check("m8_theta", "theta", "M", _supp, SUPP, theta_sql(12, H))
 MEMBERS_SQL = f"{smoothing_sql(12, H)}, {arima_sql(H)}, {theta_sql(12, H)}"
 _check("m12_ensemble", "ensemble", "M", _supp, SUPP, f"{MEMBERS_SQL}, {ensemble_sql(ENSEMBLE_MEMBERS)}")

@@ -100,6 +100,17 @@ def arima_sql(h: int) -> str:
         list_transform(list_zip(f, half), lambda p: p[1] + p[2]) AS upper, {_measures('st.q', 'list_transform(rest, lambda x: x.y)')} FROM arima_f)"""
 
 
+def likelihood_sql(points) -> str:
+    """Exact log likelihood of ARIMA(1,1,1) by its one-step forecasts g and their relative variances r."""
+    e = "(x - s.g)"
+    return f"""{_grid('points', 'phi, theta', points)},
+    filtered AS (SELECT sku, n - 1 AS size, phi, theta, list_reduce(list_transform(range(2, n + 1), lambda k: ys[k] - ys[k - 1]), lambda s, x: {{
+            'g': phi * x + theta * {e} / s.r, 'r': 1 + theta * theta * (1 - 1 / s.r), 'q': s.q + {e} * {e} / s.r, 'v': s.v + ln(s.r)}},
+        {{'g': CAST(0 AS DOUBLE), 'r': (1 + 2 * phi * theta + theta * theta) / (1 - phi * phi), 'q': CAST(0 AS DOUBLE), 'v': CAST(0 AS DOUBLE)}}) AS st
+        FROM packed, points WHERE n >= 3),
+    likelihood AS (SELECT sku, phi, theta, CASE WHEN st.q > 0 THEN -(size * (ln(2 * pi() * st.q / size) + 1) + st.v) / 2 END AS loglik FROM filtered)"""
+
+
 def theta_sql(m: int, h: int) -> str:
     """For series of at least two seasons."""
     slope = "list_sum(list_transform({v}, lambda y, i: (i - 1 - (n - 1) / 2) * y)) / (n * (n * n - 1) / 12)"

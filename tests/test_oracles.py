@@ -7,7 +7,7 @@ from tallycast.plans import catalog
 from tests.oracle import compare
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracles()
-ROWS_ONLY = {"m9_additive", "m9_trend_bends", "m10_gbt_leaf", "m10_gbt_depth", "m16_batch"}
+ROWS_ONLY = {"m9_additive", "m9_trend_bends", "m10_gbt_leaf", "m10_gbt_depth", "m16_batch", "m6_refined", "m7_exact"}
 MAY_BE_EMPTY = {"e9_problem_items", "e10_filter_results", "a1_iqr_negative", "a10_filter", "g11_select_clusters", "c4_search"}
 
 
