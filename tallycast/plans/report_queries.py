@@ -173,17 +173,19 @@ def _csv_of(spark: SparkSession, table: DataFrame) -> DataFrame:
 ODD_TEXT = """concat(p_type, case p_partkey % 7 when 0 then concat(chr(10), 'next') when 1 then ' "quoted", ' when 2 then chr(9) else '' end)"""
 
 
-def _odd_text(spark: SparkSession, folder: str) -> DataFrame:
+def _odd_text(spark: SparkSession, folder: str, **options) -> DataFrame:
     """Texts with blanks at the edges, line breaks, quotes and commas; empty texts and nulls."""
     path = scratch(spark)
     odd = spark.read.parquet(f"{folder}/part.parquet").selectExpr(
         "p_partkey", f"{ODD_TEXT} as wild", "case when p_partkey % 5 = 0 then '' when p_partkey % 5 = 1 then null else concat('  ', p_brand, ' ') end as edge")
     write_csv(odd, path)
-    return read_csv(spark, path)
+    return read_csv(spark, path, **options)
 
 
-R.add("s5_csv_odd_text", "p_partkey:i, wild, edge", f"""SELECT p_partkey, {ODD_TEXT} AS wild,
-    CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 5 = 1 THEN NULL ELSE concat('  ', p_brand, ' ') END AS edge FROM part""", _odd_text)
+ODD_SQL = f"""SELECT p_partkey, {ODD_TEXT} AS wild,
+    CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 5 = 1 THEN NULL ELSE concat('  ', p_brand, ' ') END AS edge FROM part"""
+R.add("s5_csv_odd_text", "p_partkey:i, wild, edge", ODD_SQL, _odd_text)
+R.add("s1_csv_records", "p_partkey:i, wild, edge", ODD_SQL, lambda s, d: _odd_text(s, d, row_id="row_id"))
 
 
 def _csv_to_demand(spark: SparkSession, folder: str) -> DataFrame:

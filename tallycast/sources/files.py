@@ -9,29 +9,62 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from tallycast.functions.scale import kept
+from tallycast.sources.csv_records import parts, read_records
+
 # What Spark would trim or mix up by default: blanks at the edges, and empty text with null.
 EXACT_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 SUFFIX_FORMAT = {"csv": "csv", "txt": "csv", "parquet": "parquet", "pq": "parquet"}
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, line_breaks: bool | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, encoding: str | None = None, line_breaks: bool | None = None, row_id: str | None = None
+) -> DataFrame:
     """All columns as text; roles are typed later by ``conform``.
 
     Without an encoding, UTF-8 is used unless a line is not valid UTF-8; then the file is
-    Latin-1. ``line_breaks`` says whether quoted values hold line breaks; such a file can't be
-    split among tasks. Without it, a line with an odd number of quotes tells. Give both, and
-    the pass over the lines that finds them out is saved.
+    Latin-1. ``line_breaks`` says whether quoted values hold line breaks. Without it, a line with an odd number of
+    quotes tells. Give both, and the pass over the lines that finds them out is saved.
+
+    With ``row_id``, a column of that name holds the ingest order as a unique long, and a file with line breaks is
+    read by all tasks; without it one task reads such a file, in order. A file that has carriage returns
+    other than before a line feed stays with one task, as they may end lines.
     """
+    if row_id is not None:
+        return _read_csv_in_order(spark, path, encoding, line_breaks, row_id)
     if encoding is None or line_breaks is None:
         quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
         found = spark.read.text(path).agg(
             F.coalesce(F.bool_or(~F.is_valid_utf8("value")), F.lit(False)).alias("damaged"),
             F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("odd"),
         ).first()
-        encoding = encoding or ("ISO-8859-1" if found["damaged"] else "UTF-8")
+        encoding = encoding or _encoding(found["damaged"])
         line_breaks = found["odd"] if line_breaks is None else line_breaks
+    return spark.read.options(**_csv_options(line_breaks), encoding=encoding).csv(path)
+
+
+def _encoding(damaged: bool) -> str:
+    return "ISO-8859-1" if damaged else "UTF-8"
+
+
+def _csv_options(line_breaks: bool) -> dict:
     # Spark takes what equals nullValue as null; with the default, "", that would be quoted empty text too
-    return spark.read.options(**EXACT_CSV, nullValue="\0", encoding=encoding, multiLine=line_breaks).csv(path)
+    return {**EXACT_CSV, "nullValue": "\0", "multiLine": line_breaks}
+
+
+def _read_csv_in_order(spark: SparkSession, path: str, encoding: str | None, line_breaks: bool | None, row_id: str) -> DataFrame:
+    if line_breaks is not False:
+        known = kept(parts(spark, path))
+        flags = [F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in
+                 (("crosses", F.col("crosses")), ("bare", F.col("bare")), ("damaged", ~F.col("valid")))]
+        found = known.agg(*flags).first()
+        encoding = encoding or _encoding(found["damaged"])
+        if found["crosses"] and not found["bare"]:
+            options = _csv_options(True)
+            schema = spark.read.options(**options, encoding=encoding).csv(path).schema  # reads one header
+            return read_records(spark, path, known, schema, options, encoding, row_id)
+        line_breaks = found["crosses"] or found["bare"]
+    return with_row_id(read_csv(spark, path, encoding, line_breaks), row_id)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -45,21 +78,23 @@ def file_format(path: str) -> str:
     return SUFFIX_FORMAT[suffix]
 
 
-def load(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Read by suffix, or by ``fmt`` when given; an empty table is an error."""
-    readers = {"csv": read_csv, "parquet": read_parquet}
+def load(spark: SparkSession, path: str, fmt: str | None = None, row_id: str | None = None) -> DataFrame:
+    """Read by suffix, or by ``fmt`` when given; an empty table is an error. ``row_id`` names a column of the ingest order."""
     fmt = fmt or file_format(path)
-    if fmt not in readers:
+    if fmt not in ("csv", "parquet"):
         raise ValueError(f"unsupported file type: {fmt}")
-    table = readers[fmt](spark, path)
+    if fmt == "csv":
+        table = read_csv(spark, path, row_id=row_id)
+    else:
+        table = read_parquet(spark, path) if row_id is None else with_row_id(read_parquet(spark, path), row_id)
     if table.isEmpty():
         raise ValueError("file contains no data")
     return table
 
 
-def with_row_id(df: DataFrame) -> DataFrame:
+def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Ingest order as a unique long: split number in the high bits, row in the low bits."""
-    return df.withColumn("row_id", F.monotonically_increasing_id())
+    return df.withColumn(name, F.monotonically_increasing_id())
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
