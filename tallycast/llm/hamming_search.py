@@ -39,9 +39,14 @@ GROUP = ("_segment", "_value", "_i", "_j")
 
 
 def sign_code(vector: Column) -> Column:
-    """The signs of the first 64 components: bit i is set if component i is above zero; null for null vectors."""
+    """The signs of up to 64 components: bit i is set if component i is above zero; null for null vectors.
+
+    A longer vector is an error, as its code would leave components out.
+    """
     none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    terms = F.transform(F.slice(vector, 1, BITS), lambda x, i: F.when(x > 0, F.call_function("shiftleft", one, i)).otherwise(none))
+    too_long = F.raise_error(F.lit(f"a code has {BITS} bits, a vector has more components")).cast("array<double>")
+    checked = F.when(F.size(vector) > BITS, too_long).otherwise(vector.cast("array<double>"))
+    terms = F.transform(checked, lambda x, i: F.when(x > 0, F.call_function("shiftleft", one, i)).otherwise(none))
     return F.aggregate(terms, none, lambda code, bit: code.bitwiseOR(bit))
 
 

@@ -8,10 +8,14 @@ In texts of plain Latin letters, digits and punctuation (without the signs that
 their own) the words are runs of letters, single digits and runs of signs, and normalising
 changes nothing but case; these words go straight to the tokenizer's own merge model. Other
 texts are cut at blanks, and the chunks go through the whole tokenizer.
+
+All this holds for tokenizers with the rules below, which are looked for in the file. With any other file
+each whole text goes through its tokenizer.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator, Sequence
@@ -27,6 +31,28 @@ SIGNS = r"""!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~"""  # without ' (splits off endin
 PLAIN = re.compile(f"[{LETTERS}{SIGNS}0-9 \n]*")
 WORDS = re.compile(f"[{LETTERS}]+|[0-9]|[{SIGNS}]+")
 
+# The rules, as tokenizer files write them, for which texts may be cut into words and chunks.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed",
+     "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def words_are_separate(rules: dict) -> bool:
+    """Whether the ids of a text are those of its words, so that it may be cut at blanks.
+
+    Its control strings must start with < and hold no white space, as the cuts look out for that sign only.
+    """
+    controls = [token["content"] for token in rules.get("added_tokens") or []]
+    return (
+        rules.get("normalizer") == NORMALIZER
+        and rules.get("pre_tokenizer") == PRE_TOKENIZER
+        and rules["model"].get("dropout") is None
+        and all(text.startswith("<") and not re.search(r"\s", text) for text in controls)
+    )
+
 
 def _byte_characters() -> dict[int, str]:
     """The characters that byte-level models put for the UTF-8 bytes of U+0080 to U+00FF."""
@@ -48,6 +74,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary
+        self.cuts = words_are_separate(json.loads(self.tokenizer.to_str()))
         self.cached = cached
         self.model = self.tokenizer.model
         self.shown = _byte_characters()
@@ -93,6 +120,10 @@ class Encoder:
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order; about ``TEXT_AT_ONCE`` characters are worked on at a time."""
+        if not self.cuts:
+            for text in texts:
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            return
         waiting: list[list[str]] = []
         size, kind = 0, True
         for text in texts:

@@ -264,3 +264,29 @@ def test_stages_return_columns_of_any_name_as_they_came(spark, folder):
         assert set(docs.select(*picked).collect()) <= set(before.select(*picked).collect()), name
         assert docs.count() > 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() > 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_those_of_any_tokenizer_file(name):
+    from tokenizers import Tokenizer
+
+    from tallycast.llm.queries import tokenizer_path
+    from tallycast.llm.tokens import Encoder
+
+    path = tokenizer_path().replace("word_bpe_49k.json", name)
+    plain = Tokenizer.from_file(path)
+    found = Encoder(path)
+    assert found.cuts == (name == "word_bpe_49k.json")
+    texts = ["", " ", "Plain Words, and  two blanks\nline 42.", "it's <|endoftext|> ok", "naïve Ünïcode 日本語 \t tab", "x" * 3000, "A b " * 400]
+    for text, ids in zip(texts, found.encode(texts), strict=True):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_vector_too_long_for_a_code_is_an_error(spark):
+    from tallycast.llm.hamming_search import sign_code
+
+    rows = spark.createDataFrame([(1, [1.0, -1.0, 2.0]), (2, None), (3, [-1.0] * 63 + [1.0])], "vec_id long, v array<float>")
+    found = rows.select("vec_id", sign_code(F.col("v")).alias("c")).orderBy("vec_id").collect()
+    assert [r["c"] for r in found] == [5, None, -(1 << 63)]
+    with pytest.raises(Exception, match="more components"):
+        spark.createDataFrame([(4, [1.0] * 65)], "vec_id long, v array<float>").select(sign_code(F.col("v"))).collect()
