@@ -20,6 +20,7 @@ from tallycast.functions.dates import days_to_holiday, is_holiday
 from tallycast.functions.scale import Ordered, altogether, earlier, ordered_rows, running
 
 LONGEST_REACH = 28
+MONTHS = range(13)  # 0: no date
 
 
 def features_of(feature_set: str | Sequence[str]) -> tuple[str, ...]:
@@ -84,7 +85,7 @@ def create_features(
     with_promo: bool = True,
     beside: DataFrame | None = None,
 ) -> DataFrame:
-    """Features for all items; one exchange of the rows, one sort by date and one by month.
+    """Features for all items; one exchange of the rows and one sort by date.
 
     ``beside`` (one row per item) is looked up before the rows are widened; its columns go along.
     """
@@ -101,8 +102,7 @@ def create_features(
     rows = rows.with_columns(_row_features(rows, names))
     rows = rows.with_columns(_item_statistics(rows, names))
     if "seasonal_index" in names:
-        month = Window.partitionBy(*rows.keys, F.month("date"))
-        average = F.avg("quantity").over(month)
+        average = F.get(F.array(*[f"_month_{m}" for m in MONTHS]), F.coalesce(F.month("date"), F.lit(0)))
         if rows.split:
             by_month = F.get(rows.passed("_months"), F.coalesce(F.month("date"), F.lit(0)))
             average = F.when(F.col("_passed").isNotNull(), by_month).otherwise(average)
@@ -142,13 +142,12 @@ def _summary(names: Sequence[str]) -> tuple[dict[str, Column], list[dict[str, Co
         parts["_promo"] = F.max("promo")
         first["_max_promo"] = altogether(F.max("_promo"))
     if "seasonal_index" in names:
-        months = range(13)  # 0: no date
         here = "quantity) FILTER (WHERE coalesce(month(date), 0) = "
-        parts |= {f"_{kind}_{m}": F.expr(f"{kind}({here}{m})") for kind in ("sum", "count") for m in months}
+        parts |= {f"_{kind}_{m}": F.expr(f"{kind}({here}{m})") for kind in ("sum", "count") for m in MONTHS}
         total = lambda kind, m: f"sum(_{kind}_{m}) OVER (PARTITION BY sku)"
-        first["_months"] = F.expr(f"array({', '.join(f'try_divide({total('sum', m)}, {total('count', m)})' for m in months)})")
-        known = " + ".join(f"coalesce({total('sum', m)}, 0D)" for m in months)
-        first["_avg_quantity"] = F.expr(f"try_divide({known}, {' + '.join(total('count', m) for m in months)})")
+        first["_months"] = F.expr(f"array({', '.join(f'try_divide({total('sum', m)}, {total('count', m)})' for m in MONTHS)})")
+        known = " + ".join(f"coalesce({total('sum', m)}, 0D)" for m in MONTHS)
+        first["_avg_quantity"] = F.expr(f"try_divide({known}, {' + '.join(total('count', m) for m in MONTHS)})")
     if "trend_component" in names:
         quantity = F.coalesce(F.col("quantity"), F.lit(0.0))
         parts |= {"_rows": F.count(F.lit(1)), "_quantity": F.sum(quantity), "_moment": F.sum(quantity * F.col("_i"))}
@@ -167,6 +166,9 @@ def _item_statistics(rows: Ordered, names: Sequence[str]) -> dict[str, Column]:
         made["_max_promo"] = rows.of_item(F.max("promo"), rows.passed("_max_promo"))
     if "seasonal_index" in names:
         made["_avg_quantity"] = rows.of_item(F.avg("quantity"), rows.passed("_avg_quantity"))
+        # every month over the window of the item, so that the widened rows aren't sorted again by month
+        item, month = Window.partitionBy(*rows.keys), F.coalesce(F.month("date"), F.lit(0))
+        made |= {f"_month_{m}": F.avg(F.when(month == m, F.col("quantity"))).over(item) for m in MONTHS}
     if "trend_component" in names:
         x, known = F.col("_x").cast("double"), F.coalesce(F.col("quantity"), F.lit(0.0))
         item = Window.partitionBy(*rows.keys)
