@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tallycast.functions.scale import kept
 from tallycast.operators.models import additive, arima, smoothing, theta
 from tallycast.operators.models.base import accuracy, mae, mape, with_moments
 from tallycast.operators.models.batch import fit_models
-from tallycast.operators.models.boosted import PRESETS, fit_boosted
+from tallycast.operators.models.boosted import PRESETS, fit_boosted, learnable
 from tallycast.operators.models.naive import add_naive, add_seasonal_naive
 from tallycast.operators.sampling import random_items
 from tallycast.operators.series import pack
@@ -72,6 +73,26 @@ def _add_ensemble(df: DataFrame) -> DataFrame:
     return ready.withColumn("ensemble", F.when(usable, whole)).drop("_forecast", "_lower", "_upper")
 
 
+def _cannot_run(name: str, freq: str, grid: GridConfig) -> Column:
+    """Series that a model leaves to its fallback; the pooled ones need ``mean``."""
+    if name in PRESETS:
+        return F.col("sku").isNull() | ~learnable()
+    return F.col("n") < BATCHED[name](freq, grid).shortest()
+
+
+def _where_it_stands_in(models: Sequence[str], wanted: dict[str, Column], freq: str, grid: GridConfig) -> dict[str, Column]:
+    """``wanted`` with models that only stand in for others limited to the series these can't run on."""
+    needed = with_needs(models)
+    asked = {*models, *(ENSEMBLE_MEMBERS if "ensemble" in needed else ())}
+    limited = dict(wanted)
+    for name in needed:
+        if name in BATCHED and name not in asked:
+            users = [user for user in needed if FALLBACK.get(user) == name]
+            left = [wanted.get(user, F.lit(True)) & _cannot_run(user, freq, grid) for user in users]
+            limited[name] = wanted.get(name, F.lit(True)) & reduce(lambda a, b: a | b, left)
+    return limited
+
+
 def run_models(
     packed: DataFrame,
     models: Sequence[str],
@@ -82,15 +103,17 @@ def run_models(
 ) -> DataFrame:
     """One struct column per model beside the packed series.
 
-    ``wanted`` limits a model to some items; it is not fitted on the others.
+    ``wanted`` limits a model to some items; it is not fitted on the others. A model that only stands in for
+    another is fitted where that one can't run.
     """
     wanted = wanted or {}
     needed = with_needs(tuple(models) + ("naive",))
+    packed = with_moments(packed)
     if any(name in PRESETS for name in needed):
         packed = kept(packed)  # read by training, scoring and forecasting
     batched = [BATCHED[name](freq, grid) for name in needed if name in BATCHED]
-    out = fit_models(packed, batched, periods, grid, wanted) if batched else packed
-    out = with_moments(out)
+    fitted_on = _where_it_stands_in(tuple(models), wanted, freq, grid)
+    out = fit_models(packed, batched, periods, grid, fitted_on) if batched else packed
     for name in needed:
         asked = wanted.get(name, F.lit(True))
         if name == "naive":
@@ -100,8 +123,7 @@ def run_models(
         elif name == "ensemble":
             out = _add_ensemble(out)
         elif name in PRESETS:
-            series = with_moments(packed).filter(asked)
-            out = out.join(fit_boosted(series, periods, freq, name), "sku", "left")
+            out = out.join(fit_boosted(packed.filter(asked), periods, freq, name), "sku", "left")
         if name in FALLBACK:  # M15: the label stays that of the model that ran
             out = out.withColumn(name, F.coalesce(F.col(name), F.when(asked, F.col(FALLBACK[name]))))
     return out

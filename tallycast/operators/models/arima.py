@@ -40,16 +40,16 @@ def _filter(y, n, phi, theta, errors: Errors | None = None):
     """Next change, its relative variance, squared scaled errors and log variances, summed per series."""
     shape = (len(y), phi.shape[1])
     ahead, squares, logs = np.zeros((3, *shape))
-    r = np.broadcast_to((1 + 2 * phi * theta + theta * theta) / (1 - phi * phi), shape).copy()
+    r = (1 + 2 * phi * theta + theta * theta) / (1 - phi * phi)  # depends on the parameters alone: one row if all series share them
     part = lambda p, c: p if len(p) == 1 else p[:c]
     for t in range(1, y.shape[1]):
         c = int(np.searchsorted(-n, -t))
         w = (y[:c, t] - y[:c, t - 1])[:, None]
-        e = w - ahead[:c]
-        squares[:c] += e * e / r[:c]
-        logs[:c] += np.log(r[:c])
-        ahead[:c] = part(phi, c) * w + part(theta, c) * e / r[:c]
-        r[:c] = 1 + part(theta, c) ** 2 * (1 - 1 / r[:c])
+        e, now = w - ahead[:c], part(r, c)
+        squares[:c] += e * e / now
+        logs[:c] += np.log(now)
+        ahead[:c] = part(phi, c) * w + part(theta, c) * e / now
+        now[:] = 1 + part(theta, c) ** 2 * (1 - 1 / now)
         if errors is not None:
             errors.add(y[:c, t], e[:, 0])
     return ahead, r, squares, logs

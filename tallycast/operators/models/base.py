@@ -6,6 +6,10 @@ needs no join and no shuffle.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +28,29 @@ def clip(value: Column) -> Column:
     return F.greatest(F.lit(0.0), value)
 
 
+MOMENTS = "mean double, sd double, acc struct<abs: double, sq: double, err: double, ape: double, hits: double, n: double>"
+
+
+def _moments(ys: pd.Series) -> pd.DataFrame:
+    """Of every series its mean, sample deviation, and sums of errors against the mean, added up from the first period on."""
+    found = []
+    for y in ys:
+        n, added = len(y), lambda values: np.add.accumulate(values)[-1] if len(values) else 0.0
+        mean = added(y) / n
+        error, hit = y - mean, y != 0
+        sq = added(error * error)
+        acc = (added(np.abs(error)), sq, added(error), added(np.abs(error[hit] / y[hit])), float(hit.sum()), float(n))
+        found.append((mean, math.sqrt(sq / (n - 1)) if n > 1 else None, dict(zip(SUMS, acc))))
+    return pd.DataFrame(found, columns=["mean", "sd", "acc"]).astype({"mean": float, "sd": float})
+
+
+SUMS = ("abs", "sq", "err", "ape", "hits", "n")
+
+
 def with_moments(packed: DataFrame) -> DataFrame:
-    """Add ``mean`` and ``sd`` (null for a single period) of the series."""
-    centred = packed.withColumn("mean", total(F.col("ys")) / F.col("n"))
-    squares = F.aggregate("ys", F.lit(0.0), lambda acc, y: acc + (y - F.col("mean")) * (y - F.col("mean")))
-    return centred.withColumn("sd", F.sqrt(F.try_divide(squares, F.col("n") - 1)))
+    """Add ``mean`` and ``sd`` (null for a single period) of the series, and its errors against the mean as ``mean_errors``."""
+    measured = packed.withColumn("_moments", F.pandas_udf(_moments, MOMENTS)("ys"))
+    return measured.select(*packed.columns, "_moments.mean", "_moments.sd", F.col("_moments.acc").alias("mean_errors"))
 
 
 def accuracy_start() -> Column:

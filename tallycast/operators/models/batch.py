@@ -9,6 +9,7 @@ partitions the series. See README for the measurement behind this choice.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -96,6 +97,10 @@ class Model:
     def __init__(self, name: str, variant_of: Callable[[int], str | None], fits: dict[str, tuple[Fit, int]]):
         self.name, self.variant_of, self.fits = name, variant_of, fits
 
+    def shortest(self) -> int:
+        """Periods that a series needs; every longer one has a variant too."""
+        return next(n for n in count(1) if self.variant_of(n) is not None)
+
     def fit(self, series, last_periods, wanted, horizon: int, grid: GridConfig) -> list[dict | None]:
         out: list[dict | None] = [None] * len(series)
         groups: dict[str, list[int]] = {}

@@ -14,9 +14,7 @@ def add_naive(df: DataFrame, horizon: int, freq: str) -> DataFrame:
     last = F.element_at("ys", -1)
     forecast = F.array_repeat(last, horizon)
     spread = F.coalesce(F.col("sd"), last * 0.1)
-    acc = accuracy(F.col("ys"), F.transform("ys", lambda y: F.col("mean")))
-    ready = df.withColumn("_acc", acc)
-    return ready.withColumn("naive", outcome(F.lit("naive"), forecast, *band(forecast, spread), F.col("_acc"))).drop("_acc")
+    return df.withColumn("naive", outcome(F.lit("naive"), forecast, *band(forecast, spread), F.col("mean_errors")))
 
 
 def add_seasonal_naive(df: DataFrame, horizon: int, freq: str) -> DataFrame:
