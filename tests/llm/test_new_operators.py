@@ -290,3 +290,26 @@ def test_vector_too_long_for_a_code_is_an_error(spark):
     assert [r["c"] for r in found] == [5, None, -(1 << 63)]
     with pytest.raises(Exception, match="more components"):
         spark.createDataFrame([(4, [1.0] * 65)], "vec_id long, v array<float>").select(sign_code(F.col("v"))).collect()
+
+
+def test_near_copies_also_come_from_near_fingerprints(spark, monkeypatch):
+    from tallycast.llm import near_copies, simhash
+
+    monkeypatch.setattr(near_copies, "_active", lambda batches: iter(()))  # no pair by bands
+    words = [f"w{i * i % 997}x{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:399], "other"]), " ".join(f"u{i * 7 % 401}" for i in range(300)), "one two three", "", None]
+    prints = [simhash.fingerprint(t.encode()) for t in texts[:2]]
+    assert bin((prints[0] ^ prints[1]) & (1 << 64) - 1).count("1") <= simhash.MAX_BITS and texts[0] != texts[1]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
+    assert {r._row: r.group for r in near_copies.groups(rows).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 4}
+
+
+def test_near_fingerprints_of_dissimilar_texts_stay_apart(spark):
+    from tallycast.llm import near_copies, simhash
+
+    texts = ["a b c d a b c d a b", "a b c d a b c d a z"]  # sets of five-word shingles differ, most four-word shingles repeat
+    one, two = (simhash.fingerprint(t.encode()) for t in texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
+    found = {r._row: r.group for r in near_copies.groups(rows).collect()}
+    sets = [near_copies.shingles(t.encode()) for t in texts]
+    assert (found[0] == found[1]) == near_copies.similar(*sets) and isinstance(one ^ two, int)
