@@ -78,6 +78,15 @@ def columns(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
 # --- candidate groups -------------------------------------------------------------------------
 
 
+def joined(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """A join of tables that both grow with the corpus, as a merge join.
+
+    Spark sizes a table by the files it is read from, not by the rows that an explode makes of each, and would
+    broadcast millions of rows it takes for a few megabytes.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def paired_blocks(members: DataFrame, keys: Sequence[str], member: str, block_rows: int) -> DataFrame:
     """Rows of groups with two or more members, dealt out so that no task needs a whole group.
 
@@ -89,7 +98,7 @@ def paired_blocks(members: DataFrame, keys: Sequence[str], member: str, block_ro
     keys = list(keys)
     counts = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     blocks = F.ceil(F.col("_n") / block_rows).cast("int")
-    dealt = members.join(counts, keys).withColumn("_blocks", blocks).withColumn(
+    dealt = joined(members, counts, keys).withColumn("_blocks", blocks).withColumn(
         "_b", F.pmod(F.xxhash64(F.col(member), F.lit(11)), F.col("_blocks")).cast("int")
     )
     others = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda k: F.struct(

@@ -313,3 +313,12 @@ def test_near_fingerprints_of_dissimilar_texts_stay_apart(spark):
     found = {r._row: r.group for r in near_copies.groups(rows).collect()}
     sets = [near_copies.shingles(t.encode()) for t in texts]
     assert (found[0] == found[1]) == near_copies.similar(*sets) and isinstance(one ^ two, int)
+
+
+def test_exploded_lists_are_not_broadcast(spark):
+    """Spark takes the lists of a fingerprint for as many rows as there are fingerprints, and would broadcast them all."""
+    from tallycast.llm import simhash
+
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    plan = simhash.links(spark.range(1000).selectExpr("id * 7919 as fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
