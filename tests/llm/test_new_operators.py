@@ -322,3 +322,33 @@ def test_exploded_lists_are_not_broadcast(spark):
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
     plan = simhash.links(spark.range(1000).selectExpr("id * 7919 as fp"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_texts_of_a_fingerprint_class_are_compared_all_with_all(spark, monkeypatch):
+    """Two similar texts are linked by their class also where neither is similar to the class's first one, or the class holds another of their rows."""
+    from tallycast.llm import near_copies, simhash
+
+    monkeypatch.setattr(near_copies, "_active", lambda batches: iter(()))  # no pair by bands
+    words = [f"w{i}" for i in range(200)]
+    twin, far, alone = " ".join(words), " ".join(f"u{i}" for i in range(230)), " ".join(f"z{i}" for i in range(50))
+    texts = [far, twin, " ".join([*words[:199], "other"]), alone, twin, alone.upper()]
+    for classes in ([0, 0, 0, 3, 0, 3], [0, 1, 2, 3, 2, 3]):  # one class with a first text unlike the others; a class by the second row of a text
+        found = spark.createDataFrame(list(enumerate(classes)), "doc_id long, component_id long")
+        monkeypatch.setattr(simhash, "near_duplicates", lambda docs, found=found: found)
+        rows = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
+        assert {r._row: r.group for r in near_copies.groups(rows).collect()} == {0: 0, 1: 1, 2: 1, 3: 3, 4: 1, 5: 3}
+
+
+def test_near_copies_broadcast_no_exploded_keys(spark, monkeypatch):
+    from tallycast.llm import common, near_copies
+
+    plans, map_batches = [], common.map_batches
+
+    def planned(df, work, schema):
+        if "_band" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return map_batches(df, work, schema)
+
+    monkeypatch.setattr(common, "map_batches", planned)
+    near_copies.groups(spark.createDataFrame([(i, f"one two three four five six {i % 3}") for i in range(30)], "_row long, text string"))
+    assert len(plans) == 3 and not any("BroadcastHashJoin" in plan for plan in plans)
