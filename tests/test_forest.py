@@ -47,3 +47,38 @@ def test_each_step_enters_the_features_of_the_next(spark, freq):
             known.append(max(0.0, p + 0.01))
         assert found[sku] == pytest.approx([v * mean for v in known[-9:]])
     assert forest.roll_forward(packed.limit(0), trees, 9, freq).count() == 0
+
+
+@pytest.mark.parametrize("count", [900, 14_000])
+def test_packed_boosting_grows_the_trees_of_mllib(spark, count):
+    """All rows, and a sample of them, as candidates for splits; a constant feature, one of few values and one with many zeros."""
+    from tallycast.operators.models import levelwise
+
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(size=count), rng.integers(0, 5, count), np.full(count, 6.0), rng.exponential(size=count) * (rng.random(count) < 0.4), rng.normal(size=count)])
+    y = 2 + x[:, 0] * (x[:, 1] > 2) - np.sqrt(x[:, 3]) + 0.1 * rng.normal(size=count)
+    names = ["a", "b", "c", "d", "e"]
+    rows = spark.createDataFrame(pd.DataFrame(np.column_stack([x, y]), columns=[*names, "label"])).repartition(3).cache()
+    for given in ({"maxDepth": 4, "stepSize": 0.1, "minInstancesPerNode": 20}, {"maxDepth": 5, "stepSize": 0.3, "minInstancesPerNode": 1}):
+        model = GBTRegressor(maxIter=4, seed=42, **given).fit(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
+        expected, found = forest.from_model(model.toDebugString), levelwise.boost(rows, names, count, 4, 42, **given)
+        assert len(found.value) == len(expected.value)
+        assert np.allclose(found.predict(x), expected.predict(x), rtol=0, atol=1e-9)
+
+
+def test_training_rows_are_packed(spark):
+    from tallycast.operators.models import levelwise
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 12))
+    names = [f"f{i}" for i in range(12)]
+    rows = spark.createDataFrame(pd.DataFrame(np.column_stack([x, x[:, 0]]), columns=[*names, "label"]))
+    places = [levelwise.split_places(x[:, i], 700.0, 31) for i in range(12)]
+    bundles = levelwise.Bundles.of([len(ends) + 1 for ends in places])
+    chunks = levelwise.packed(rows, names, places, bundles).collect()
+    assert sum(len(c.codes) + len(c.rest) for c in chunks) == 700 * 20
+    for f in range(12):
+        found = [bundles.bins(f)[levelwise._arrays(bytes(c.codes), bytes(c.rest))[0][bundles.bundle[f]]] for c in chunks]
+        assert sorted(np.concatenate(found)) == sorted(np.searchsorted(places[f], x[:, f]))
+    with pytest.raises(Exception, match="missing feature or label"):
+        levelwise.packed(rows.selectExpr(*names, "null + label as label"), names, places, bundles).collect()
