@@ -82,3 +82,19 @@ def test_training_rows_are_packed(spark):
         assert sorted(np.concatenate(found)) == sorted(np.searchsorted(places[f], x[:, f]))
     with pytest.raises(Exception, match="missing feature or label"):
         levelwise.packed(rows.selectExpr(*names, "null + label as label"), names, places, bundles).collect()
+
+
+def test_a_sample_larger_than_expected_gives_more_bins(spark):
+    from tallycast.operators.models import levelwise
+
+    x = np.arange(1.0, 1001.0)
+    places = [levelwise.split_places(x, 950.0, 31), levelwise.split_places(x % 7, 1000.0, 31)]
+    assert len(places[0]) > 31 and len(places[1]) == 6
+    bundles = levelwise.Bundles.of([len(ends) + 1 for ends in places])
+    rows = spark.createDataFrame(pd.DataFrame({"a": x, "b": x % 7, "label": x}))
+    chunks = levelwise.packed(rows, ["a", "b"], places, bundles).rdd.map(lambda row: (bytes(row[0]), bytes(row[1])))
+    found = levelwise.measure(chunks, levelwise.Tree(), [0], bundles, 0)
+    for f, values in enumerate((x, x % 7)):
+        bins = np.searchsorted(places[f], values)
+        assert found[1, 0, f].tolist() == np.bincount(bins, minlength=found.shape[3]).tolist()
+        assert np.allclose(found[0, 0, f], np.bincount(bins, x, found.shape[3]))
